@@ -78,3 +78,12 @@ def top_k_classes(df: DataFrame, ids: list[str], scores: str, k: int) -> DataFra
     """The ``k`` best classes of each row as (rank, class, score) rows; no shuffle."""
     best = df.select(*ids, F.posexplode(best_classes(F.col(scores), k)).alias("rank", "best"))
     return best.select(*ids, (F.col("rank") + 1).alias("rank"), F.col("best.cls").alias("cls"), F.col("best.score").alias("score"))
+
+
+def number_batches(df: DataFrame, ids: list[str], seed: int, batch: int) -> DataFrame:
+    """Batch number (from 0) of each row in one seeded order of the whole table, and the full batches."""
+    keyed = df.withColumn("_key", hash_key(seed, *[F.col(c) for c in ids]))
+    numbered = number_by_hash(keyed, [], "_key", "_place", "_rows")
+    return numbered.withColumns(
+        {"batch": F.floor((F.col("_place") - 1) / batch), "batches": F.floor(F.col("_rows") / batch)}
+    ).drop("_key", "_place", "_rows")
