@@ -10,7 +10,7 @@ from elastrain.operators import aggregates as A
 from elastrain.operators.batching import number_batches
 from elastrain.operators.weights import chunked
 from elastrain.plans.learners import LinearSoftmax
-from elastrain.plans.parameters import init_weights
+from elastrain.plans.parameters import init_weights, layer_table
 from elastrain.plans.scoring import evaluate, score, sgd_step
 
 LINEAR = LinearSoftmax(64, 10)
@@ -87,7 +87,7 @@ def mean_scores(spark, sf_dir):
 
 
 def start_state(spark):
-    return init_weights(spark, LINEAR.layers(), seed=1).withColumn("velocity", F.transform("values", lambda x: x * 0))
+    return init_weights(layer_table(spark, LINEAR.layers()), seed=1).withColumn("velocity", F.transform("values", lambda x: x * 0))
 
 
 def after_steps(spark, sf_dir, steps):

@@ -168,23 +168,31 @@ def fold_exchanges(workers_w: DataFrame, centre_w: DataFrame) -> DataFrame:
     return joined.select(*BLOCK, folded.alias("f")).select(*BLOCK, "f.centre", "f.met")
 
 
-def fold_arrivals(arrivals: DataFrame, centre_w: DataFrame, coefficient: float) -> DataFrame:
-    """Any number of arrivals at a constant coefficient, as one weighted sum per block.
+def fold_weighted(arrivals: DataFrame, centre_w: DataFrame) -> DataFrame:
+    """Any number of arrivals as one weighted sum per block, merged map-side.
 
-    ``arrivals`` has (n, layer, chunk, values), ``n`` numbering the arrivals of a block from 1 and
-    ``total`` their count. After N of them the centre is
-    (1-b)^N c0 + sum of b (1-b)^(N-n) x_n, which needs no ordered pass and merges map-side.
+    ``arrivals`` has (layer, chunk, values, weight, kept): ``weight`` is the share an arrival still
+    has after all later ones, ``kept`` (the same for all arrivals of a block) what the start has.
     """
-    b = float(coefficient)
-    weight = F.lit(b) * F.pow(F.lit(1 - b), F.col("total") - F.col("n"))
-    weighted = arrivals.select(*BLOCK, "total", F.transform("values", lambda x: x * weight).alias("values"))
-    sums = weighted.groupBy(*BLOCK).agg(vector_sum(F.col("values")).alias("sum"), F.max("total").alias("total"))
+    weighted = arrivals.select(*BLOCK, "kept", F.transform("values", lambda x: x * F.col("weight")).alias("values"))
+    sums = weighted.groupBy(*BLOCK).agg(vector_sum(F.col("values")).alias("sum"), F.max("kept").alias("kept"))
     joined = centre_w.join(sums, BLOCK, "left")
-    kept = F.pow(F.lit(1 - b), F.col("total"))
-    moved = F.zip_with("values", "sum", lambda c, s: kept * c + s)
+    moved = F.zip_with("values", "sum", lambda c, s: F.col("kept") * c + s)
     return joined.select(*BLOCK, F.when(F.col("sum").isNull(), F.col("values")).otherwise(moved).alias("values"))
 
 
+def fold_arrivals(arrivals: DataFrame, centre_w: DataFrame, coefficient: float) -> DataFrame:
+    """Arrivals at a constant coefficient b, ``n`` numbering those of a block from 1 to ``total``.
+
+    After N of them the centre is (1-b)^N c0 + sum of b (1-b)^(N-n) x_n: no ordered pass is needed.
+    """
+    b = float(coefficient)
+    left = F.lit(1 - b)
+    shares = arrivals.withColumns({
+        "weight": F.lit(b) * F.pow(left, F.col("total") - F.col("n")), "kept": F.pow(left, F.col("total"))})
+    return fold_weighted(shares, centre_w)
+
+
 def apply_deltas(centre_w: DataFrame, deltas: DataFrame) -> DataFrame:
     """centre minus the sum of all update values pushed for its blocks."""
     sums = deltas.groupBy(*BLOCK).agg(vector_sum(F.col("values")).alias("sum"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from elastrain.functions.hashing import hash_key, hash_number
 from elastrain.operators.weights import CHUNK
 from elastrain.schema import LayerSpec
 
@@ -23,30 +26,34 @@ def multiplied_rates(layers: DataFrame, lr: float, weight_decay: float) -> DataF
         "layer", "bias", (F.lit(lr) * times(LR_MULT)).alias("lr"), (F.lit(weight_decay) * times(DECAY_MULT)).alias("decay"))
 
 
-def init_weights(spark: SparkSession, layers: list[LayerSpec], seed: int, chunk: int = CHUNK) -> DataFrame:
-    """Start weights: each chunk is filled by the task that owns it.
+def layer_table(spark: SparkSession, specs: list[LayerSpec]) -> DataFrame:
+    """A net's blobs as rows (layer, size, filler, arg); ``arg`` is the value, std or fan-in."""
+    names = {"constant": "value", "gaussian": "std", "xavier": "fan_in"}
+    rows = []
+    for spec in specs:
+        if spec.filler not in names:
+            raise ValueError(f"unknown filler {spec.filler!r}")
+        rows.append((spec.layer, spec.size, spec.filler, float(spec.filler_args[names[spec.filler]])))
+    return spark.createDataFrame(rows, "layer int, size long, filler string, arg double")
+
+
+def init_weights(layers: DataFrame, seed: int, chunk: int = CHUNK) -> DataFrame:
+    """Start weights: constant(value), gaussian(std), or xavier(fan_in), uniform within sqrt(3 / fan_in).
 
-    constant(value), gaussian(std) or xavier(fan_in): uniform within sqrt(3 / fan_in).
+    Each value is drawn from (seed, layer, index), so it does not depend on the partitioning.
     """
-    parts = []
-    for spec in layers:
-        width = F.least(F.lit(chunk).cast("bigint"), F.lit(spec.size) - F.col("id") * chunk)
-        places = F.explode(F.sequence(F.lit(0).cast("bigint"), width - 1)).alias("place")
-        cells = spark.range(0, -(-spec.size // chunk)).select(F.col("id").cast("int").alias("chunk"), places)
-        if spec.filler == "constant":
-            value = F.lit(float(spec.filler_args.get("value", 0.0)))
-        elif spec.filler == "gaussian":
-            value = F.randn(seed + spec.layer) * F.lit(float(spec.filler_args["std"]))
-        elif spec.filler == "xavier":
-            reach = (3.0 / spec.filler_args["fan_in"]) ** 0.5
-            value = (F.rand(seed + spec.layer) * 2 - 1) * F.lit(reach)
-        else:
-            raise ValueError(f"unknown filler {spec.filler!r}")
-        filled = cells.withColumn("value", value.cast("double")).groupBy("chunk").agg(
-            F.array_sort(F.collect_list(F.struct("place", "value"))).alias("rows"))
-        parts.append(filled.select(
-            F.lit(spec.layer).cast("int").alias("layer"), "chunk", F.transform("rows", lambda r: r["value"]).alias("values")))
-    weights = parts[0]
-    for part in parts[1:]:
-        weights = weights.unionByName(part)
-    return weights
+
+    def draw(name, i):
+        return (hash_number(hash_key(seed, name, F.col("layer"), i)) + 0.5) / 2.0**32
+
+    def value(i):
+        normal = F.sqrt(-2 * F.log(draw("r", i))) * F.cos(draw("phi", i) * (2 * math.pi))
+        return (
+            F.when(F.col("filler") == "constant", F.col("arg"))
+            .when(F.col("filler") == "gaussian", normal * F.col("arg"))
+            .when(F.col("filler") == "xavier", (draw("u", i) * 2 - 1) * F.sqrt(3 / F.col("arg"))))
+
+    last = F.floor((F.col("size") - 1) / chunk)
+    chunks = layers.where(F.col("size") > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    places = F.sequence(F.col("chunk") * chunk, F.least((F.col("chunk") + 1) * chunk, F.col("size")) - 1)
+    return chunks.select("layer", F.col("chunk").cast("int").alias("chunk"), F.transform(places, value).alias("values"))

@@ -18,7 +18,7 @@ from elastrain.operators.batching import assign_workers
 from elastrain.operators.weights import BLOCK, apply_deltas, fold_exchanges, to_every_worker
 from elastrain.plans.learners import Learner
 from elastrain.plans.local_steps import PROGRESS, RoundRule, local_round
-from elastrain.plans.parameters import init_weights
+from elastrain.plans.parameters import init_weights, layer_table
 from elastrain.plans.rounds import ShuffledEpochs, StoredShards
 from elastrain.plans.scoring import evaluate
 from elastrain.schema import TRAINING_LOG, ExchangeParams, SolverParams
@@ -89,7 +89,7 @@ class _Run:
 
 def _start(run: _Run, weights: DataFrame | None, seed: int) -> tuple[DataFrame, DataFrame]:
     """The centre and every worker's state before the first round."""
-    first = weights if weights is not None else init_weights(run.spark, run.learner.layers(), seed)
+    first = weights if weights is not None else init_weights(layer_table(run.spark, run.learner.layers()), seed)
     centre = materialise(first.select("layer", "chunk", "values"), "centre")
     state = to_every_worker(centre, run.n_workers).withColumn("velocity", F.transform("values", lambda x: F.lit(0.0)))
     return centre, state
@@ -99,23 +99,21 @@ def _weights_of(local: DataFrame) -> DataFrame:
     return local.where(F.col("kind") == "weights").select("worker", *BLOCK, "values", "velocity")
 
 
-def _exchange(run: _Run, number: int, local: DataFrame, centre: DataFrame, arrivals: DataFrame, params: ExchangeParams
-              ) -> tuple[DataFrame, DataFrame]:
+def _exchange(run: _Run, number: int, local: DataFrame, centre: DataFrame, arrivals: DataFrame, n: int,
+              params: ExchangeParams) -> tuple[DataFrame, DataFrame]:
     """Fold the arriving workers into the centre; workers that stayed away keep their weights.
 
     ``arrivals`` has (worker, place, exchange): the place in this round from 0, and how many
     exchanges the worker did before (its decay counter).
     """
     update = F.col("place") + F.lit(run.updates + 1)
-    # One row per worker.
-    rates = materialise(arrivals.select(
+    rates = arrivals.select(
         "worker", "place", worker_rate(F.col("exchange"), params).alias("a"),
-        (centre_rate(update, params, run.n_workers) * centre_factor(update, params, run.n_workers)).alias("b")), "rates")
+        (centre_rate(update, params, run.n_workers) * centre_factor(update, params, run.n_workers)).alias("b"))
     weights = _weights_of(local)
     meeting = weights.join(rates, "worker")
     folded = run.write(fold_exchanges(meeting, centre), number, "folded")
-    n = rates.count()
-    _after_updates(run, local, centre, meeting, folded, n, params)
+    _after_updates(run, centre, meeting, folded, n, params)
     moved = folded.select(*BLOCK, F.explode("met").alias("m")).select("m.worker", *BLOCK, F.col("m.values").alias("moved"))
     state = weights.join(moved, ["worker", *BLOCK], "left").select(
         "worker", *BLOCK, F.coalesce("moved", "values").alias("values"), "velocity")
@@ -123,7 +121,7 @@ def _exchange(run: _Run, number: int, local: DataFrame, centre: DataFrame, arriv
     return folded.select(*BLOCK, F.col("centre").alias("values")), state
 
 
-def _after_updates(run: _Run, local: DataFrame, centre: DataFrame, meeting: DataFrame, folded: DataFrame, n: int,
+def _after_updates(run: _Run, centre: DataFrame, meeting: DataFrame, folded: DataFrame, n: int,
                    params: ExchangeParams) -> None:
     """Snapshots and evaluations that fall on an update of this round, on the centre as it was then."""
     save_every = whole_steps(run.solver.snapshot, run.n_workers, params.period)
@@ -168,7 +166,7 @@ def _elastic_rounds(run: _Run, samples_of, centre: DataFrame, state: DataFrame,
                         run.solver, RoundRule(), run.n_workers), number, "local")
         if worker_saves:
             _worker_snapshot(run, local, (number + 1) * params.period, params.period)
-        centre, state = _exchange(run, number, local, centre, _all_arrive(run, number), params)
+        centre, state = _exchange(run, number, local, centre, _all_arrive(run, number), run.n_workers, params)
         run.close_round(number)
     return Trained(centre, state, run.log(), run.snapshots, run.updates)
 
@@ -242,7 +240,7 @@ def train_elastic_adaptive(shards: DataFrame, n_workers: int, learner: Learner,
         if met:
             counted = [(w, i, int(ended[w][0]) - 1 if decay_by_iteration else exchanges[w]) for i, w in enumerate(met)]
             arrivals = run.spark.createDataFrame(counted, "worker int, place long, exchange long")
-            centre, state = _exchange(run, number, local, centre, arrivals, params)
+            centre, state = _exchange(run, number, local, centre, arrivals, len(met), params)
             for w in met:
                 exchanges[w] += 1
                 run.note("exchange", None, w, int(ended[w][0]))
@@ -284,13 +282,16 @@ def train_delta(df: DataFrame, ids: list[str], n_workers: int, k: int, learner:
 
 
 def training_report(log: DataFrame) -> DataFrame:
-    """Per run: wall seconds, last accuracy, mean loss of the first and of the last step, steps."""
-    loss = F.col("kind") == "loss"
-    bounds = log.where(loss).groupBy("run").agg(F.min("iter").alias("first_iter"), F.max("iter").alias("last_iter"))
-    joined = log.join(bounds, "run", "left")
-    return joined.groupBy("run").agg(
-        (F.max("elapsed_s") - F.min("elapsed_s")).alias("seconds"),
-        F.max_by(F.when(F.col("kind") == "accuracy", F.col("value")), F.when(F.col("kind") == "accuracy", F.col("elapsed_s"))).alias("accuracy"),
-        F.avg(F.when(loss & (F.col("iter") == F.col("first_iter")), F.col("value"))).alias("first_loss"),
-        F.avg(F.when(loss & (F.col("iter") == F.col("last_iter")), F.col("value"))).alias("last_loss"),
-        F.count(F.when(loss, 1)).alias("steps"))
+    """Per run: wall seconds, last accuracy, mean loss of the first and of the last step, number of losses.
+
+    Grouped by step first, so a long run is merged from many small groups.
+    """
+    loss, accuracy = F.col("kind") == "loss", F.col("kind") == "accuracy"
+    when = F.when(accuracy, F.struct("elapsed_s", "update_no", "value"))
+    steps = log.groupBy("run", "iter").agg(
+        F.min("elapsed_s").alias("first_s"), F.max("elapsed_s").alias("last_s"), F.max(when).alias("last_test"),
+        F.avg(F.when(loss, F.col("value"))).alias("loss"), F.count(F.when(loss, 1)).alias("losses"))
+    step = F.when(F.col("losses") > 0, F.col("iter"))
+    return steps.groupBy("run").agg(
+        (F.max("last_s") - F.min("first_s")).alias("seconds"), F.max("last_test")["value"].alias("accuracy"),
+        F.min_by("loss", step).alias("first_loss"), F.max_by("loss", step).alias("last_loss"), F.sum("losses").alias("steps"))
