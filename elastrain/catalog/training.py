@@ -4,9 +4,10 @@ Language of the documents is the target, character trigrams of the whole text ar
 training itself is not SQL, so these queries are checked against plain numpy in the tests.
 """
 
-from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from elastrain.catalog.common import SEED, WORKERS
 from elastrain.catalog.registry import query, table
@@ -31,19 +32,25 @@ LINEAR = LinearSoftmax(FEATURES, len(LANGUAGES))
 RELU = ReluNet(FEATURES, 32, len(LANGUAGES))
 
 
+@F.arrow_udf(ArrayType(FloatType()))
+def trigram_shares(texts: pa.Array) -> pa.Array:
+    """Share of each hashed character trigram in a whole text, times 16."""
+    out = np.zeros((len(texts), FEATURES), dtype=np.float32)
+    for row, text in enumerate(texts.to_pylist()):
+        codes = np.frombuffer((text or "").lower().encode("utf-32-le"), dtype=np.uint32)
+        if len(codes) > 2:
+            grams = (codes[:-2] * np.uint32(7919) + codes[1:-1] * np.uint32(104729) + codes[2:]) >> np.uint32(3)
+            out[row] = np.bincount(grams % FEATURES, minlength=FEATURES) * (16.0 / len(grams))
+    offsets = np.arange(len(texts) + 1, dtype=np.int32) * FEATURES
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+
+
 def trigram_samples(spark, sf_dir):
-    """documents as (id, data, label): shares of hashed character trigrams of the whole text."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "lang")
-    chars = RegexTokenizer(inputCol="text", outputCol="chars", pattern="(?s).", gaps=False).transform(docs)
-    grams = NGram(n=3, inputCol="chars", outputCol="grams").transform(chars)
-    counted = HashingTF(numFeatures=FEATURES, inputCol="grams", outputCol="tf").transform(grams)
-    counts = counted.select("id", "lang", vector_to_array("tf").alias("n"))
-    total = F.greatest(F.aggregate("n", F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
-    shares = counts.withColumn("total", total)
+    """documents as (id, data, label, dim): trigrams of the text against the language."""
     label = F.array_position(F.array(*[F.lit(x) for x in LANGUAGES]), F.col("lang")) - 1
-    return shares.select(
-        "id", F.transform("n", lambda x: (x / F.col("total") * 16).cast("float")).alias("data"),
-        label.cast("float").alias("label"), F.array(F.lit(1), F.lit(16), F.lit(16)).alias("dim"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), trigram_shares("text").alias("data"), label.cast("float").alias("label"),
+        F.array(F.lit(1), F.lit(16), F.lit(16)).alias("dim"))
 
 
 def prepared(spark, sf_dir):

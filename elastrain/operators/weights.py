@@ -146,12 +146,14 @@ def fold_exchanges(workers_w: DataFrame, centre_w: DataFrame) -> DataFrame:
 
     ``workers_w`` has (worker, layer, chunk, values, a, b): ``a`` is the rate on the worker's side,
     ``b`` the coefficient on the centre's side. Each worker sees the centre left by the one before.
-    A group is one block of every worker of the round: workers x CHUNK values.
-    Returns (layer, chunk, centre, met) with met = [(worker, values), ...].
+    The centre travels as worker -1, so one grouping brings a block of everybody together: workers
+    x CHUNK values. Returns (layer, chunk, centre, met) with met = [(worker, values), ...].
     """
-    met = workers_w.groupBy(*BLOCK).agg(
-        F.array_sort(F.collect_list(F.struct("worker", "values", "a", "b"))).alias("arrivals"))
-    joined = centre_w.select(*BLOCK, F.col("values").alias("centre")).join(met, BLOCK, "left")
+    none = F.lit(0.0)
+    columns = ["worker", *BLOCK, "values", "a", "b"]
+    centre = centre_w.select(F.lit(-1).alias("worker"), *BLOCK, "values", none.alias("a"), none.alias("b"))
+    together = workers_w.select(*columns).unionByName(centre).groupBy(*BLOCK).agg(
+        F.array_sort(F.collect_list(F.struct("worker", "values", "a", "b"))).alias("rows"))
 
     def step(acc, arrival):
         worker = F.struct(
@@ -160,12 +162,14 @@ def fold_exchanges(workers_w: DataFrame, centre_w: DataFrame) -> DataFrame:
             mixed(acc["centre"], arrival["values"], arrival["b"]).alias("centre"),
             F.concat(acc["met"], F.array(worker)).alias("met"))
 
+    first = F.element_at("rows", 1)
+    width = F.size(first["values"])
+    fits = (first["worker"] == -1) & F.forall("rows", lambda r: F.size(r["values"]) == width)
     start = F.struct(
-        F.col("centre").alias("centre"),
+        F.when(fits, first["values"]).otherwise(F.raise_error(F.lit("Size mismatch!")).cast("array<double>")).alias("centre"),
         F.array().cast("array<struct<worker:int,values:array<double>>>").alias("met"))
-    folded = F.aggregate(F.coalesce("arrivals", F.array().cast(
-        "array<struct<worker:int,values:array<double>,a:double,b:double>>")), start, step)
-    return joined.select(*BLOCK, folded.alias("f")).select(*BLOCK, "f.centre", "f.met")
+    folded = F.aggregate(F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0))), start, step)
+    return together.select(*BLOCK, folded.alias("f")).select(*BLOCK, "f.centre", "f.met")
 
 
 def fold_weighted(arrivals: DataFrame, centre_w: DataFrame) -> DataFrame:

@@ -99,25 +99,28 @@ def _weights_of(local: DataFrame) -> DataFrame:
     return local.where(F.col("kind") == "weights").select("worker", *BLOCK, "values", "velocity")
 
 
-def _exchange(run: _Run, number: int, local: DataFrame, centre: DataFrame, arrivals: DataFrame, n: int,
-              params: ExchangeParams) -> tuple[DataFrame, DataFrame]:
+def _exchange(run: _Run, number: int, local: DataFrame, centre: DataFrame, arrivals: dict[int, int], params: ExchangeParams
+              ) -> tuple[DataFrame, DataFrame]:
     """Fold the arriving workers into the centre; workers that stayed away keep their weights.
 
-    ``arrivals`` has (worker, place, exchange): the place in this round from 0, and how many
-    exchanges the worker did before (its decay counter).
+    ``arrivals`` maps a worker to the number of exchanges it did before (its decay counter).
     """
+    # Two numbers per worker, looked up by worker number.
+    places = {w: i for i, w in enumerate(sorted(arrivals))}
+    place, exchange = (
+        F.get(F.array(*[F.lit(found.get(w)).cast("bigint") for w in range(run.n_workers)]), F.col("worker"))
+        for found in (places, arrivals))
     update = F.col("place") + F.lit(run.updates + 1)
-    rates = arrivals.select(
-        "worker", "place", worker_rate(F.col("exchange"), params).alias("a"),
-        (centre_rate(update, params, run.n_workers) * centre_factor(update, params, run.n_workers)).alias("b"))
     weights = _weights_of(local)
-    meeting = weights.join(rates, "worker")
+    meeting = weights.withColumn("place", place).where(F.col("place").isNotNull()).withColumns({
+        "a": worker_rate(exchange, params),
+        "b": centre_rate(update, params, run.n_workers) * centre_factor(update, params, run.n_workers)})
     folded = run.write(fold_exchanges(meeting, centre), number, "folded")
-    _after_updates(run, centre, meeting, folded, n, params)
+    _after_updates(run, centre, meeting, folded, len(places), params)
     moved = folded.select(*BLOCK, F.explode("met").alias("m")).select("m.worker", *BLOCK, F.col("m.values").alias("moved"))
     state = weights.join(moved, ["worker", *BLOCK], "left").select(
         "worker", *BLOCK, F.coalesce("moved", "values").alias("values"), "velocity")
-    run.updates += n
+    run.updates += len(places)
     return folded.select(*BLOCK, F.col("centre").alias("values")), state
 
 
@@ -150,11 +153,6 @@ def _worker_snapshot(run: _Run, local: DataFrame, iteration: int, steps: int) ->
         run.save(mine, worker_tag(iteration // every * every))
 
 
-def _all_arrive(run: _Run, exchange: int) -> DataFrame:
-    return run.spark.range(run.n_workers).select(
-        F.col("id").cast("int").alias("worker"), F.col("id").alias("place"), F.lit(exchange).cast("bigint").alias("exchange"))
-
-
 def _round_count(spark: SparkSession, iterations: int, period: int) -> int:
     return spark.range(1).select(rounds_of(F.lit(iterations), period)).first()[0]
 
@@ -166,7 +164,7 @@ def _elastic_rounds(run: _Run, samples_of, centre: DataFrame, state: DataFrame,
                         run.solver, RoundRule(), run.n_workers), number, "local")
         if worker_saves:
             _worker_snapshot(run, local, (number + 1) * params.period, params.period)
-        centre, state = _exchange(run, number, local, centre, _all_arrive(run, number), run.n_workers, params)
+        centre, state = _exchange(run, number, local, centre, dict.fromkeys(range(run.n_workers), number), params)
         run.close_round(number)
     return Trained(centre, state, run.log(), run.snapshots, run.updates)
 
@@ -238,9 +236,8 @@ def train_elastic_adaptive(shards: DataFrame, n_workers: int, learner: Learner,
         if 0 in starts:
             _worker_snapshot(run, local, int(ended[0][0]), int(ended[0][0]) - starts[0])
         if met:
-            counted = [(w, i, int(ended[w][0]) - 1 if decay_by_iteration else exchanges[w]) for i, w in enumerate(met)]
-            arrivals = run.spark.createDataFrame(counted, "worker int, place long, exchange long")
-            centre, state = _exchange(run, number, local, centre, arrivals, len(met), params)
+            arrivals = {w: int(ended[w][0]) - 1 if decay_by_iteration else exchanges[w] for w in met}
+            centre, state = _exchange(run, number, local, centre, arrivals, params)
             for w in met:
                 exchanges[w] += 1
                 run.note("exchange", None, w, int(ended[w][0]))

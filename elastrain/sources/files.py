@@ -70,3 +70,10 @@ def scan_sequence_file(spark: SparkSession, path: str, dims: tuple[int, int, int
     pairs = spark.sparkContext.sequenceFile(path)
     rows = spark.createDataFrame(pairs.map(lambda p: (float(p[0]), bytearray(p[1]))), "label float, data binary")
     return rows.select(F.monotonically_increasing_id().alias("id"), "data", "label", _dim(dims).alias("dim"))
+
+
+def decoded(df: DataFrame) -> DataFrame:
+    """Byte payloads as values 0..255; samples that hold values already stay as they are."""
+    if dict(df.dtypes)["data"] != "binary":
+        return df
+    return df.withColumn("data", decode_u8("data").cast("array<float>"))
