@@ -15,24 +15,39 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from elastrain.functions.arrow import Columns, groups_of, tables_of
+
 # Losses are summed in whole billionths, so a sum does not depend on where a block starts.
 UNIT = 1_000_000_000
 BLOCK_ROWS = 1_000_000
 # Threshold of the step "no exchange in this block": below every other, so it sorts first.
 NO_EXCHANGE = -(2**62)
 
-SUMMARY = "worker long, block long, total long, opens boolean, threshold long, exit long, last_iter long, exchanges long"
-ENTRY = "worker long, block long, carried long, last_iter long, exchanges long"
-POINT = "worker long, exchange long, iter long, steps long, units long"
+SUMMARY = ["worker", "block", "total", "opens", "threshold", "exit", "last_iter", "exchanges"]
+ENTRY = ["worker", "block", "carried", "last_iter", "exchanges"]
+POINT = ["worker", "exchange", "iter", "steps", "units"]
+BY_BLOCK = ("worker", "block")
+
+
+def _schema(names: list[str]) -> pa.Schema:
+    return pa.schema([(name, pa.int64()) for name in names])
+
+
+def _ddl(names: list[str]) -> str:
+    return ", ".join(f"{name} long" for name in names)
 
 
-def _sums_after_opening(rows: pd.DataFrame, period: int) -> np.ndarray:
+def _sums_after_opening(rows: Columns, period: int) -> np.ndarray:
     """Running sum of a block, counting only the iterations after the first exchange."""
-    return np.cumsum(np.where(rows["iter"].to_numpy() > period, rows["units"].to_numpy(), 0))
+    return np.cumsum(np.where(rows["iter"] > period, rows["units"], 0))
+
+
+def _opens(rows: Columns, period: int) -> bool:
+    return bool(rows["iter"][0] <= period <= rows["iter"][-1])
 
 
 def _next_exchange(sums: np.ndarray, cut: int) -> np.ndarray:
@@ -52,97 +67,80 @@ def _chain_ends(jump: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return last, count[:n]
 
 
-def _summarise(period: int):
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("iter")
-        iters, cut = rows["iter"].to_numpy(), int(rows["cut"].iloc[0])
-        sums = _sums_after_opening(rows, period)
-        steps = pd.DataFrame({"threshold": [NO_EXCHANGE], "exit": [0], "last_iter": [0], "exchanges": [0]})
-        if cut > 0:
-            last, count = _chain_ends(_next_exchange(sums, cut))
-            first = np.arange(min(len(sums), int(np.searchsorted(sums, cut, side="right")) + 1))
-            found = pd.DataFrame({
-                "threshold": cut - sums[first], "exit": sums[-1] - sums[last[first]],
-                "last_iter": iters[last[first]], "exchanges": count[first],
-            }).drop_duplicates("threshold")
-            found = found[found["threshold"] < cut]
-            # Neighbouring steps with one outcome are one step, at the lower threshold.
-            outcome = found[["exit", "last_iter", "exchanges"]]
-            found = found[outcome.ne(outcome.shift(-1)).any(axis=1)]
-            steps = pd.concat([steps, found.iloc[::-1]], ignore_index=True)
-        return steps.assign(
-            worker=rows["worker"].iloc[0], block=rows["block"].iloc[0], total=sums[-1],
-            opens=bool(iters[0] <= period <= iters[-1]),
-        )[["worker", "block", "total", "opens", "threshold", "exit", "last_iter", "exchanges"]]
-
-    return block
-
-
-def _walk(period: int):
-    """Blocks arrive sorted; the state of a worker is (sum, last exchange, number of exchanges)."""
-
-    def through(state: tuple[int, int, int], steps: pd.DataFrame) -> tuple[int, int, int]:
-        carried, last_iter, count = state
-        if steps["opens"].iloc[0]:
-            last_iter, count = period, 1
-        # The step in force is the highest threshold below the carried sum; a threshold below zero
-        # is reached by every sum.
-        i = int(np.searchsorted(steps["threshold"].to_numpy()[1:], carried, side="left"))
-        if i == 0:
-            return carried + int(steps["total"].iloc[0]), last_iter, count
-        return int(steps["exit"].iloc[i]), int(steps["last_iter"].iloc[i]), count + int(steps["exchanges"].iloc[i])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting, worker, block, state = None, None, 0, (0, 0, 0)
-        out = []
-
-        def enter(steps):
-            nonlocal worker, block, state
-            if steps["worker"].iloc[0] != worker:
-                if worker is not None:
-                    out.append((worker, block + 1, *state))
-                worker, state = steps["worker"].iloc[0], (0, 0, 0)
-            block = steps["block"].iloc[0]
-            out.append((worker, block, *state))
-            state = through(state, steps)
-
-        for batch in batches:
-            rows = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
-            blocks = [steps for _, steps in rows.groupby(["worker", "block"], sort=False)]
-            for steps in blocks[:-1]:
-                enter(steps)
-            waiting = blocks[-1] if blocks else None
-            yield pd.DataFrame(out, columns=["worker", "block", "carried", "last_iter", "exchanges"])
-            out.clear()
-        if waiting is not None:
-            enter(waiting)
-            out.append((worker, block + 1, *state))
-            yield pd.DataFrame(out, columns=["worker", "block", "carried", "last_iter", "exchanges"])
-
-    return walk
-
-
-def _list_points(period: int):
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("iter")
-        iters, cut = rows["iter"].to_numpy(), int(rows["cut"].iloc[0])
-        carried, last_iter, count = (int(rows[c].iloc[0]) for c in ("carried", "last_iter", "exchanges"))
-        sums = _sums_after_opening(rows, period)
-        points = []
-        if iters[0] <= period <= iters[-1]:
-            points.append((1, period, period, cut))
-            last_iter, count = period, 1
-        if cut > 0:
-            jump = _next_exchange(sums, cut)
-            at, before = int(np.searchsorted(sums, cut - carried, side="right")), -carried
-            while at < len(sums):
-                count += 1
-                points.append((count, int(iters[at]), int(iters[at]) - last_iter, int(sums[at]) - before))
-                last_iter, before, at = int(iters[at]), int(sums[at]), int(jump[at])
-        out = pd.DataFrame(points, columns=["exchange", "iter", "steps", "units"])
-        return out.assign(worker=rows["worker"].iloc[0])[["worker", "exchange", "iter", "steps", "units"]]
-
-    return block
+def _summary(rows: Columns, period: int) -> Columns:
+    """The step function of a block: for carried sums above ``threshold``, what comes out of it."""
+    cut, sums = int(rows["cut"][0]), _sums_after_opening(rows, period)
+    threshold, outcome = np.array([NO_EXCHANGE]), np.zeros((1, 3), dtype=np.int64)
+    if cut > 0:
+        last, count = _chain_ends(_next_exchange(sums, cut))
+        # The first exchange of the block can fall on these rows, by falling threshold.
+        first = np.arange(min(len(sums), int(np.searchsorted(sums, cut, side="right")) + 1))
+        found = cut - sums[first]
+        fresh = np.append(True, found[1:] != found[:-1]) & (found < cut)
+        first, found = first[fresh], found[fresh]
+        after = np.stack([sums[-1] - sums[last[first]], rows["iter"][last[first]], count[first]], axis=1)
+        # Neighbouring steps with one outcome are one step, at the lower threshold.
+        ends = np.append((after[1:] != after[:-1]).any(axis=1), True)[:len(first)]
+        threshold = np.append(threshold, found[ends][::-1])
+        outcome = np.concatenate([outcome, after[ends][::-1]])
+    n = len(threshold)
+    return {
+        "worker": np.full(n, rows["worker"][0]), "block": np.full(n, rows["block"][0]), "total": np.full(n, sums[-1]),
+        "opens": np.full(n, int(_opens(rows, period))), "threshold": threshold,
+        "exit": outcome[:, 0], "last_iter": outcome[:, 1], "exchanges": outcome[:, 2],
+    }
+
+
+def _through(state: tuple[int, int, int], steps: Columns, period: int) -> tuple[int, int, int]:
+    """A worker's (sum, last exchange, number of exchanges) after one more block."""
+    carried, last_iter, count = state
+    if steps["opens"][0]:
+        last_iter, count = period, 1
+    # The step in force is the highest threshold below the carried sum.
+    i = int(np.searchsorted(steps["threshold"][1:], carried, side="left"))
+    if i == 0:
+        return carried + int(steps["total"][0]), last_iter, count
+    return int(steps["exit"][i]), int(steps["last_iter"][i]), count + int(steps["exchanges"][i])
+
+
+def _entries(blocks: Iterator[Columns], period: int) -> Iterator[Columns]:
+    """What each block is entered with, and one more entry behind the last block of a worker."""
+
+    def entry(worker, block, state):
+        return {name: np.array([x]) for name, x in zip(ENTRY, (worker, block, *state))}
+
+    worker, block, state = None, 0, (0, 0, 0)
+    for steps in blocks:
+        if steps["worker"][0] != worker:
+            if worker is not None:
+                yield entry(worker, block + 1, state)
+            worker, state = steps["worker"][0], (0, 0, 0)
+        block = steps["block"][0]
+        yield entry(worker, block, state)
+        state = _through(state, steps, period)
+    if worker is not None:
+        yield entry(worker, block + 1, state)
+
+
+def _points(rows: Columns, period: int) -> Columns:
+    """The exchanges inside a block."""
+    iters, cut = rows["iter"], int(rows["cut"][0])
+    carried, last_iter, count = (int(rows[c][0]) for c in ("carried", "last_iter", "exchanges"))
+    sums = _sums_after_opening(rows, period)
+    points = []
+    if _opens(rows, period):
+        points.append((1, period, period, cut))
+        last_iter, count = period, 1
+    if cut > 0:
+        jump = _next_exchange(sums, cut)
+        at, before = int(np.searchsorted(sums, cut - carried, side="right")), -carried
+        while at < len(sums):
+            count += 1
+            points.append((count, int(iters[at]), int(iters[at]) - last_iter, int(sums[at]) - before))
+            last_iter, before, at = int(iters[at]), int(sums[at]), int(jump[at])
+    found = np.array(points, dtype=np.int64).reshape(len(points), 4)
+    columns = {name: found[:, i] for i, name in enumerate(POINT[1:])}
+    return {"worker": np.full(len(points), rows["worker"][0]), **columns}
 
 
 def adaptive_sync_points(log: DataFrame, period: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -164,12 +162,22 @@ def adaptive_sync_points(log: DataFrame, period: int, block_rows: int = BLOCK_RO
     cuts = heads.select("worker", "cut", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)).alias("block"))
     blocks = rows.join(cuts, ["worker", "block"])
 
-    summaries = blocks.groupBy("worker", "block").applyInPandas(_summarise(period), SUMMARY)
-    in_order = summaries.repartition("worker").sortWithinPartitions("worker", "block", "threshold")
-    entries = in_order.mapInPandas(_walk(period), ENTRY)
+    def summarise(batches):
+        return tables_of((_summary(g, period) for g in groups_of(batches, BY_BLOCK)), _schema(SUMMARY))
+
+    def walk(batches):
+        return tables_of(_entries(groups_of(batches, BY_BLOCK), period), _schema(ENTRY))
+
+    def list_points(batches):
+        return tables_of((_points(g, period) for g in groups_of(batches, BY_BLOCK)), _schema(POINT))
+
+    def in_order(df, *by):
+        return df.repartition(*by).sortWithinPartitions("worker", "block", *[c for c in ("iter", "threshold") if c in df.columns])
 
+    summaries = in_order(blocks, "worker", "block").mapInArrow(summarise, _ddl(SUMMARY))
+    entries = in_order(summaries, "worker").mapInArrow(walk, _ddl(ENTRY))
     entered = blocks.join(entries, ["worker", "block"])
-    points = entered.groupBy("worker", "block").applyInPandas(_list_points(period), POINT)
+    points = in_order(entered, "worker", "block").mapInArrow(list_points, _ddl(POINT))
     ends = heads.join(entries, "worker").where(F.col("block") == F.floor((F.col("n") - 1) / block_rows) + 1)
     # Without a first exchange the whole (short) log is what is left.
     left = F.when(F.col("last_iter") == 0, F.col("units")).otherwise(F.col("carried"))

@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from elastrain.functions.arrow import as_matrix, runs
 from elastrain.operators.weights import CHUNK
 from elastrain.plans.learners import Learner, local_step
-from elastrain.plans.scoring import as_matrix
 from elastrain.schema import SolverParams
 
 STATE, SAMPLE = 0, 1
@@ -125,16 +125,6 @@ def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, OUT)], schema=OUT)
 
 
-def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Bounds of the stretches in which all columns stay the same."""
-    n = len(columns[0])
-    changed = np.zeros(n - 1, dtype=bool)
-    for c in columns:
-        changed |= c[1:] != c[:-1]
-    edges = [0, *(np.flatnonzero(changed) + 1), n]
-    yield from zip(edges[:-1], edges[1:])
-
-
 def _stepper(learner: Learner, solver: SolverParams, rule: RoundRule, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = None
@@ -143,7 +133,7 @@ def _stepper(learner: Learner, solver: SolverParams, rule: RoundRule, width: int
                 continue
             numbers, kinds, a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("worker", "kind", "a", "b"))
             group = np.where(kinds == STATE, b, a)
-            for lo, hi in _runs(numbers, kinds, a, group):
+            for lo, hi in runs(numbers, kinds, a, group):
                 if worker is None or worker.number != numbers[lo]:
                     if worker is not None:
                         yield _batch_of(list(worker.rows()))

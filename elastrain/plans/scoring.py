@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from elastrain.functions.arrow import as_matrix
 from elastrain.functions.hashing import hash_key, hash_number
 from elastrain.functions.scores import checked_label, softmax
 from elastrain.operators.aggregates import accuracy_and_loss, vector_sum
@@ -41,16 +42,6 @@ def to_arrays(learner: Learner, weights: DataFrame) -> list[np.ndarray]:
     return params
 
 
-def as_matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    """A list column as a (rows, width) matrix of doubles."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(flat) != len(column) * width:
-        raise ValueError(f"samples must have {width} values each")
-    return flat.reshape(len(column), width)
-
-
 def score(df: DataFrame, weights: DataFrame, learner: Learner, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` (id, data, label, ...) with a column ``scores``, one double per class."""
     if model_bytes(learner) > limit:
