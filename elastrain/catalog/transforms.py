@@ -69,10 +69,9 @@ def decode_u8(spark, sf_dir):
     """Whole texts as bytes, decoded to 0..255: count and sum per document."""
     docs = table(spark, sf_dir, "documents")
     numbers = docs.select("doc_id", arrays.decode_u8(F.encode("text", "UTF-8")).alias("data"))
-    return numbers.select(
-        "doc_id", F.size("data").cast("bigint").alias("n"),
-        F.aggregate("data", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"),
-    )
+    cells = numbers.select("doc_id", F.explode_outer("data").alias("byte"))
+    return cells.groupBy("doc_id").agg(
+        F.count("byte").alias("n"), F.coalesce(F.sum(F.col("byte").cast("bigint")), F.lit(0).cast("bigint")).alias("total"))
 
 
 @query("quantise_u8", """

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from elastrain.functions.arrow import Columns, groups_of, tables_of
+from elastrain.session import materialise
 
 # Losses are summed in whole billionths, so a sum does not depend on where a block starts.
 UNIT = 1_000_000_000
@@ -154,6 +155,8 @@ def adaptive_sync_points(log: DataFrame, period: int, block_rows: int = BLOCK_RO
     rows = log.select(
         F.col("worker").cast("bigint").alias("worker"), F.col("iter").cast("bigint").alias("iter"), units.alias("units"),
         F.floor((F.col("iter") - 1) / block_rows).alias("block"))
+    # Four numbers per entry, read for the cuts, the summaries and the points.
+    rows = materialise(rows, "losses")
     heads = rows.groupBy("worker").agg(
         F.coalesce(F.sum(F.when(F.col("iter") <= period, F.col("units"))), F.lit(0)).alias("cut"),
         F.max("iter").alias("n"), F.sum("units").alias("units"))
@@ -175,7 +178,7 @@ def adaptive_sync_points(log: DataFrame, period: int, block_rows: int = BLOCK_RO
         return df.repartition(*by).sortWithinPartitions("worker", "block", *[c for c in ("iter", "threshold") if c in df.columns])
 
     summaries = in_order(blocks, "worker", "block").mapInArrow(summarise, _ddl(SUMMARY))
-    entries = in_order(summaries, "worker").mapInArrow(walk, _ddl(ENTRY))
+    entries = materialise(in_order(summaries, "worker").mapInArrow(walk, _ddl(ENTRY)), "entries")
     entered = blocks.join(entries, ["worker", "block"])
     points = in_order(entered, "worker", "block").mapInArrow(list_points, _ddl(POINT))
     ends = heads.join(entries, "worker").where(F.col("block") == F.floor((F.col("n") - 1) / block_rows) + 1)

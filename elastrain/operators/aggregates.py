@@ -19,6 +19,20 @@ def vector_sum(values: Column) -> Column:
     return vector_to_array(Summarizer.sum(array_to_vector(values.cast("array<double>"))))
 
 
+SALTS = 256
+
+
+def vector_sums(df: DataFrame, by: list[str], values: str = "values", same: tuple[str, ...] = ()) -> DataFrame:
+    """Element-wise sums per group in two levels; ``same`` names columns that are equal within a group.
+
+    Every map task sends one array per group, so a popular group would get as many arrays as there
+    are tasks in one place. A salt by source partition merges them in up to ``SALTS`` places first.
+    """
+    totals = [vector_sum(F.col(values)).alias(values), *[F.max(c).alias(c) for c in same]]
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    return salted.groupBy(*by, "_salt").agg(*totals).groupBy(*by).agg(*totals)
+
+
 def period_loss(log: DataFrame, period: int) -> DataFrame:
     """Mean loss and mean step time (whole ms) of each full or started period of a worker.
 
@@ -36,7 +50,8 @@ def period_loss(log: DataFrame, period: int) -> DataFrame:
 
 def accumulate_gradients(gradients: DataFrame, k: int, by: list[str]) -> DataFrame:
     """Sum of the gradient blocks of ``k`` consecutive steps (step from 0); ``by`` names worker and block."""
-    return gradients.groupBy(*by, F.floor(F.col("step") / k).alias("push")).agg(vector_sum(F.col("values")).alias("values"))
+    pushes = gradients.withColumn("push", F.floor(F.col("step") / k))
+    return pushes.groupBy(*by, "push").agg(vector_sum(F.col("values")).alias("values"))
 
 
 def squared_norms(history: DataFrame, file: str, values: str) -> DataFrame:

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from elastrain.functions import arrays
 from elastrain.functions.hashing import coin
+from elastrain.operators.aggregates import vector_sums
 
 
 def to_record(df: DataFrame, data: str, label: str, dims: tuple[int, int, int], keep: list[str]) -> DataFrame:
@@ -43,9 +42,15 @@ def quantise_u8(df: DataFrame, warn: bool = False) -> DataFrame:
 
 
 def mean_image(df: DataFrame) -> DataFrame:
-    """Element-wise mean over all samples: one row; partial sums are merged map-side."""
-    vectors = df.select(array_to_vector(F.col("data").cast("array<double>")).alias("v"))
-    return vectors.agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("mean"))
+    """Element-wise mean over all samples, as one row.
+
+    Each sample carries a trailing 1, so the count is summed along with the values.
+    """
+    counted = df.select(F.concat(F.col("data").cast("array<double>"), F.array(F.lit(1.0))).alias("data"))
+    sums = vector_sums(counted, [], "data")
+    count = F.element_at("data", -1)
+    return sums.where(F.size("data") > 0).select(
+        F.transform(F.slice("data", F.lit(1), F.size("data") - 1), lambda x: x / count).alias("mean"))
 
 
 def subtract_mean_image(df: DataFrame, mean: DataFrame) -> DataFrame:

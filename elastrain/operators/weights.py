@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from elastrain.operators.aggregates import vector_sum
+from elastrain.operators.aggregates import vector_sums
 from elastrain.operators.numbering import number_by_value
 
 CHUNK = 4096
@@ -178,9 +178,8 @@ def fold_weighted(arrivals: DataFrame, centre_w: DataFrame) -> DataFrame:
     ``arrivals`` has (layer, chunk, values, weight, kept): ``weight`` is the share an arrival still
     has after all later ones, ``kept`` (the same for all arrivals of a block) what the start has.
     """
-    weighted = arrivals.select(*BLOCK, "kept", F.transform("values", lambda x: x * F.col("weight")).alias("values"))
-    sums = weighted.groupBy(*BLOCK).agg(vector_sum(F.col("values")).alias("sum"), F.max("kept").alias("kept"))
-    joined = centre_w.join(sums, BLOCK, "left")
+    weighted = arrivals.select(*BLOCK, "kept", F.transform("values", lambda x: x * F.col("weight")).alias("sum"))
+    joined = centre_w.join(vector_sums(weighted, BLOCK, "sum", same=("kept",)), BLOCK, "left")
     moved = F.zip_with("values", "sum", lambda c, s: F.col("kept") * c + s)
     return joined.select(*BLOCK, F.when(F.col("sum").isNull(), F.col("values")).otherwise(moved).alias("values"))
 
@@ -199,7 +198,6 @@ def fold_arrivals(arrivals: DataFrame, centre_w: DataFrame, coefficient: float)
 
 def apply_deltas(centre_w: DataFrame, deltas: DataFrame) -> DataFrame:
     """centre minus the sum of all update values pushed for its blocks."""
-    sums = deltas.groupBy(*BLOCK).agg(vector_sum(F.col("values")).alias("sum"))
-    joined = centre_w.join(sums, BLOCK, "left")
+    joined = centre_w.join(vector_sums(deltas.select(*BLOCK, F.col("values").alias("sum")), BLOCK, "sum"), BLOCK, "left")
     moved = F.zip_with("values", "sum", lambda c, d: c - d)
     return joined.select(*BLOCK, F.when(F.col("sum").isNull(), F.col("values")).otherwise(moved).alias("values"))

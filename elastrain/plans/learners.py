@@ -5,6 +5,7 @@ Learners run inside tasks on one mini-batch or one Arrow batch at a time.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -15,12 +16,26 @@ from elastrain.schema import LayerSpec, SolverParams
 Params = list[np.ndarray]
 
 
+@dataclass(frozen=True)
+class Dense:
+    """An inner-product layer: its weight and bias blobs, its input width, and whether ReLU follows."""
+
+    weight: int
+    bias: int
+    width: int
+    relu: bool = False
+
+
 class Learner(Protocol):
+    n_features: int
     n_classes: int
 
     def layers(self) -> list[LayerSpec]:
         """Parameter blobs in order."""
 
+    def dense_layers(self) -> list[Dense]:
+        """The layers in order, for scoring a model that is too large to send out."""
+
     def scores(self, params: Params, x: np.ndarray) -> np.ndarray:
         """Class scores of each row of ``x``."""
 
@@ -59,6 +74,9 @@ class LinearSoftmax:
             _blob(1, "ip.bias", self.n_classes, "bias", "constant", value=0.0),
         ]
 
+    def dense_layers(self) -> list[Dense]:
+        return [Dense(0, 1, self.n_features)]
+
     def scores(self, params, x):
         return x @ params[0].reshape(self.n_classes, self.n_features).T + params[1]
 
@@ -82,6 +100,9 @@ class ReluNet:
             _blob(3, "ip2.bias", self.n_classes, "bias", "constant", value=0.0),
         ]
 
+    def dense_layers(self) -> list[Dense]:
+        return [Dense(0, 1, self.n_features, relu=True), Dense(2, 3, self.n_hidden)]
+
     def _hidden(self, params, x):
         return np.maximum(x @ params[0].reshape(self.n_hidden, self.n_features).T + params[1], 0.0)
 

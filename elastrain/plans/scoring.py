@@ -1,7 +1,7 @@
 """Scores, full-batch gradients and evaluation of a model over a table of samples.
 
 A model up to ``BROADCAST_BYTES`` travels to the tasks and meets the samples there in Arrow batches.
-A larger linear model stays a table: samples and weights are cut into column blocks and joined on
+A larger model stays a table: samples and weights are cut into column blocks and joined on
 them, with the samples spread over salts because every sample has every block.
 """
 
@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from elastrain.functions.arrow import as_matrix
 from elastrain.functions.hashing import hash_key, hash_number
-from elastrain.functions.scores import checked_label, softmax
-from elastrain.operators.aggregates import accuracy_and_loss, vector_sum
+from elastrain.functions.scores import checked_label, cross_entropy, softmax
+from elastrain.operators.aggregates import accuracy_and_loss, vector_sums
 from elastrain.operators.weights import BLOCK, CHUNK
-from elastrain.plans.learners import Learner, LinearSoftmax, softmax_errors
-from elastrain.session import shuffle_width
+from elastrain.plans.learners import Dense, Learner, LinearSoftmax, softmax_errors
+from elastrain.session import materialise, shuffle_width
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 COLUMN_BLOCK = 256
@@ -58,38 +58,45 @@ def score(df: DataFrame, weights: DataFrame, learner: Learner, limit: int = BROA
     return df.withColumn("scores", scored("data"))
 
 
-def _weight_blocks(weights: DataFrame, learner: LinearSoftmax) -> tuple[DataFrame, DataFrame]:
-    """Weight rows as (cls, block, w) and biases as (cls, bias)."""
+def _weight_blocks(weights: DataFrame, layer: Dense) -> tuple[DataFrame, DataFrame]:
+    """Weight rows of a dense layer as (cls, block, w) and its biases as (cls, bias)."""
     values = weights.select(*BLOCK, F.posexplode("values").alias("place", "w"))
     idx = F.col("chunk").cast("bigint") * CHUNK + F.col("place")
-    long = values.where(F.col("layer") == 0).select(
-        F.floor(idx / learner.n_features).cast("int").alias("cls"), F.pmod(idx, F.lit(learner.n_features)).alias("j"), "w")
+    long = values.where(F.col("layer") == layer.weight).select(
+        F.floor(idx / layer.width).cast("int").alias("cls"), F.pmod(idx, F.lit(layer.width)).alias("j"), "w")
     blocks = long.groupBy("cls", F.floor(F.col("j") / COLUMN_BLOCK).cast("int").alias("block")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("j", "w"))), lambda r: r["w"]).alias("w"))
-    biases = values.where(F.col("layer") == 1).select(idx.cast("int").alias("cls"), F.col("w").alias("bias"))
+    biases = values.where(F.col("layer") == layer.bias).select(idx.cast("int").alias("cls"), F.col("w").alias("bias"))
     return blocks, biases
 
 
-def _sample_blocks(df: DataFrame, learner: LinearSoftmax) -> DataFrame:
+def _sample_blocks(df: DataFrame, width: int) -> DataFrame:
     """Samples as (id, salt, block, x): the salt spreads each block over the cluster."""
-    n_blocks = -(-learner.n_features // COLUMN_BLOCK)
+    n_blocks = -(-width // COLUMN_BLOCK)
     pieces = F.transform(
         F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda b: F.slice("data", b * COLUMN_BLOCK + 1, F.lit(COLUMN_BLOCK)))
     salt = F.pmod(hash_number(hash_key("salt", F.col("id"))), F.lit(shuffle_width(df.sparkSession))).cast("int")
     return df.select("id", salt.alias("salt"), F.posexplode(pieces).alias("block", "x"))
 
 
-def _score_by_blocks(df: DataFrame, weights: DataFrame, learner: Learner) -> DataFrame:
-    if not isinstance(learner, LinearSoftmax):
-        raise ValueError("only the linear learner scores beyond the broadcast limit")
-    blocks, biases = _weight_blocks(weights, learner)
+def _dense_by_blocks(df: DataFrame, weights: DataFrame, layer: Dense) -> DataFrame:
+    """(id, out): the outputs of a dense layer for ``df`` (id, data)."""
+    blocks, biases = _weight_blocks(weights, layer)
     salts = F.explode(F.sequence(F.lit(0), F.lit(shuffle_width(df.sparkSession) - 1)))
     salted = blocks.withColumn("salt", salts)
     product = F.aggregate(F.zip_with("x", "w", lambda x, w: x.cast("double") * w), F.lit(0.0), lambda a, p: a + p)
-    sums = _sample_blocks(df, learner).join(salted, ["salt", "block"]).groupBy("id", "cls").agg(F.sum(product).alias("s"))
-    with_bias = sums.join(biases, "cls").groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("cls", (F.col("s") + F.col("bias")).alias("s")))).alias("pairs"))
-    return df.join(with_bias.select("id", F.transform("pairs", lambda p: p["s"]).alias("scores")), "id")
+    sums = _sample_blocks(df, layer.width).join(salted, ["salt", "block"]).groupBy("id", "cls").agg(F.sum(product).alias("s"))
+    with_bias = sums.join(biases, "cls").select("id", "cls", (F.col("s") + F.col("bias")).alias("s"))
+    value = F.greatest(F.col("s"), F.lit(0.0)) if layer.relu else F.col("s")
+    outputs = with_bias.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("cls", value.alias("s")))).alias("pairs"))
+    return outputs.select("id", F.transform("pairs", lambda p: p["s"]).alias("out"))
+
+
+def _score_by_blocks(df: DataFrame, weights: DataFrame, learner: Learner) -> DataFrame:
+    inputs = df.select("id", "data")
+    for layer in learner.dense_layers():
+        inputs = _dense_by_blocks(inputs, weights, layer).withColumnRenamed("out", "data")
+    return df.join(inputs.withColumnRenamed("data", "scores"), "id")
 
 
 def gradient(df: DataFrame, weights: DataFrame, learner: LinearSoftmax, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -120,36 +127,38 @@ def gradient(df: DataFrame, weights: DataFrame, learner: LinearSoftmax, limit: i
             [pa.array([r[i] for r in rows], type=schema.field(i).type) for i in range(3)], schema=schema)
 
     parts = df.select("data", "label").mapInArrow(partial, "layer int, chunk int, values array<double>")
-    return parts.groupBy(*BLOCK).agg(vector_sum(F.col("values")).alias("values"))
+    return vector_sums(parts, BLOCK)
 
 
 def _gradient_by_blocks(df: DataFrame, weights: DataFrame, learner: LinearSoftmax) -> DataFrame:
     scored = _score_by_blocks(df, weights, learner)
     label = checked_label(F.col("scores"), F.col("label"))
-    errors = scored.select("id", F.transform(
-        softmax(F.col("scores")), lambda p, c: p - F.when(c == label, 1.0).otherwise(0.0)).alias("errors"))
-    met = _sample_blocks(df, learner).join(errors, "id")
+    probability = softmax(F.col("scores"))
+    # Scoring is the costly part and its result is needed three times.
+    errors = materialise(scored.select(
+        "id", cross_entropy(F.col("scores"), F.col("label")).alias("loss"),
+        F.transform(probability, lambda p, c: p - F.when(c == label, 1.0).otherwise(0.0)).alias("errors")), "errors")
+    met = _sample_blocks(df, learner.n_features).join(errors, "id")
     terms = met.select("block", "x", F.posexplode("errors").alias("cls", "e")).select(
         "cls", "block", F.transform("x", lambda x: x.cast("double") * F.col("e")).alias("v"))
-    sums = terms.groupBy("cls", "block").agg(vector_sum(F.col("v")).alias("v"))
-    long = sums.select("cls", "block", F.posexplode("v").alias("k", "value")).select(
+    long = vector_sums(terms, ["cls", "block"], "v").select("cls", "block", F.posexplode("v").alias("k", "value")).select(
         F.lit(0).alias("layer"),
         (F.col("cls").cast("bigint") * learner.n_features + F.col("block") * COLUMN_BLOCK + F.col("k")).alias("idx"), "value")
-    bias = errors.select(F.posexplode("errors").alias("cls", "e")).groupBy("cls").agg(F.sum("e").alias("value")).select(
+    bias = vector_sums(errors.select("errors"), [], "errors").select(F.posexplode("errors").alias("cls", "value")).select(
         F.lit(1).alias("layer"), F.col("cls").cast("bigint").alias("idx"), "value")
     cells = long.unionByName(bias).select(
         "layer", F.floor(F.col("idx") / CHUNK).cast("int").alias("chunk"), "idx", "value")
     packed = cells.groupBy(*BLOCK).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("r"))
-    loss = accuracy_and_loss(scored, "scores", "label", ks=())
-    stats = loss.select(F.lit(-1).alias("layer"), F.lit(0).alias("chunk"),
-                        F.array(F.col("loss") * F.col("n"), F.col("n").cast("double")).alias("values"))
-    return packed.select(*BLOCK, F.transform("r", lambda r: r["value"]).alias("values")).unionByName(stats)
+    stats = errors.agg(F.array(F.sum("loss"), F.count(F.lit(1)).cast("double")).alias("values"))
+    return packed.select(*BLOCK, F.transform("r", lambda r: r["value"]).alias("values")).unionByName(
+        stats.select(F.lit(-1).alias("layer"), F.lit(0).alias("chunk"), "values"))
 
 
 def sgd_step(df: DataFrame, state: DataFrame, learner: LinearSoftmax, rate: float, momentum: float = 0.0,
              weight_decay: float = 0.0, limit: int = BROADCAST_BYTES) -> DataFrame:
     """One full-batch step on a state table (layer, chunk, values, velocity); the model stays a table."""
-    grads = gradient(df, state, learner, limit)
+    # As large as the model, and read twice below.
+    grads = materialise(gradient(df, state, learner, limit), "gradient")
     rows = grads.where(F.col("layer") == -1).select(F.col("values")[1].alias("rows")).scalar()
     multipliers = {s.layer: (s.lr_mult, s.decay_mult) for s in learner.layers()}
 

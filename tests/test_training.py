@@ -259,6 +259,15 @@ def test_blocks_and_broadcast_agree(spark, monkeypatch):
         assert b[k] == pytest.approx(a[k])
 
 
+def test_relu_scores_by_blocks(spark):
+    net = ReluNet(D, 5, C)
+    x, y = planted(20)
+    df, w = frame(spark, x, y), init_weights(layer_table(spark, net.layers()), 3)
+    small, large = ({r["id"]: r["scores"] for r in score(df, w, net, limit).collect()} for limit in (1 << 20, 0))
+    for i in small:
+        assert large[i] == pytest.approx(small[i])
+
+
 def test_held_out_accuracy_beats_the_majority(spark):
     x, y = planted(400, seed=3)
     solver = SolverParams(base_lr=0.3, max_iter=20, momentum=0.9, batch_size=20)
