@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from elastrain.catalog.common import SEED, WORKERS
+from elastrain.catalog.common import SEED, SQL_SHARDED, WORKERS, sharded
 from elastrain.catalog.registry import query, table
 from elastrain.operators.batching import assign_workers
 from elastrain.plans import training as T
@@ -133,6 +133,88 @@ def warm_start(spark, sf_dir):
     return _result(again, rows, LINEAR)
 
 
+VECTORS = LinearSoftmax(64, 10)
+MIX = 0.3
+
+
+SQL_SHUFFLED_PICK = f"""row_number() OVER (PARTITION BY worker ORDER BY md5('{SEED}:' || {{t}} || ':' || id)) <= (SELECT min(n) FROM sizes)"""
+SQL_STORED_PICK = """(row_number() OVER (PARTITION BY worker ORDER BY id) - 1 + {t} * (n - (SELECT min(n) FROM sizes))) % n < (SELECT min(n) FROM sizes)"""
+
+
+def _sql_local_steps(steps, pick=SQL_SHUFFLED_PICK, data="data::double[]"):
+    """Every worker's weights after steps from zero, each on a batch as large as the smallest shard.
+
+    ``pick`` says which rows of a shard step t takes.
+    """
+    ctes = [SQL_SHARDED, """sizes AS (SELECT worker, count(*) AS n FROM sharded GROUP BY worker)""",
+            "x AS (SELECT id, worker, label, unnest(range(-1, 64))::int AS j, unnest(list_prepend(1.0::double, " + data + ")) AS x FROM sharded)",
+            "w0 AS (SELECT worker, c::int AS cls, j::int AS j, 0.0::double AS w, 0.0::double AS v FROM sizes, range(10) AS a(c), range(-1, 64) AS b(j))"]
+    for t in range(steps):
+        ctes += [
+            f"b{t} AS (SELECT id FROM (SELECT id, {pick.format(t=t)} AS taken FROM sharded JOIN sizes USING (worker)) WHERE taken)",
+            f"s{t} AS (SELECT id, worker, label, cls, sum(x * w) AS s FROM x JOIN b{t} USING (id) JOIN w{t} USING (worker, j) GROUP BY id, worker, label, cls)",
+            f"p{t} AS (SELECT id, worker, label, cls, exp(s) / sum(exp(s)) OVER (PARTITION BY id) AS p FROM s{t})",
+            f"""g{t} AS (SELECT x.worker, cls, j, sum((p - (cls = x.label)::int) * x) / (SELECT min(n) FROM sizes) AS g
+  FROM p{t} JOIN x ON x.id = p{t}.id GROUP BY x.worker, cls, j)""",
+            f"""u{t} AS (SELECT worker, cls, j, w, 0.9::double * v + 2.0::double * (CASE WHEN j < 0 THEN 2 ELSE 1 END)
+  * (g + CASE WHEN j < 0 THEN 0 ELSE 0.004::double END * w) AS v FROM w{t} JOIN g{t} USING (worker, cls, j))""",
+            f"w{t + 1} AS (SELECT worker, cls, j, w - v AS w, v FROM u{t})"]
+    return "WITH " + ", ".join(ctes)
+
+
+def _vector_run(spark, sf_dir):
+    """The vectors with their worker, and two local steps per round on batches of the smallest shard."""
+    rows = sharded(spark, sf_dir)
+    batch = min(worker_rows(rows, WORKERS).values())
+    return rows, {"base_lr": 2.0, "momentum": 0.9, "weight_decay": 0.004, "batch_size": batch}
+
+
+def _dense_cells(centre):
+    cells = centre.select("layer", F.posexplode("values").alias("i", "value"))
+    bias = F.col("layer") == 1
+    return cells.select(
+        F.when(bias, F.col("i")).otherwise(F.floor(F.col("i") / 64)).cast("int").alias("cls"),
+        F.when(bias, F.lit(-1)).otherwise(F.pmod("i", F.lit(64))).cast("int").alias("j"),
+        (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query("elastic_round", f"""
+{_sql_local_steps(2)} SELECT cls, j, round(sum({MIX}::double * pow(1 - {MIX}::double, {WORKERS - 1} - worker) * w), 6) + 0.0 AS value
+FROM w2 GROUP BY cls, j""")
+def elastic_round(spark, sf_dir):
+    """The centre after one round of elastic averaging: two epochs staged, two local steps, four exchanges."""
+    rows, settings = _vector_run(spark, sf_dir)
+    params = ExchangeParams(period=2, moving_rate=MIX)
+    trained = T.train_elastic(rows, ["id"], WORKERS, VECTORS, SolverParams(max_iter=2, **settings), params, SEED)
+    return _dense_cells(trained.centre)
+
+
+@query("delta_round", f"""
+{_sql_local_steps(2)} SELECT cls, j, round(sum(w), 6) + 0.0 AS value FROM w2
+WHERE worker IN (SELECT worker FROM sizes WHERE 12 * n // (SELECT sum(n) FROM sizes) // 2 >= 1) GROUP BY cls, j""")
+def delta_round(spark, sf_dir):
+    """The centre after each worker pushed the sum of two updates; the budget is one push for shares from 1/6 to 1/3."""
+    rows, settings = _vector_run(spark, sf_dir)
+    trained = T.train_delta(rows, ["id"], WORKERS, 2, VECTORS, SolverParams(max_iter=12, **settings), SEED)
+    return _dense_cells(trained.centre)
+
+
+@query("shards_round", f"""
+{_sql_local_steps(2, SQL_STORED_PICK, "list_transform(data, lambda x: (trunc(x::double * 100)::int & 255) / 255.0::double)")}
+SELECT cls, j, round(sum({MIX}::double * pow(1 - {MIX}::double, {WORKERS - 1} - worker) * w), 6) + 0.0 AS value
+FROM w2 GROUP BY cls, j""")
+def shards_round(spark, sf_dir):
+    """The same round over stored bytes: batches follow the key order and wrap around."""
+    rows, settings = _vector_run(spark, sf_dir)
+    path = fresh_path(spark, "shards")
+    materialise_shards(rows.withColumn("data", F.transform("data", lambda x: x.cast("double") * 100)), "id", path, block_rows=BLOCK)
+    shards = read_shards(spark, path)
+    scaled = shards.withColumn("data", F.transform("data", lambda x: x / 255))
+    params = ExchangeParams(period=2, moving_rate=MIX)
+    trained = T.train_elastic_from_shards(scaled, WORKERS, VECTORS, SolverParams(max_iter=2, **settings), params, BLOCK, SEED)
+    return _dense_cells(trained.centre)
+
+
 @query("training_report", """
 WITH log AS (SELECT user_id AS run, event_id AS iter, CASE WHEN event_type = 'error' THEN 'accuracy' ELSE 'loss' END AS kind,
                     value, epoch_us(ts) / 1e6::double AS elapsed_s FROM events)
