@@ -69,12 +69,11 @@ def exchange():
 
 
 def _result(trained, rows, learner):
-    """Losses by iteration, updates, and the accuracy over all documents."""
-    report = T.training_report(trained.log).select("first_loss", "last_loss", "steps")
-    scored = evaluate(rows, trained.centre, learner)
-    joined = scored.select("accuracy_1", "loss", "n").withColumn("updates", F.lit(trained.updates))
-    one = report.withColumn("k", F.lit(1)).join(joined.withColumn("k", F.lit(1)), "k")
-    return one.select("n", "updates", "steps", "first_loss", "last_loss", "accuracy_1", "loss")
+    """Updates, steps and losses of the run, and the accuracy over all documents."""
+    run = T.training_report(trained.log).first()
+    noted = [F.lit(run[name]).alias(name) for name in ("steps", "first_loss", "last_loss")]
+    return evaluate(rows, trained.centre, learner).select(
+        "n", F.lit(trained.updates).alias("updates"), *noted, "accuracy_1", "loss")
 
 
 @query("train_elastic")

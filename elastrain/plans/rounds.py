@@ -6,6 +6,9 @@ stored shards are read by block.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +73,17 @@ class ShuffledEpochs:
         return self.df.sparkSession.read.parquet(*folders)
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping or touching spans joined."""
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(spans):
+        if out and low <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
 class StoredShards:
     """Stored shards read in key order, over and over, ``batch`` rows a step."""
 
@@ -94,12 +108,14 @@ class StoredShards:
     def samples(self, starts: dict[int, int], steps: dict[int, int]) -> DataFrame:
         """Rows of ``steps[w]`` steps from iteration ``starts[w]`` on, for each worker named.
 
-        The list of stretches has a few rows per worker; joined on the partition columns it prunes
-        the scan to their blocks.
+        The list of stretches has a few rows per worker. Their blocks and merged positions prune
+        the scan, so only rows some worker needs are decoded; the join gives each worker its own.
         """
         stretches = [s for w, first in starts.items() for s in self._stretches(w, first, steps[w])]
         spark = self.shards.sparkSession
         wanted = spark.createDataFrame(stretches, "worker int, block int, low long, high long, shift long")
-        found = self.shards.join(F.broadcast(wanted), ["worker", "block"]).where(F.col("pos").between(F.col("low"), F.col("high")))
+        spans = [F.col("pos").between(low, high) for low, high in _merged([s[2:4] for s in stretches])]
+        opened = self.shards.where(F.col("block").isin(sorted({s[1] for s in stretches}))).where(reduce(or_, spans))
+        found = opened.join(F.broadcast(wanted), ["worker", "block"]).where(F.col("pos").between(F.col("low"), F.col("high")))
         place = F.col("pos") + F.col("shift")
         return found.select("worker", F.floor(place / self.batch).alias("step"), place.alias("pos"), "data", "label")

@@ -24,7 +24,7 @@ for name, fn in entry.queries().items():
     start = time.time()
     try:
         if name in sqls:
-            problems = compare(spark, con, name, fn, sqls[name], sf_dir)
+            problems = compare(con, name, fn(spark, sf_dir), sqls[name])
             note = "ok"
         else:
             problems, note = [], f"rows {fn(spark, sf_dir).count()}"

@@ -22,8 +22,8 @@ def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values(list(pdf.columns), ignore_index=True) if len(pdf) else pdf
 
 
-def compare(spark, con, name: str, fn, sql: str, sf_dir: str) -> list[str]:
-    got = _sorted(fn(spark, sf_dir).toPandas())
+def compare(con, name: str, df, sql: str) -> list[str]:
+    got = _sorted(df.toPandas())
     want = _sorted(con.execute(sql).df())
     problems = []
     if list(got.columns) != list(want.columns):

@@ -10,6 +10,7 @@ from elastrain.operators.batching import assign_workers
 from elastrain.plans import training as T
 from elastrain.plans.learners import LinearSoftmax, ReluNet, local_step
 from elastrain.plans.parameters import init_weights, layer_table
+from elastrain.plans.rounds import StoredShards, _merged
 from elastrain.plans.scoring import evaluate, gradient, score, to_arrays
 from elastrain.schema import ExchangeParams, SolverParams
 from elastrain.sources.shards import materialise_shards, read_shards
@@ -207,6 +208,19 @@ def test_elastic_from_shards_equals_a_loop(spark, tmp_path):
     assert load_weights(spark, trained.snapshots, "state_worker_iter_6.weight").count() == 2
 
 
+def test_a_round_opens_only_its_rows(spark, tmp_path):
+    _, _, df = stored(spark, tmp_path, 50, block_rows=6)
+    source = StoredShards(df, WORKERS, BATCH, block_rows=6)
+    found = source.samples({w: 1 for w in range(WORKERS)}, {w: 1 for w in range(WORKERS)})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "block#" in plan.split("PartitionFilters")[1] and "GreaterThanOrEqual(pos,4), LessThanOrEqual(pos,7)" in plan
+    assert found.count() == WORKERS * BATCH
+
+
+def test_spans_are_merged():
+    assert _merged([(5, 9), (0, 3), (4, 4), (20, 25), (8, 12)]) == [(0, 12), (20, 25)]
+
+
 def test_adaptive_equals_a_loop(spark, tmp_path):
     x, y, df = stored(spark, tmp_path, 50, block_rows=6)
     solver = SolverParams(base_lr=0.05, max_iter=23, momentum=0.5, batch_size=BATCH)
