@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from elastrain.llm import bpe, exact_dedup, pii, simhash, url_filter
+from elastrain.llm import bpe, exact_dedup, pii, simhash, url_filter, warc
+from elastrain.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,6 +93,30 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_pages(read(spark, sf_dir, "pages"), rules)
 
 
+@query("""
+WITH base AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response FROM pages)
+SELECT page_id, octet_length(encode(html))::bigint AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(h, 1 + 5 * (i // 4)::int, 5))::int >> (15 - 5 * (i % 4))::int) & 31) + 1), 1)), '') AS payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response THEN response END AS refers_to
+FROM base""")
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_warc(read(spark, sf_dir, "pages"), path)
+    records = warc.read_warc(spark, path)
+    number = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1).try_cast("bigint")
+    revisit = F.col("type") == "revisit"
+    return records.select(
+        number("record_id").alias("page_id"),
+        F.when(revisit, F.col("http_length")).otherwise(F.octet_length("payload")).cast("bigint").alias("payload_bytes"),
+        F.when(revisit, F.substring("payload_digest", 6, 32)).otherwise(warc.base32(F.sha1("payload"))).alias("payload_digest"),
+        F.col("type").alias("record_type"), number("refers_to").alias("refers_to"),
+    )
+
+
 @query()
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(read(spark, sf_dir, "documents"))
