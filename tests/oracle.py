@@ -18,7 +18,7 @@ def connect(sf_dir: str):
 
 
 def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf[sorted(pdf.columns)]
+    pdf = pdf[sorted(pdf.columns)].convert_dtypes(convert_string=False, convert_floating=False)
     return pdf.sort_values(list(pdf.columns), ignore_index=True) if len(pdf) else pdf
 
 
