@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from elastrain.llm import bpe, decontaminate, exact_dedup, pii, simhash, url_filter, warc
+from elastrain.llm import bpe, decontaminate, exact_dedup, pii, quality, simhash, url_filter, warc
 from elastrain.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,14 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_pages(read(spark, sf_dir, "pages"), rules)
 
 
+@query()
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality.learnable(read(spark, sf_dir, "labels")))
+    rows = quality.score(docs, model)
+    return rows.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query("""
 WITH base AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
