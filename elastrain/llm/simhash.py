@@ -82,7 +82,8 @@ def hamming_links(prints: DataFrame, radius: int = 3, segments: int = 2) -> Data
         "a", "seg", F.expr("(a & mask) ^ flip").alias("key")
     )
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    return queries.join(index, ["seg", "key"]).where(near).select("a", "b")
+    # Sizes are judged before the rows are multiplied, so the sides are not left to a broadcast by estimate.
+    return queries.join(index.hint("merge"), ["seg", "key"]).where(near).select("a", "b")
 
 
 def near_duplicates(
