@@ -178,13 +178,17 @@ def exact_duplicates(batch: DataFrame, snapshot: Snapshot, id_col: str = "doc_id
         both.where("n > 1 OR (hit AND old)").select("digest").union(old.where("n > 1").select("digest")).distinct(),
         "suspects",
     )
-    texts = new.union(snapshot.docs).join(suspects, "digest", "left_semi")
+    # Their texts are fetched by a key of the row, not by the digest, so copies stay spread over all tasks
+    # and are pre-aggregated there before they meet.
+    everything = new.union(snapshot.docs).withColumn("row", F.xxhash64("doc_id", "digest"))
+    wanted = everything.select("row", "digest").join(suspects, "digest", "left_semi").select("row")
+    texts = everything.join(wanted.hint("merge"), "row", "left_semi")
     exact = texts.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     exact = exact.groupBy("digest").agg(
         F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"), F.count("*").alias("texts")
     )
     exact = write_table(exact, "groups")
-    rows = new.union(snapshot.docs).select("doc_id", "digest").join(exact, "digest", "left")
+    rows = everything.select("doc_id", "digest").join(exact, "digest", "left")
     one = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256"))).otherwise(F.col("group_size"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return rows.select(
