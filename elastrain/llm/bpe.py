@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from elastrain.llm.common import arrow_map, column, documents
+from elastrain.llm.common import arrow_map, column, documents, grouped
 
 # Classes of characters. Letters that matter in contractions have their own.
 SPACE, WHITE, LETTER, STMD, R_V, L, E, NUMBER, QUOTE, OTHER, END = range(11)
@@ -31,7 +31,6 @@ WHITE_SPACE = "\t\n\v\f\r \x85\xa0               
 # States: a quote would start a token; would not; was the start; then r or v; then l; contraction complete.
 FRESH, INSIDE, QUOTED, QUOTED_RV, QUOTED_L, DONE = range(6)
 BLOCK = 128
-CHARS_AT_ONCE = 1 << 20
 CACHE_SIZE, CACHE_CHARS = 500_000, 40
 SHORT = 100
 
@@ -215,19 +214,6 @@ def encode_texts(texts: list[str], merges: Merges) -> tuple[np.ndarray, np.ndarr
     return np.fromiter(chain.from_iterable(ids), np.int32, total[-1]), np.diff(np.concatenate([[0], total[closing + 1]]))
 
 
-def grouped(texts: list[str]) -> Iterator[list[str]]:
-    """Texts in groups of about CHARS_AT_ONCE characters; a longer text is alone."""
-    group, size = [], 0
-    for text in texts:
-        if group and size + len(text) > CHARS_AT_ONCE:
-            yield group
-            group, size = [], 0
-        group.append(text)
-        size += len(text)
-    if group:
-        yield group
-
-
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.int32()))
 

@@ -12,6 +12,7 @@ from elastrain.session import fresh_path
 
 ARROW_BYTES = 8 << 20
 ARROW_ROWS = 2000
+CHARS_AT_ONCE = 1 << 20
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,14 +42,18 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def batches(columns: dict[str, list], types: dict[str, pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[n], type=t) for n, t in types.items()], names=list(types))
-
-
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def pieces(items: list, size: int) -> Iterator[list]:
-    for at in range(0, len(items), size):
-        yield items[at : at + size]
+def grouped(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in groups of about CHARS_AT_ONCE characters; a longer text is alone."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text) > CHARS_AT_ONCE:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group

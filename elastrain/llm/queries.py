@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from elastrain.llm import bpe, decontaminate, exact_dedup, pii, quality, simhash, suffix_dedup, url_filter, warc
+from elastrain.llm import bpe, decontaminate, exact_dedup, pii, quality, simhash, suffix_dedup, token_counts, url_filter, warc
 from elastrain.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +111,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@query()
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("""
 WITH base AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
