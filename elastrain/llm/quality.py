@@ -157,6 +157,11 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
     return Model(np.frombuffer(got[0]["weights"], np.float32), np.frombuffer(got[0]["norm"], np.float32), got[0]["bias"])
 
 
+def _scored(texts: list[str | None], model: Model, tokens: Tokens) -> np.ndarray:
+    margins = np.array([model.margin(features(t or "", tokens)) for t in texts])
+    return 1 / (1 + np.exp(-STEEPNESS * np.clip(margins, -20, 20)))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score (0 to 1, higher: label 1 likelier), predicted (1 from 0.5 up).
 
@@ -168,10 +173,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tokens = Model(*sent.value), Tokens()
         for batch in parts:
-            margins = np.array([own.margin(features(t, tokens)) for t in column(batch, "text")])
-            scores = 1 / (1 + np.exp(-STEEPNESS * np.clip(margins, -20, 20)))
+            scores = _scored(column(batch, "text"), own, tokens)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"]
             )
 
     return arrow_map(documents(docs, id_col, text_col), run, "doc_id bigint, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores 0.5 or more; null text counts as empty."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.norm, model.bias))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, tokens = Model(*sent.value), Tokens()
+        for batch in parts:
+            yield batch.filter(pa.array(_scored(column(batch, text_col), own, tokens) >= 0.5))
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
