@@ -9,7 +9,7 @@ from elastrain.llm.common import write_table
 
 
 def smallest_reachable(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b): root is the smallest node of its component.
+    """(node, root) for the nodes of the links (a, b) that are not the smallest of their component, which is root.
 
     Each step is a partial aggregate and a join on the node, so a node with very many links is split by
     the join; nothing is gathered by component. The edges of a step are written to the shared folder.

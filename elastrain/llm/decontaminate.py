@@ -125,11 +125,14 @@ def contamination(
     Null and empty texts have no words and no hits; items without words have no windows; an item that
     stands twice counts once. Rows that repeat are each returned. Empty tables give no rows or no hits.
     """
+    # A missing id is a number of its own until the end, so that joins and groups see it like any other.
+    missing = F.lit(-(1 << 63))
+    docs = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), missing).alias("doc_id"), whole_text(docs, text_col).alias("text"))
     windows = write_table(windows_of(items, item_col, item_text_col, width), "windows")
     vocabulary = windows.select(F.explode("words").alias("term")).distinct()
-    counts = write_table(corpus_counts(docs, text_col, vocabulary), "counts")
+    counts = write_table(corpus_counts(docs, "text", vocabulary), "counts")
     places = write_table(anchors(windows, counts), "anchors")
-    index = build_index(docs, places.select("term").distinct(), id_col, text_col, width)
+    index = build_index(docs, places.select("term").distinct(), "doc_id", "text", width)
     found = write_table(find_windows(index, places, width).distinct(), "found")
 
     row = ["doc_id", "key"]
@@ -143,12 +146,11 @@ def contamination(
     near = found.where((F.col("same") < F.col("length")) & (F.col("same") >= F.ceil(F.col("length") * NEAR)))
     near = near.select(*row, "start").distinct().groupBy(*row).agg(F.count("*").alias("n_near"))
     marks = hits.join(which, row, "full").join(near, row, "full")
-    documents = index.where("pos = 0").select("doc_id", "key", F.col("lead").cast("bigint").alias("n_words"))
-    marks = marks.withColumnRenamed("doc_id", "marked_id").withColumnRenamed("key", "marked_key")
-    joined = documents.join(marks, (F.col("key") == F.col("marked_key")) & F.col("doc_id").eqNullSafe(F.col("marked_id")), "left")
+    documents = index.where("pos = 0").select(*row, F.col("lead").cast("bigint").alias("n_words"))
+    joined = documents.join(marks, row, "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(items_).cast("bigint").alias("n_items"),
+        F.when(F.col("doc_id") != missing, F.col("doc_id")).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(items_).cast("bigint").alias("n_items"),
         items_.alias("items"), F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
     )
 

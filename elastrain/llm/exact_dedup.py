@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from elastrain.llm.common import bounded_batches, documents, write_table
 
 KEYS_PER_FILTER = 100_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX = 0x9E3779B97F4A7C15
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit finaliser over keys and seed."""
-    x = x + _MIX * np.uint64(seed + 1)
+    x = x + np.uint64(_MIX * (seed + 1) % (1 << 64))
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))

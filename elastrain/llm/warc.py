@@ -153,7 +153,8 @@ def _verify(key, table):
     start, end_of_file = begin - len(MAGIC), int(size.sum()) - len(MAGIC)
     end = np.append(start[1:], end_of_file)
     successor = np.where((claim >= 0) & (start >= 0), start + claim, -1)
-    good = reached(start, successor) & (successor <= end_of_file)
+    # A record ends where another magic stands, or with the archive; otherwise it is broken.
+    good = reached(start, successor) & (np.isin(successor, start) | (successor == end_of_file))
     plain = good & (successor == end)
     owner = np.maximum.accumulate(np.where(good, np.arange(len(good)), -1)) if len(good) else np.zeros(0, np.int64)
     inside = (owner >= 0) & (start < np.where(owner >= 0, successor[owner], 0))
