@@ -78,12 +78,12 @@ def worker_partitions(spark, sf_dir):
 
 @query("top_k_classes", """
 WITH scores AS (
-  SELECT vec_id AS id, unnest(embedding[1:10])::double AS score, unnest(range(10))::int AS cls FROM embeddings)
+  SELECT vec_id AS id, unnest(embedding)::double AS score, unnest(range(64))::int AS cls FROM embeddings)
 SELECT id, rank::int AS rank, cls, round(score, 6) + 0.0 AS score FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, cls) AS rank FROM scores) WHERE rank <= 5""")
 def top_k_classes(spark, sf_dir):
-    """The first ten values of each vector as class scores."""
-    scored = samples(spark, sf_dir).select("id", F.slice("data", 1, 10).cast("array<double>").alias("scores"))
+    """The values of each vector as scores of 64 classes."""
+    scored = samples(spark, sf_dir).select("id", F.col("data").cast("array<double>").alias("scores"))
     return B.top_k_classes(scored, ["id"], "scores", 5).withColumn("score", F.round("score", 6) + 0.0)
 
 

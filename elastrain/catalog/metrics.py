@@ -44,7 +44,7 @@ def accumulate_gradients(spark, sf_dir):
 
 
 SQL_SCORES = """scores AS (
-  SELECT vec_id AS id, label, list_transform(embedding[1:10], lambda x: x::double) AS s FROM embeddings),
+  SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::double) AS s FROM embeddings),
 scored AS (
   SELECT id, label, (len(list_filter(s, lambda x: x > s[label + 1])) < 1)::int::double AS hit1,
          (len(list_filter(s, lambda x: x > s[label + 1])) < 5)::int::double AS hit5,
@@ -52,8 +52,8 @@ scored AS (
 
 
 def scored_rows(spark, sf_dir):
-    """The first ten values of each vector as its class scores."""
-    rows = samples(spark, sf_dir).select("id", "label", F.slice("data", 1, 10).cast("array<double>").alias("scores"))
+    """The values of each vector as the scores of 64 classes."""
+    rows = samples(spark, sf_dir).select("id", "label", F.col("data").cast("array<double>").alias("scores"))
     return rows.select(
         "id", "label", "scores", hit_at(F.col("scores"), F.col("label"), 1).alias("hit1"),
         hit_at(F.col("scores"), F.col("label"), 5).alias("hit5"), cross_entropy(F.col("scores"), F.col("label")).alias("loss"))

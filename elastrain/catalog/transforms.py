@@ -69,9 +69,10 @@ def decode_u8(spark, sf_dir):
     """Whole texts as bytes, decoded to 0..255: count and sum per document."""
     docs = table(spark, sf_dir, "documents")
     numbers = docs.select("doc_id", arrays.decode_u8(F.encode("text", "UTF-8")).alias("data"))
-    cells = numbers.select("doc_id", F.explode_outer("data").alias("byte"))
-    return cells.groupBy("doc_id").agg(
-        F.count("byte").alias("n"), F.coalesce(F.sum(F.col("byte").cast("bigint")), F.lit(0).cast("bigint")).alias("total"))
+    total = F.aggregate("data", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    empty = F.lit(0).cast("bigint")
+    return numbers.select(
+        "doc_id", F.coalesce(F.size("data").cast("bigint"), empty).alias("n"), F.coalesce(total, empty).alias("total"))
 
 
 @query("quantise_u8", """
@@ -111,8 +112,7 @@ def subtract_mean_image(spark, sf_dir):
 
 @query("subtract_channel_mean", sql_values(
     "embeddings",
-    f"list_transform(embedding, lambda x, i: x::double - {CHANNEL_MEANS}::double[][(i - 1) // 16 + 1])".replace(
-        "[104.0, 117.0, 123.0, 110.0]::double[]", "([104.0, 117.0, 123.0, 110.0]::double[])")))
+    "list_transform(embedding, lambda x, i: x::double - list_extract([104.0, 117.0, 123.0, 110.0]::double[], (i - 1) // 16 + 1))"))
 def subtract_channel_mean(spark, sf_dir):
     return values_of(S.subtract_channel_mean(samples(spark, sf_dir, CHANNELS), CHANNEL_MEANS, 16), ["id"])
 

@@ -23,6 +23,12 @@ def parity_list(spark, sf_dir, parity):
     return M.chunked(layers, size=SIZE)
 
 
+def whole_list(spark, sf_dir):
+    """Every vector as a layer of one list."""
+    rows = table(spark, sf_dir, "embeddings")
+    return M.chunked(rows.select(F.col("vec_id").alias("layer"), F.col("embedding").alias("values")), size=SIZE)
+
+
 def both(spark, sf_dir):
     return parity_list(spark, sf_dir, 0), parity_list(spark, sf_dir, 1)
 
@@ -42,6 +48,14 @@ b AS (
   FROM embeddings WHERE vec_id % 2 = 1)"""
 
 
+SQL_WHOLE = """w AS (
+  SELECT vec_id::int AS layer, unnest(range(64))::bigint AS idx, unnest(embedding)::double AS x FROM embeddings)"""
+
+
+def sql_whole(expr):
+    return f"WITH {SQL_WHOLE} SELECT layer, idx, round({expr}, 6) + 0.0 AS value FROM w"
+
+
 def sql_pair(expr):
     return f"WITH {SQL_WEIGHTS} SELECT layer, idx, round({expr}, 6) + 0.0 AS value FROM a JOIN b USING (layer, idx)"
 
@@ -66,20 +80,20 @@ def sub_weights(spark, sf_dir):
     return long_weights(M.sub_weights(*both(spark, sf_dir)))
 
 
-@query("scale_weights", sql_pair("0.25 * x"))
+@query("scale_weights", sql_whole("0.25 * x"))
 def scale_weights(spark, sf_dir):
-    return long_weights(M.scale_weights(parity_list(spark, sf_dir, 0), 0.25))
+    return long_weights(M.scale_weights(whole_list(spark, sf_dir), 0.25))
 
 
-@query("zero_weights", sql_pair("0.0 * x"))
+@query("zero_weights", sql_whole("0.0 * x"))
 def zero_weights(spark, sf_dir):
-    return long_weights(M.zero_weights(parity_list(spark, sf_dir, 0)))
+    return long_weights(M.zero_weights(whole_list(spark, sf_dir)))
 
 
 @query("slice_weights", f"""
-WITH {SQL_WEIGHTS} SELECT layer, idx, round(x, 6) + 0.0 AS value FROM a WHERE idx BETWEEN 10 AND 37""")
+WITH {SQL_WHOLE} SELECT layer, idx, round(x, 6) + 0.0 AS value FROM w WHERE idx BETWEEN 10 AND 37""")
 def slice_weights(spark, sf_dir):
-    cut = M.slice_weights(parity_list(spark, sf_dir, 0), 10, 28, size=SIZE)
+    cut = M.slice_weights(whole_list(spark, sf_dir), 10, 28, size=SIZE)
     return cut.withColumn("value", F.round("value", 6) + 0.0)
 
 
@@ -106,9 +120,9 @@ def partition_weights(spark, sf_dir):
 
 
 @query("to_every_worker", f"""
-WITH {SQL_WEIGHTS} SELECT w::int AS worker, layer, idx, round(x, 6) + 0.0 AS value FROM a, range({WORKERS}) AS r(w)""")
+WITH {SQL_WHOLE} SELECT n::int AS worker, layer, idx, round(x, 6) + 0.0 AS value FROM w, range({WORKERS}) AS r(n)""")
 def to_every_worker(spark, sf_dir):
-    return long_weights(M.to_every_worker(parity_list(spark, sf_dir, 0), WORKERS), keep=("worker", "layer"))
+    return long_weights(M.to_every_worker(whole_list(spark, sf_dir), WORKERS), keep=("worker", "layer"))
 
 
 @query("weights_by_layer_name", """

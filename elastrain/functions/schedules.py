@@ -27,6 +27,14 @@ def whole_steps(setting: int, workers: int, period: int) -> int:
     return steps
 
 
+def decays(done: Column, step: int, limit: int | None) -> Column:
+    """How often a value has decayed after ``done`` exchanges."""
+    if step <= 0:
+        return F.lit(0).cast("bigint")
+    times = F.floor(done / F.lit(step))
+    return F.least(times, F.lit(limit).cast("bigint")) if limit is not None and limit >= 0 else times
+
+
 def decayed(done: Column, start: float, rate: float, step: int, limit: int | None) -> Column:
     """``start`` times ``rate`` once per ``step`` finished exchanges, at most ``limit`` times.
 
@@ -34,10 +42,7 @@ def decayed(done: Column, start: float, rate: float, step: int, limit: int | Non
     """
     if step <= 0:
         return F.lit(float(start))
-    times = F.floor(done / F.lit(step))
-    if limit is not None and limit >= 0:
-        times = F.least(times, F.lit(limit).cast("bigint"))
-    return F.lit(float(start)) * F.pow(F.lit(float(rate)), times)
+    return F.lit(float(start)) * F.pow(F.lit(float(rate)), decays(done, step, limit))
 
 
 def worker_rate(exchange: Column, params) -> Column:
@@ -58,6 +63,14 @@ def centre_factor(update: Column, params, workers: int) -> Column:
     return decayed(update - 1, params.server_factor, params.factor_decay_rate, step, params.factor_decay_limit)
 
 
+def centre_segment(update: Column, params, workers: int) -> Column:
+    """Which stretch of constant centre rates an update (from 1) belongs to."""
+    rate_step, factor_step = (whole_steps(s, workers, params.period) for s in (params.decay_step, params.factor_decay_step))
+    return F.struct(
+        decays(update - 1, rate_step, params.decay_limit).alias("rate"),
+        decays(update - 1, factor_step, params.factor_decay_limit).alias("factor"))
+
+
 def rounds_of(iterations: Column, period: int) -> Column:
     """Exchanges per worker: iterations over period, halves up."""
     return F.floor(iterations / F.lit(period) + F.lit(0.5))

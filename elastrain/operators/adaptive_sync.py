@@ -25,6 +25,7 @@ from elastrain.session import materialise
 # Losses are summed in whole billionths, so a sum does not depend on where a block starts.
 UNIT = 1_000_000_000
 BLOCK_ROWS = 1_000_000
+MOST_UNITS = 2**61
 # Threshold of the step "no exchange in this block": below every other, so it sorts first.
 NO_EXCHANGE = -(2**62)
 
@@ -153,13 +154,16 @@ def adaptive_sync_points(log: DataFrame, period: int, block_rows: int = BLOCK_RO
     units = F.when(F.col("loss") < 0, F.raise_error(F.lit("negative loss")).cast("bigint")).otherwise(
         F.round(F.col("loss") * UNIT).cast("bigint"))
     rows = log.select(
-        F.col("worker").cast("bigint").alias("worker"), F.col("iter").cast("bigint").alias("iter"), units.alias("units"),
-        F.floor((F.col("iter") - 1) / block_rows).alias("block"))
-    # Four numbers per entry, read for the cuts, the summaries and the points.
+        F.col("worker").cast("bigint").alias("worker"), F.col("iter").cast("bigint").alias("iter"), units.alias("units"))
+    # Three numbers per entry, read for the cuts, the summaries and the points.
     rows = materialise(rows, "losses")
+    # Blocks so short that the sum of one stays far from 64 bits however large the losses are.
+    peak = rows.agg(F.max("units")).first()[0] or 0
+    block_rows = max(1, min(block_rows, MOST_UNITS // max(1, peak)))
+    rows = rows.withColumn("block", F.floor((F.col("iter") - 1) / block_rows))
     heads = rows.groupBy("worker").agg(
         F.coalesce(F.sum(F.when(F.col("iter") <= period, F.col("units"))), F.lit(0)).alias("cut"),
-        F.max("iter").alias("n"), F.sum("units").alias("units"))
+        F.max("iter").alias("n"))
     # The cut goes to each block of a worker, so the join key is never a whole worker.
     last_block = F.floor((F.col("n") - 1) / block_rows)
     cuts = heads.select("worker", "cut", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)).alias("block"))
@@ -182,8 +186,8 @@ def adaptive_sync_points(log: DataFrame, period: int, block_rows: int = BLOCK_RO
     entered = blocks.join(entries, ["worker", "block"])
     points = in_order(entered, "worker", "block").mapInArrow(list_points, _ddl(POINT))
     ends = heads.join(entries, "worker").where(F.col("block") == F.floor((F.col("n") - 1) / block_rows) + 1)
-    # Without a first exchange the whole (short) log is what is left.
-    left = F.when(F.col("last_iter") == 0, F.col("units")).otherwise(F.col("carried"))
+    # Without a first exchange the whole log is what is left, and it is no longer than the cut's iterations.
+    left = F.when(F.col("last_iter") == 0, F.col("cut")).otherwise(F.col("carried"))
     finals = ends.where(F.col("last_iter") < F.col("n")).select(
         "worker", (F.col("exchanges") + 1).alias("exchange"), F.col("n").alias("iter"),
         (F.col("n") - F.col("last_iter")).alias("steps"), left.alias("units"))

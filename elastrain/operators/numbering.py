@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from elastrain.session import shuffle_width
 
 CELL, BEFORE, TOTAL = "_cell", "_before", "_total"
+#: Rows meant for a value cell; the number of cells is bounded by what a sketch can tell apart.
+CELL_ROWS = 50_000
+MAX_CELLS = 8192
+SALTS = 64
 
 
 def hash_digits(spark) -> int:
@@ -35,12 +39,22 @@ def with_value_cells(df: DataFrame, order: str, n_cells: int | None = None) -> D
     """Cells are ranges of a numeric or timestamp column between its approximate quantiles.
 
     The quantiles are read once and become constants of the plan, so counting and numbering, and
-    any retried task, see the same cells. At most ``n_cells`` numbers reach the driver.
+    any retried task, see the same cells. Their number follows the row count; at most ``MAX_CELLS``
+    numbers reach the driver.
     """
-    n_cells = n_cells or max(16, min(20000, 4 * shuffle_width(df.sparkSession)))
     value = F.col(order).cast("double")
-    cuts = [i / n_cells for i in range(1, n_cells)]
-    found = df.select(F.percentile_approx(value, cuts, max(10000, 10 * n_cells)).alias("q")).first()["q"]
+    # Sketches of at most a few hundred kilobytes, merged in two levels: no task gets one from every scan task.
+    salted = df.select(value.alias("v"), F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    parts = salted.groupBy("salt").agg(F.kll_sketch_agg_double("v", 8192).alias("sketch"))
+    merged = parts.where("sketch IS NOT NULL").agg(F.kll_merge_agg_double("sketch", 8192).alias("s"))
+    sketch = merged.select("s", F.coalesce(F.kll_sketch_get_n_double("s"), F.lit(0)).alias("n")).first()
+    n_cells = n_cells or min(max(-(-sketch["n"] // CELL_ROWS), 16), MAX_CELLS)
+    found = None
+    if sketch["n"]:
+        # Ranks have to be a constant; written as text they are one literal instead of thousands.
+        ranks = F.split(F.lit(",".join(str(i / n_cells) for i in range(1, n_cells))), ",").cast("array<double>")
+        one = df.sparkSession.range(1).select(F.kll_sketch_get_quantile_double(F.lit(bytes(sketch["s"])), ranks).alias("q"))
+        found = one.first()["q"]
     splits = [-float("inf"), *sorted(set(found or [0.0])), float("inf")]
     cells = Bucketizer(splits=splits, inputCol="_order_value", outputCol=CELL, handleInvalid="error")
     return cells.transform(df.withColumn("_order_value", value)).drop("_order_value")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from elastrain.functions.schedules import is_due, whole_steps
@@ -11,9 +12,9 @@ from elastrain.functions.schedules import is_due, whole_steps
 def iteration_plan(df: DataFrame, iterations: int, k: int) -> DataFrame:
     """Outer steps of each worker: its share of the iterations, over ``k``; 64-bit, left to right."""
     sizes = df.groupBy("worker").agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
     share = F.expr("div(wanted * n, total)")
-    return sizes.withColumn("total", total).withColumn("wanted", F.lit(iterations).cast("bigint")).select(
+    # One row per worker.
+    return sizes.withColumn("total", F.sum("n").over(W.partitionBy())).withColumn("wanted", F.lit(iterations).cast("bigint")).select(
         "worker", "n", F.floor(share / F.lit(k)).alias("steps")
     )
 

@@ -172,6 +172,15 @@ def fold_exchanges(workers_w: DataFrame, centre_w: DataFrame) -> DataFrame:
     return together.select(*BLOCK, folded.alias("f")).select(*BLOCK, "f.centre", "f.met")
 
 
+def _with_sums(centre_w: DataFrame, sums: DataFrame, move) -> DataFrame:
+    """The centre with ``move(values, sum)`` in the blocks that have a sum; one that the centre lacks or of another size is an error."""
+    joined = centre_w.select(*BLOCK, "values").join(sums, BLOCK, "full_outer")
+    fits = F.col("values").isNotNull() & (F.size("values") == F.size("sum"))
+    wrong = F.raise_error(F.lit("Size mismatch!")).cast("array<double>")
+    moved = F.when(F.col("sum").isNull(), F.col("values")).when(fits, F.zip_with("values", "sum", move)).otherwise(wrong)
+    return joined.select(*BLOCK, moved.alias("values"))
+
+
 def fold_weighted(arrivals: DataFrame, centre_w: DataFrame) -> DataFrame:
     """Any number of arrivals as one weighted sum per block, merged map-side.
 
@@ -179,9 +188,7 @@ def fold_weighted(arrivals: DataFrame, centre_w: DataFrame) -> DataFrame:
     has after all later ones, ``kept`` (the same for all arrivals of a block) what the start has.
     """
     weighted = arrivals.select(*BLOCK, "kept", F.transform("values", lambda x: x * F.col("weight")).alias("sum"))
-    joined = centre_w.join(vector_sums(weighted, BLOCK, "sum", same=("kept",)), BLOCK, "left")
-    moved = F.zip_with("values", "sum", lambda c, s: F.col("kept") * c + s)
-    return joined.select(*BLOCK, F.when(F.col("sum").isNull(), F.col("values")).otherwise(moved).alias("values"))
+    return _with_sums(centre_w, vector_sums(weighted, BLOCK, "sum", same=("kept",)), lambda c, s: F.col("kept") * c + s)
 
 
 def fold_arrivals(arrivals: DataFrame, centre_w: DataFrame, coefficient: float) -> DataFrame:
@@ -198,6 +205,5 @@ def fold_arrivals(arrivals: DataFrame, centre_w: DataFrame, coefficient: float)
 
 def apply_deltas(centre_w: DataFrame, deltas: DataFrame) -> DataFrame:
     """centre minus the sum of all update values pushed for its blocks."""
-    joined = centre_w.join(vector_sums(deltas.select(*BLOCK, F.col("values").alias("sum")), BLOCK, "sum"), BLOCK, "left")
-    moved = F.zip_with("values", "sum", lambda c, d: c - d)
-    return joined.select(*BLOCK, F.when(F.col("sum").isNull(), F.col("values")).otherwise(moved).alias("values"))
+    sums = vector_sums(deltas.select(*BLOCK, F.col("values").alias("sum")), BLOCK, "sum")
+    return _with_sums(centre_w, sums, lambda c, d: c - d)

@@ -44,5 +44,5 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_keys(spark: SparkSession, path: str) -> DataFrame:
-    """Keys of all stores in order; only the key column is read."""
-    return spark.read.parquet(path).select("worker", "key").orderBy("worker", "key")
+    """Keys of all stores in the order of their numbers (as text they sort alike only up to eight digits)."""
+    return spark.read.parquet(path).select("worker", "key", "pos").orderBy("worker", "pos").drop("pos")

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from elastrain.schema import TRAINING_LOG
 
 
-def save_weights(weights: DataFrame, path: str, tag: str) -> None:
-    """The whole weight table in single precision under its tag; a tag is written once."""
+def save_weights(weights: DataFrame, path: str, tag: str, again: bool = False) -> None:
+    """The whole weight table in single precision under its tag; a tag is written once, unless ``again``."""
     stored = weights.select("layer", "chunk", F.col("values").cast("array<float>").alias("values"))
-    stored.write.parquet(f"{path}/tag={tag}")
+    stored.write.mode("overwrite" if again else "errorifexists").parquet(f"{path}/tag={tag}")
 
 
 def load_weights(spark: SparkSession, path: str, tag: str) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from elastrain.functions.schedules import centre_factor, centre_rate, is_due, whole_steps
+from elastrain.functions.schedules import centre_factor, centre_rate, centre_segment, is_due, whole_steps
 from elastrain.operators.numbering import number_by_value
 from elastrain.operators.weights import apply_deltas, fold_weighted
 from elastrain.schema import ExchangeParams, SolverParams
+from elastrain.session import materialise
 from elastrain.sources.stores import centre_tag, save_weights
 
 # ``seq`` orders the arrivals of a micro-batch; an arrival is the rows sharing one seq.
@@ -55,27 +56,54 @@ class CentreStore:
         return rows.select("layer", "chunk", "values"), rows.select("updates").first()[0]
 
 
-def _shares(numbered: DataFrame, params: ExchangeParams, workers: int, until: int | None = None) -> DataFrame:
-    """Share of each arrival after all later ones: its coefficient times the later (1 - b)s.
+def number_arrivals(batch: DataFrame, updates: int) -> DataFrame:
+    """(seq, update_no) of the arrivals of a micro-batch, going on from ``updates``."""
+    numbered = number_by_value(batch.select("seq").distinct(), [], "seq", "_n")
+    return numbered.select("seq", (F.col("_n") + updates).alias("update_no"))
+
+
+def check_whole(batch: DataFrame, centre: DataFrame) -> None:
+    """Every arrival must bring each block of the centre once: a part of one would shrink what it lacks."""
+    blocks = centre.count()
+    counted = batch.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("layer", "chunk").alias("of"))
+    partial = counted.where((F.col("n") != blocks) | (F.col("of") != blocks)).first()
+    if partial:
+        raise ValueError(f"arrival {partial['seq']} has {partial['n']} rows for the {blocks} blocks of the centre")
+
 
-    One narrow row per arrival of the micro-batch.
+def _shares(numbered: DataFrame, params: ExchangeParams, workers: int) -> DataFrame:
+    """Share of each arrival after all later ones: its coefficient b times the (1 - b)s behind it.
+
+    b is constant between two decays, so within such a segment the product is a power of 1 - b; only
+    the table of segments is walked in order. Coefficients above 1 turn the sign, as in a plain fold.
     """
-    if until is not None:
-        numbered = numbered.where(F.col("update_no") <= until)
-    b = centre_rate(F.col("update_no"), params, workers) * centre_factor(F.col("update_no"), params, workers)
-    later = W.orderBy(F.col("update_no").desc()).rowsBetween(W.unboundedPreceding, -1)
-    logs = numbered.withColumn("b", b).withColumn("log", F.when(F.col("b") < 1, F.log1p(-F.col("b"))).otherwise(F.lit(float("-inf"))))
-    shares = logs.withColumn("weight", F.col("b") * F.exp(F.coalesce(F.sum("log").over(later), F.lit(0.0))))
-    return shares.withColumn("kept", F.exp(F.sum("log").over(W.partitionBy()))).select("seq", "weight", "kept")
-
-
-def fold_batch(batch: DataFrame, centre: DataFrame, updates: int, params: ExchangeParams, workers: int,
-               until: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The centre after the arrivals of ``batch`` (or those up to update ``until``), and their numbers."""
-    numbered = number_by_value(batch.select("seq").distinct(), [], "seq", "_n")
-    numbered = numbered.select("seq", (F.col("_n") + updates).alias("update_no"))
-    arrivals = batch.join(_shares(numbered, params, workers, until), "seq")
-    return fold_weighted(arrivals, centre), numbered
+    update = F.col("update_no")
+    marked = numbered.withColumn("segment", centre_segment(update, params, workers))
+    b = (centre_rate(F.col("last"), params, workers) * centre_factor(F.col("last"), params, workers)).alias("b")
+    segments = marked.groupBy("segment").agg(F.max("update_no").alias("last"), F.count(F.lit(1)).alias("n")).select("segment", "last", "n", b)
+    size = F.when(F.col("b") == 1, F.lit(float("-inf"))).otherwise(F.col("n") * F.log(F.abs(1 - F.col("b"))))
+    segments = segments.withColumns({"size": size, "turns": F.when(F.col("b") > 1, F.col("n")).otherwise(F.lit(0))})
+
+    def product(window):
+        sign = 1.0 - 2.0 * (F.coalesce(F.sum("turns").over(window), F.lit(0)) % 2)
+        return sign * F.exp(F.coalesce(F.sum("size").over(window), F.lit(0.0)))
+
+    later = W.orderBy(F.col("last").desc()).rowsBetween(W.unboundedPreceding, -1)
+    segments = segments.withColumns({"behind": product(later), "kept": product(W.partitionBy())})
+    weight = F.col("b") * F.pow(1 - F.col("b"), F.col("last") - update) * F.col("behind")
+    return marked.join(segments.select("segment", "last", "b", "behind", "kept"), "segment").select("seq", weight.alias("weight"), "kept")
+
+
+def fold_numbered(batch: DataFrame, numbered: DataFrame, centre: DataFrame, params: ExchangeParams, workers: int) -> DataFrame:
+    """The centre after the arrivals of ``batch`` that ``numbered`` lists."""
+    return fold_weighted(batch.join(_shares(numbered, params, workers), "seq"), centre)
+
+
+def fold_batch(batch: DataFrame, centre: DataFrame, updates: int, params: ExchangeParams, workers: int) -> tuple[DataFrame, DataFrame]:
+    """The centre after all arrivals of ``batch``, and their numbers."""
+    check_whole(batch, centre)
+    numbered = number_arrivals(batch, updates)
+    return fold_numbered(batch, numbered, centre, params, workers), numbered
 
 
 def stream_centre(spark: SparkSession, source: str, store: CentreStore, checkpoint: str, params: ExchangeParams,
@@ -89,23 +117,28 @@ def stream_centre(spark: SparkSession, source: str, store: CentreStore, checkpoi
     save_every = whole_steps(solver.snapshot, workers, params.period) if snapshots else 0
     test_every = solver.test_interval if on_test else 0
 
+    def after(batch: DataFrame, numbered: DataFrame, centre: DataFrame) -> DataFrame:
+        if updates_only:
+            return apply_deltas(centre, batch.join(numbered, "seq"))
+        return fold_numbered(batch, numbered, centre, params, workers)
+
     def handle(batch: DataFrame, version: int) -> None:
         centre, updates = store.before(version)
         batch = batch.persist()
         try:
-            if updates_only:
-                after, count = apply_deltas(centre, batch), batch.select("seq").distinct().count()
-            else:
-                after, numbered = fold_batch(batch, centre, updates, params, workers)
-                count = numbered.count()
-            store.put(after, updates + count, version)
-            due = spark.range(updates + 1, updates + count + 1).where(is_due(F.col("id"), save_every) | is_due(F.col("id"), test_every))
-            for row in due.orderBy("id").toLocalIterator():
-                then = after if updates_only else fold_batch(batch, centre, updates, params, workers, until=row["id"])[0]
-                if test_every and row["id"] % test_every == 0:
-                    on_test(row["id"], then)
-                if save_every and row["id"] % save_every == 0:
-                    save_weights(then, f"{snapshots}/batch={version}", centre_tag(row["id"]))
+            check_whole(batch, centre)
+            numbered = materialise(number_arrivals(batch, updates), "arrivals")
+            last = updates + numbered.count()
+            due = spark.range(updates + 1, last + 1).where(is_due(F.col("id"), save_every) | is_due(F.col("id"), test_every))
+            # From one due update to the next: every arrival is folded once.
+            for stop in [r["id"] for r in due.orderBy("id").collect()]:
+                centre = materialise(after(batch, numbered.where(F.col("update_no").between(updates + 1, stop)), centre), "centre")
+                updates = stop
+                if test_every and stop % test_every == 0:
+                    on_test(stop, centre)
+                if save_every and stop % save_every == 0:
+                    save_weights(centre, f"{snapshots}/batch={version}", centre_tag(stop), again=True)
+            store.put(after(batch, numbered.where(F.col("update_no") > updates), centre), last, version)
         finally:
             batch.unpersist()
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from elastrain.operators.aggregates import period_loss
@@ -16,16 +17,23 @@ LOG = T.StructType([
 
 
 def stream_log_metrics(spark: SparkSession, source: str, out: str, checkpoint: str, period: int) -> DataFrame:
-    """Period losses over all entries now present in ``source``; each run adds a full, newer version."""
-    versions: list[int] = []
+    """Period losses over all entries of ``source`` so far.
+
+    A micro-batch writes the periods that it changed, under its own number, so a replay overwrites
+    them; the newest version of each period counts.
+    """
 
     def handle(batch: DataFrame, version: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/version={version}")
-        versions.append(version)
 
     log = spark.readStream.schema(LOG).parquet(source)
-    running = period_loss(log, period).writeStream.outputMode("complete").foreachBatch(handle)
+    running = period_loss(log, period).writeStream.outputMode("update").foreachBatch(handle)
     running.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    if not versions:
-        raise ValueError("no new log entries")
-    return spark.read.parquet(f"{out}/version={versions[-1]}")
+    return read_metrics(spark, out)
+
+
+def read_metrics(spark: SparkSession, out: str) -> DataFrame:
+    rows = spark.read.parquet(out)
+    names = [c for c in rows.columns if c != "version"]
+    newest = rows.groupBy("worker", "span").agg(F.max_by(F.struct(*names), "version").alias("row"))
+    return newest.select("row.*")

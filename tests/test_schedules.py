@@ -100,3 +100,16 @@ def test_negative_loss_is_an_error(spark):
     df = spark.createDataFrame([(0, 1, -1.0)], "worker long, iter long, loss double")
     with pytest.raises(Exception, match="negative loss"):
         adaptive_sync_points(df, 5).collect()
+
+
+def test_adaptive_points_of_very_large_losses(spark):
+    loss, period, n = 3e8, 5, 40
+    df = spark.createDataFrame([(0, i, loss) for i in range(1, n + 1)], "worker long, iter long, loss double")
+    got = [(r["iter"], r["final"]) for r in adaptive_sync_points(df, period).orderBy("exchange").collect()]
+    want, total, cut = [(period, False)], 0.0, period * loss
+    for i in range(period + 1, n + 1):
+        total += loss
+        if total > cut:
+            want.append((i, False))
+            total = 0.0
+    assert got == want + ([(n, True)] if want[-1][0] < n else [])

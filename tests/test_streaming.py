@@ -104,3 +104,51 @@ def test_log_metrics_grow_with_the_log(spark, tmp_path):
         got = stream_log_metrics(spark, source, out, progress, 5).orderBy("worker", "span").collect()
         want = period_loss(log(1, high), 5).orderBy("worker", "span").collect()
         assert got == want
+
+
+def test_coefficient_above_one_equals_the_plain_fold(spark, tmp_path):
+    params = ExchangeParams(period=2, moving_rate=0.9, server_factor=2.0)
+    start = begin(spark, str(tmp_path / "centre")).before()[0]
+    rows = arrivals(spark, 0, 5)
+    after, _ = fold_batch(rows, start, 0, params, WORKERS)
+    workers = rows.withColumn("worker", F.col("seq").cast("int")).withColumns({"a": F.lit(0.9), "b": F.lit(1.8)})
+    want = found(fold_exchanges(workers, start).select("layer", "chunk", F.col("centre").alias("values")))
+    for layer, values in found(after).items():
+        assert values == pytest.approx(want[layer])
+
+
+def test_an_arrival_in_part_is_an_error(spark, tmp_path):
+    start = begin(spark, str(tmp_path / "centre")).before()[0]
+    rows = arrivals(spark, 0, 3)
+    for broken in (rows.where("NOT (seq = 1 AND layer = 1)"), rows.union(rows.where("seq = 2 AND layer = 0"))):
+        with pytest.raises(ValueError, match="arrival"):
+            fold_batch(broken, start, 0, PARAMS, WORKERS)
+
+
+def test_updates_seen_in_the_middle_of_a_batch(spark, tmp_path):
+    source, store = str(tmp_path / "in"), begin(spark, str(tmp_path / "centre"))
+    arrivals(spark, 0, 7).write.parquet(source)
+    tests = {}
+    stream_centre(spark, source, store, str(tmp_path / "progress"), PARAMS, SOLVER, WORKERS, updates_only=True,
+                  on_test=lambda update, centre: tests.update({update: found(centre)}))
+    for update in (3, 6):
+        assert tests[update][1] == [1.0 - sum(s * 7 % 5 for s in range(update)), 1.0 - sum(s + 1 for s in range(update))]
+    assert found(store.before()[0])[1][1] == 1.0 - sum(s + 1 for s in range(7))
+
+
+def test_a_batch_replayed_through_the_stream(spark, tmp_path):
+    source, store = str(tmp_path / "in"), begin(spark, str(tmp_path / "centre"))
+    arrivals(spark, 0, 6).write.parquet(source)
+    for attempt in ("first", "again"):  # a fresh progress folder makes the stream hand out batch 0 again
+        stream_centre(spark, source, store, str(tmp_path / attempt), PARAMS, SOLVER, WORKERS, snapshots=str(tmp_path / "snaps"))
+        centre, updates = store.before()
+        assert updates == 6 and found(centre)[0] == pytest.approx(loop(6)[6][0])
+    saved = load_weights(spark, str(tmp_path / "snaps" / "batch=0"), "state_iter_4.weight")
+    assert found(saved)[1] == pytest.approx(loop(6)[4][1], abs=1e-5)
+
+
+def test_metrics_without_new_entries(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    spark.createDataFrame([(0, i, 1.0, i) for i in range(1, 8)], "worker long, iter long, loss double, ms long").write.parquet(source)
+    first = stream_log_metrics(spark, source, out, progress, 5).orderBy("span").collect()
+    assert stream_log_metrics(spark, source, out, progress, 5).orderBy("span").collect() == first and len(first) == 2

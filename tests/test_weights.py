@@ -118,3 +118,14 @@ def test_layer_names_without_blobs_are_skipped(spark):
     named = spark.createDataFrame([("c", 0, [1.0]), ("a", 1, [2.0]), ("a", 0, [3.0]), ("x", 0, [4.0])], "name string, blob_no int, values array<double>")
     rows = M.weights_by_layer_name(nets, named).orderBy("idx").collect()
     assert [(r["idx"], r["name"], r["blob_no"]) for r in rows] == [(0, "a", 0), (1, "a", 1), (2, "c", 0)]
+
+
+@pytest.mark.parametrize("values, layer", [([1.0, 2.0], 0), ([1.0, 2.0, 3.0, 4.0], 0), ([1.0, 2.0, 3.0], 7)])
+def test_updates_of_another_shape_are_an_error(spark, values, layer):
+    from elastrain.operators.weights import apply_deltas, fold_arrivals
+
+    centre = spark.createDataFrame([(0, 0, [1.0, 1.0, 1.0])], "layer int, chunk int, values array<double>")
+    pushed = spark.createDataFrame([(layer, 0, values, 1, 1)], "layer int, chunk int, values array<double>, n int, total int")
+    for result in (apply_deltas(centre, pushed), fold_arrivals(pushed, centre, 0.5)):
+        with pytest.raises(Exception, match="Size mismatch!"):
+            result.collect()
