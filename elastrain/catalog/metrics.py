@@ -9,7 +9,7 @@ from elastrain.functions.scores import cross_entropy, hit_at, softmax
 from elastrain.operators import aggregates as A
 from elastrain.operators.batching import number_batches
 from elastrain.operators.weights import chunked
-from elastrain.plans.learners import LinearSoftmax
+from elastrain.plans.learners import LinearSoftmax, ReluNet
 from elastrain.plans.parameters import init_weights, layer_table
 from elastrain.plans.scoring import evaluate, score, sgd_step
 
@@ -157,8 +157,30 @@ def dense_scores(spark, sf_dir):
 
 @query("dense_scores_by_blocks", f"WITH {_sql_steps(1)} SELECT id, cls, round(s, 6) + 0.0 AS score FROM p1")
 def dense_scores_by_blocks(spark, sf_dir):
-    """The same scores with the model kept as a table, as for models too large to send out."""
+    """The same scores with the model sent out in many small slabs."""
     state = start_state(spark)
-    state = sgd_step(samples(spark, sf_dir), state, LINEAR, RATE, momentum=0.9, weight_decay=0.004, limit=0)
-    scored = score(samples(spark, sf_dir), state, LINEAR, limit=0)
+    state = sgd_step(samples(spark, sf_dir), state, LINEAR, RATE, momentum=0.9, weight_decay=0.004, limit=2048)
+    scored = score(samples(spark, sf_dir), state, LINEAR, limit=2048)
+    return scored.select("id", F.posexplode("scores").alias("cls", "score")).withColumn("score", F.round("score", 6) + 0.0)
+
+
+@query("relu_scores", """
+WITH long AS (SELECT vec_id AS id, label, unnest(range(64))::int AS j, unnest(embedding)::double AS x FROM embeddings),
+means AS (SELECT label AS h, j, avg(x) AS m FROM long GROUP BY label, j),
+hidden AS (SELECT id, h, greatest(sum(x * m) - 0.01::double * h, 0) AS a FROM long JOIN means USING (j) GROUP BY id, h)
+SELECT id, c::int AS cls, round(sum(a * ((c + h) % 3 - 1)) + 0.1::double * c, 6) + 0.0 AS score
+FROM hidden, range(10) AS r(c) GROUP BY id, c""")
+def relu_scores(spark, sf_dir):
+    """A hidden unit per label, whose weights are the label's mean vector, and a fixed layer on top."""
+    rows = samples(spark, sf_dir)
+    means = rows.groupBy(F.col("label").cast("int").alias("h")).agg(A.vector_sum(F.col("data")).alias("s"), F.count(F.lit(1)).alias("n"))
+    cells = means.select("h", F.posexplode("s").alias("j", "v"), "n").select(
+        F.lit(0).alias("layer"), (F.col("h") * 64 + F.col("j")).alias("i"), (F.col("v") / F.col("n")).alias("v"))
+    top = spark.range(100).select(
+        F.lit(2).alias("layer"), F.col("id").cast("int").alias("i"), ((F.expr("id div 10") + F.col("id") % 10) % 3 - 1).cast("double").alias("v"))
+    ten = spark.range(10).select(F.col("id").cast("int").alias("i"))
+    first, second = (ten.select(F.lit(k).alias("layer"), "i", (F.col("i") * w).cast("double").alias("v")) for k, w in ((1, -0.01), (3, 0.1)))
+    every = cells.union(top).union(first).union(second).groupBy("layer").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c"))
+    weights = chunked(every.select("layer", F.transform("c", lambda c: c["v"]).alias("values")))
+    scored = score(rows, weights, ReluNet(64, 10, 10), limit=1024)
     return scored.select("id", F.posexplode("scores").alias("cls", "score")).withColumn("score", F.round("score", 6) + 0.0)

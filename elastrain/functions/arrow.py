@@ -11,8 +11,11 @@ Columns = dict[str, np.ndarray]
 
 
 def as_matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    """A list column as a (rows, width) matrix of doubles."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    """A list column, or one of bytes, as a (rows, width) matrix of doubles."""
+    if pa.types.is_binary(column.type):
+        flat = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).astype(np.float64)
+    else:
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if len(flat) != len(column) * width:
         raise ValueError(f"samples must have {width} values each")
     return flat.reshape(len(column), width)

@@ -34,7 +34,7 @@ class Learner(Protocol):
         """Parameter blobs in order."""
 
     def dense_layers(self) -> list[Dense]:
-        """The layers in order, for scoring a model that is too large to send out."""
+        """The layers in order, for scoring."""
 
     def scores(self, params: Params, x: np.ndarray) -> np.ndarray:
         """Class scores of each row of ``x``."""

@@ -39,6 +39,8 @@ class RoundRule:
     """What a worker does in a round besides stepping."""
 
     sum_updates: bool = False
+    #: Worker 0 hands out its weights whenever its iteration is a multiple of this; 0 is never.
+    snapshot: int = 0
     adaptive_period: int = 0
     last_iteration: int = 0
 
@@ -50,6 +52,7 @@ class _Worker:
         self.params = self.velocity = None
         self.iteration, self.loss_sum, self.cut, self.due = 0, 0.0, -1.0, False
         self.log: list[tuple] = []
+        self.snapshots: list[tuple] = []
         self.step_no, self.parts = None, []
 
     def add_block(self, layer: int, chunk: int, values: np.ndarray, velocity: np.ndarray) -> None:
@@ -88,6 +91,9 @@ class _Worker:
                 total += u
         self.iteration += 1
         self.log.append((self.iteration, loss, spent))
+        if self.number == 0 and self.rule.snapshot and self.iteration % self.rule.snapshot == 0:
+            self.snapshots += [
+                ("snapshot", 0, layer, chunk, w.copy(), None, self.iteration, None, None) for layer, chunk, w, _, _ in self._chunks()]
         if self.rule.adaptive_period:
             self._watch(loss)
 
@@ -103,16 +109,25 @@ class _Worker:
         if self.due:
             self.loss_sum = 0.0
 
+    def _chunks(self) -> Iterator[tuple]:
+        for spec, w, v, u in zip(self.learner.layers(), self.params, self.velocity, self.updates):
+            for chunk, at in enumerate(range(0, spec.size, CHUNK)):
+                cut = slice(at, at + CHUNK)
+                yield spec.layer, chunk, w[cut], v[cut], u[cut]
+
+    def taken_snapshots(self) -> list[tuple]:
+        taken, self.snapshots = self.snapshots, []
+        return taken
+
     def rows(self) -> Iterator[tuple]:
         self.finish_step()
         if self.params is None:
             self._assemble()
-        for spec, w, v, u in zip(self.learner.layers(), self.params, self.velocity, self.updates):
-            for chunk, at in enumerate(range(0, spec.size, CHUNK)):
-                cut = slice(at, at + CHUNK)
-                yield ("weights", self.number, spec.layer, chunk, w[cut], v[cut], None, None, None)
-                if self.rule.sum_updates:
-                    yield ("delta", self.number, spec.layer, chunk, u[cut], None, None, None, None)
+        yield from self.taken_snapshots()
+        for layer, chunk, w, v, u in self._chunks():
+            yield ("weights", self.number, layer, chunk, w, v, None, None, None)
+            if self.rule.sum_updates:
+                yield ("delta", self.number, layer, chunk, u, None, None, None, None)
         for iteration, loss, spent in self.log:
             yield ("loss", self.number, None, None, None, None, iteration, loss, spent)
         if self.rule.adaptive_period:
@@ -138,8 +153,8 @@ def _stepper(learner: Learner, solver: SolverParams, rule: RoundRule, width: int
                     if worker is not None:
                         yield _batch_of(list(worker.rows()))
                     worker = _Worker(int(numbers[lo]), learner, solver, rule)
-                values = batch.column("values").slice(lo, hi - lo)
                 if kinds[lo] == STATE:
+                    values = batch.column("values").slice(lo, hi - lo)
                     velocity = batch.column("velocity").slice(lo, hi - lo)
                     for i in range(hi - lo):
                         block = values[i].values.to_numpy()
@@ -147,7 +162,9 @@ def _stepper(learner: Learner, solver: SolverParams, rule: RoundRule, width: int
                         worker.add_block(int(a[lo + i]), int(b[lo + i]), block, speed)
                 else:
                     y = batch.column("label").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-                    worker.add_samples(int(a[lo]), as_matrix(values, width), y)
+                    worker.add_samples(int(a[lo]), as_matrix(batch.column("data").slice(lo, hi - lo), width), y)
+                    if worker.snapshots:
+                        yield _batch_of(worker.taken_snapshots())
         if worker is not None:
             yield _batch_of(list(worker.rows()))
 
@@ -157,16 +174,18 @@ def _stepper(learner: Learner, solver: SolverParams, rule: RoundRule, width: int
 def local_round(samples: DataFrame, state: DataFrame, learner: Learner, solver: SolverParams, rule: RoundRule, n_workers: int) -> DataFrame:
     """One round of local steps of every worker.
 
-    ``samples`` has (worker, step, pos, data, label); ``state`` has (worker, layer, chunk, values,
-    velocity). Returns rows of kind weights, delta, loss and progress.
+    ``samples`` has (worker, step, pos, data, label), where data is numbers or bytes and travels as it
+    is; ``state`` has (worker, layer, chunk, values, velocity). Returns rows of kind weights, delta,
+    loss, progress and snapshot.
     """
+    none = F.lit(None)
     of_state = state.select(
         "worker", F.lit(STATE).alias("kind"), F.col("layer").cast("bigint").alias("a"), F.col("chunk").cast("bigint").alias("b"),
-        "values", "velocity", F.lit(None).cast("double").alias("label"))
+        "values", "velocity", none.cast(samples.schema["data"].dataType).alias("data"), none.cast("double").alias("label"))
     of_samples = samples.select(
         "worker", F.lit(SAMPLE).alias("kind"), F.col("step").cast("bigint").alias("a"), F.col("pos").cast("bigint").alias("b"),
-        F.col("data").cast("array<double>").alias("values"), F.lit(None).cast("array<double>").alias("velocity"),
-        F.col("label").cast("double").alias("label"))
+        none.cast("array<double>").alias("values"), none.cast("array<double>").alias("velocity"),
+        "data", F.col("label").cast("double").alias("label"))
     together = of_state.unionByName(of_samples).repartitionById(n_workers, F.col("worker"))
     in_order = together.sortWithinPartitions("worker", "kind", "a", "b")
     return in_order.mapInArrow(_stepper(learner, solver, rule, learner.n_features), OUT_DDL)

@@ -21,6 +21,9 @@ from elastrain.sources.shards import BLOCK_ROWS
 def worker_rows(df: DataFrame, n_workers: int) -> dict[int, int]:
     """Shard sizes, one number per worker."""
     found = {r["worker"]: r["n"] for r in df.groupBy("worker").agg(F.count(F.lit(1)).alias("n")).collect()}
+    strange = [w for w in found if w is None or not 0 <= w < n_workers]
+    if strange:
+        raise ValueError(f"worker {strange[0]} is not one of 0 to {n_workers - 1}")
     return {w: found.get(w, 0) for w in range(n_workers)}
 
 
@@ -116,6 +119,6 @@ class StoredShards:
         wanted = spark.createDataFrame(stretches, "worker int, block int, low long, high long, shift long")
         spans = [F.col("pos").between(low, high) for low, high in _merged([s[2:4] for s in stretches])]
         opened = self.shards.where(F.col("block").isin(sorted({s[1] for s in stretches}))).where(reduce(or_, spans))
-        found = opened.join(F.broadcast(wanted), ["worker", "block"]).where(F.col("pos").between(F.col("low"), F.col("high")))
+        found = opened.join(wanted, ["worker", "block"]).where(F.col("pos").between(F.col("low"), F.col("high")))
         place = F.col("pos") + F.col("shift")
         return found.select("worker", F.floor(place / self.batch).alias("step"), place.alias("pos"), "data", "label")

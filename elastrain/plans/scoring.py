@@ -1,8 +1,8 @@
 """Scores, full-batch gradients and evaluation of a model over a table of samples.
 
-A model up to ``BROADCAST_BYTES`` travels to the tasks and meets the samples there in Arrow batches.
-A larger model stays a table: samples and weights are cut into column blocks and joined on
-them, with the samples spread over salts because every sample has every block.
+A model travels to the tasks in slabs of at most ``SLAB_BYTES``: whole rows of a layer's weights. The
+samples stay where they are and meet all slabs in one pass of Arrow batches, so results do not depend
+on the size of the model, and rows keep their ids, whatever these are. A task holds the model once.
 """
 
 from __future__ import annotations
@@ -11,27 +11,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from elastrain.functions.arrow import as_matrix
-from elastrain.functions.hashing import hash_key, hash_number
-from elastrain.functions.scores import checked_label, cross_entropy, softmax
 from elastrain.operators.aggregates import accuracy_and_loss, vector_sums
 from elastrain.operators.weights import BLOCK, CHUNK
 from elastrain.plans.learners import Dense, Learner, LinearSoftmax, softmax_errors
-from elastrain.session import materialise, shuffle_width
+from elastrain.session import materialise
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-COLUMN_BLOCK = 256
-
-
-def model_bytes(learner: Learner) -> int:
-    return 8 * sum(spec.size for spec in learner.layers())
+SLAB_BYTES = 64 * 1024 * 1024
+Slabs = list[tuple[Dense, list[Broadcast]]]
 
 
 def to_arrays(learner: Learner, weights: DataFrame) -> list[np.ndarray]:
-    """The blobs of a model as arrays; only called for models within ``BROADCAST_BYTES``."""
+    """The blobs of a model as arrays on the driver."""
     blocks: dict[int, list] = {spec.layer: [] for spec in learner.layers()}
     for row in weights.select(*BLOCK, "values").collect():
         blocks[row["layer"]].append((row["chunk"], row["values"]))
@@ -42,71 +37,63 @@ def to_arrays(learner: Learner, weights: DataFrame) -> list[np.ndarray]:
     return params
 
 
-def score(df: DataFrame, weights: DataFrame, learner: Learner, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` (id, data, label, ...) with a column ``scores``, one double per class."""
-    if model_bytes(learner) > limit:
-        return _score_by_blocks(df, weights, learner)
-    params = df.sparkSession.sparkContext.broadcast(to_arrays(learner, weights))
-    width = learner.n_features
+def _values(weights: DataFrame, layer: int, start: int, stop: int) -> np.ndarray:
+    """Values ``start`` .. ``stop`` - 1 of a layer; only the chunks that hold them reach the driver."""
+    first = start // CHUNK
+    rows = weights.where((F.col("layer") == layer) & F.col("chunk").between(first, (stop - 1) // CHUNK))
+    blocks = sorted((r["chunk"], r["values"]) for r in rows.select("chunk", "values").collect())
+    found = np.concatenate([np.asarray(v, dtype=np.float64) for _, v in blocks] or [np.zeros(0)])[start - first * CHUNK:]
+    if len(found) < stop - start or [c for c, _ in blocks] != list(range(first, first + len(blocks))):
+        raise ValueError(f"layer {layer} has no values {start} to {stop - 1}")
+    return found[:stop - start]
+
+
+def send_out(weights: DataFrame, learner: Learner, limit: int = SLAB_BYTES) -> Slabs:
+    """The dense layers of a model as broadcast slabs (weight rows, biases) of at most ``limit`` bytes, or one row."""
+    sizes = {spec.layer: spec.size for spec in learner.layers()}
+    totals = {r["layer"]: r["n"] for r in weights.groupBy("layer").agg(F.sum(F.size("values")).alias("n")).collect()}
+    for layer, size in sizes.items():
+        if totals.get(layer, 0) != size:
+            raise ValueError(f"layer {layer} has {totals.get(layer, 0)} values, {size} expected")
+    sc, out = weights.sparkSession.sparkContext, []
+    for layer in learner.dense_layers():
+        rows, step = sizes[layer.bias], max(1, limit // (8 * (layer.width + 1)))
+        slabs = []
+        for at in range(0, rows, step):
+            end = min(rows, at + step)
+            w = _values(weights, layer.weight, at * layer.width, end * layer.width).reshape(end - at, layer.width)
+            slabs.append(sc.broadcast((w, _values(weights, layer.bias, at, end))))
+        out.append((layer, slabs))
+    return out
+
+
+def forward(slabs: Slabs, x: np.ndarray) -> np.ndarray:
+    """Class scores of each row of ``x``."""
+    for layer, parts in slabs:
+        x = np.concatenate([x @ w.T + b for w, b in (p.value for p in parts)], axis=1)
+        x = np.maximum(x, 0.0) if layer.relu else x
+    return x
+
+
+def score(df: DataFrame, weights: DataFrame, learner: Learner, limit: int = SLAB_BYTES) -> DataFrame:
+    """``df`` (data, ...) with a column ``scores``, one double per class; every row is kept as it is."""
+    slabs, width = send_out(weights, learner, limit), learner.n_features
 
     @F.arrow_udf("array<double>")
     def scored(data: pa.Array) -> pa.Array:
-        found = learner.scores(params.value, as_matrix(data, width))
+        found = forward(slabs, as_matrix(data, width))
         offsets = np.arange(len(data) + 1, dtype=np.int32) * found.shape[1]
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
 
     return df.withColumn("scores", scored("data"))
 
 
-def _weight_blocks(weights: DataFrame, layer: Dense) -> tuple[DataFrame, DataFrame]:
-    """Weight rows of a dense layer as (cls, block, w) and its biases as (cls, bias)."""
-    values = weights.select(*BLOCK, F.posexplode("values").alias("place", "w"))
-    idx = F.col("chunk").cast("bigint") * CHUNK + F.col("place")
-    long = values.where(F.col("layer") == layer.weight).select(
-        F.floor(idx / layer.width).cast("int").alias("cls"), F.pmod(idx, F.lit(layer.width)).alias("j"), "w")
-    blocks = long.groupBy("cls", F.floor(F.col("j") / COLUMN_BLOCK).cast("int").alias("block")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("j", "w"))), lambda r: r["w"]).alias("w"))
-    biases = values.where(F.col("layer") == layer.bias).select(idx.cast("int").alias("cls"), F.col("w").alias("bias"))
-    return blocks, biases
-
-
-def _sample_blocks(df: DataFrame, width: int) -> DataFrame:
-    """Samples as (id, salt, block, x): the salt spreads each block over the cluster."""
-    n_blocks = -(-width // COLUMN_BLOCK)
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda b: F.slice("data", b * COLUMN_BLOCK + 1, F.lit(COLUMN_BLOCK)))
-    salt = F.pmod(hash_number(hash_key("salt", F.col("id"))), F.lit(shuffle_width(df.sparkSession))).cast("int")
-    return df.select("id", salt.alias("salt"), F.posexplode(pieces).alias("block", "x"))
-
-
-def _dense_by_blocks(df: DataFrame, weights: DataFrame, layer: Dense) -> DataFrame:
-    """(id, out): the outputs of a dense layer for ``df`` (id, data)."""
-    blocks, biases = _weight_blocks(weights, layer)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(shuffle_width(df.sparkSession) - 1)))
-    salted = blocks.withColumn("salt", salts)
-    product = F.aggregate(F.zip_with("x", "w", lambda x, w: x.cast("double") * w), F.lit(0.0), lambda a, p: a + p)
-    sums = _sample_blocks(df, layer.width).join(salted, ["salt", "block"]).groupBy("id", "cls").agg(F.sum(product).alias("s"))
-    with_bias = sums.join(biases, "cls").select("id", "cls", (F.col("s") + F.col("bias")).alias("s"))
-    value = F.greatest(F.col("s"), F.lit(0.0)) if layer.relu else F.col("s")
-    outputs = with_bias.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("cls", value.alias("s")))).alias("pairs"))
-    return outputs.select("id", F.transform("pairs", lambda p: p["s"]).alias("out"))
-
-
-def _score_by_blocks(df: DataFrame, weights: DataFrame, learner: Learner) -> DataFrame:
-    inputs = df.select("id", "data")
-    for layer in learner.dense_layers():
-        inputs = _dense_by_blocks(inputs, weights, layer).withColumnRenamed("out", "data")
-    return df.join(inputs.withColumnRenamed("data", "scores"), "id")
-
-
-def gradient(df: DataFrame, weights: DataFrame, learner: LinearSoftmax, limit: int = BROADCAST_BYTES) -> DataFrame:
+def gradient(df: DataFrame, weights: DataFrame, learner: LinearSoftmax, limit: int = SLAB_BYTES) -> DataFrame:
     """Sum over all samples of the softmax gradient, as (layer, chunk, values); divide by the row count.
 
     Layer -1 holds (sum of losses, rows).
     """
-    if model_bytes(learner) > limit:
-        return _gradient_by_blocks(df, weights, learner)
-    params = df.sparkSession.sparkContext.broadcast(to_arrays(learner, weights))
+    slabs = send_out(weights, learner, limit)
     schema = pa.schema([("layer", pa.int32()), ("chunk", pa.int32()), ("values", pa.list_(pa.float64()))])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +103,7 @@ def gradient(df: DataFrame, weights: DataFrame, learner: LinearSoftmax, limit: i
                 continue
             x = as_matrix(batch.column("data"), learner.n_features)
             y = batch.column("label").to_numpy(zero_copy_only=False)
-            losses, errors = softmax_errors(learner.scores(params.value, x), y)
+            losses, errors = softmax_errors(forward(slabs, x), y)
             grads[0] += (errors.T @ x).ravel()
             grads[1] += errors.sum(axis=0)
             stats += (losses.sum(), len(y))
@@ -130,32 +117,8 @@ def gradient(df: DataFrame, weights: DataFrame, learner: LinearSoftmax, limit: i
     return vector_sums(parts, BLOCK)
 
 
-def _gradient_by_blocks(df: DataFrame, weights: DataFrame, learner: LinearSoftmax) -> DataFrame:
-    scored = _score_by_blocks(df, weights, learner)
-    label = checked_label(F.col("scores"), F.col("label"))
-    probability = softmax(F.col("scores"))
-    # Scoring is the costly part and its result is needed three times.
-    errors = materialise(scored.select(
-        "id", cross_entropy(F.col("scores"), F.col("label")).alias("loss"),
-        F.transform(probability, lambda p, c: p - F.when(c == label, 1.0).otherwise(0.0)).alias("errors")), "errors")
-    met = _sample_blocks(df, learner.n_features).join(errors, "id")
-    terms = met.select("block", "x", F.posexplode("errors").alias("cls", "e")).select(
-        "cls", "block", F.transform("x", lambda x: x.cast("double") * F.col("e")).alias("v"))
-    long = vector_sums(terms, ["cls", "block"], "v").select("cls", "block", F.posexplode("v").alias("k", "value")).select(
-        F.lit(0).alias("layer"),
-        (F.col("cls").cast("bigint") * learner.n_features + F.col("block") * COLUMN_BLOCK + F.col("k")).alias("idx"), "value")
-    bias = vector_sums(errors.select("errors"), [], "errors").select(F.posexplode("errors").alias("cls", "value")).select(
-        F.lit(1).alias("layer"), F.col("cls").cast("bigint").alias("idx"), "value")
-    cells = long.unionByName(bias).select(
-        "layer", F.floor(F.col("idx") / CHUNK).cast("int").alias("chunk"), "idx", "value")
-    packed = cells.groupBy(*BLOCK).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("r"))
-    stats = errors.agg(F.array(F.sum("loss"), F.count(F.lit(1)).cast("double")).alias("values"))
-    return packed.select(*BLOCK, F.transform("r", lambda r: r["value"]).alias("values")).unionByName(
-        stats.select(F.lit(-1).alias("layer"), F.lit(0).alias("chunk"), "values"))
-
-
 def sgd_step(df: DataFrame, state: DataFrame, learner: LinearSoftmax, rate: float, momentum: float = 0.0,
-             weight_decay: float = 0.0, limit: int = BROADCAST_BYTES) -> DataFrame:
+             weight_decay: float = 0.0, limit: int = SLAB_BYTES) -> DataFrame:
     """One full-batch step on a state table (layer, chunk, values, velocity); the model stays a table."""
     # As large as the model, and read twice below.
     grads = materialise(gradient(df, state, learner, limit), "gradient")
@@ -175,6 +138,6 @@ def sgd_step(df: DataFrame, state: DataFrame, learner: LinearSoftmax, rate: floa
     return moved.select(*BLOCK, F.zip_with("values", "velocity", lambda w, v: w - v).alias("values"), "velocity")
 
 
-def evaluate(df: DataFrame, weights: DataFrame, learner: Learner, ks: tuple[int, ...] = (1,), limit: int = BROADCAST_BYTES) -> DataFrame:
+def evaluate(df: DataFrame, weights: DataFrame, learner: Learner, ks: tuple[int, ...] = (1,), limit: int = SLAB_BYTES) -> DataFrame:
     """Top-k accuracies and mean loss of a model over all of ``df``."""
     return accuracy_and_loss(score(df, weights, learner, limit), "scores", "label", ks)

@@ -78,7 +78,7 @@ class _Run:
             return noted
         clock = self.spark.createDataFrame(self.rounds, "round int, elapsed_s double")
         local = self.spark.read.parquet(f"{self.base}/local").where(F.col("kind") == "loss")
-        steps = local.join(F.broadcast(clock), "round").withColumns({
+        steps = local.join(clock, "round").withColumns({
             "run": F.lit(self.name), "update_no": F.lit(None).cast("bigint")})
 
         def rows(kind, value):
@@ -145,12 +145,12 @@ def _after_updates(run: _Run, centre: DataFrame, meeting: DataFrame, folded: Dat
     run.updates = before
 
 
-def _worker_snapshot(run: _Run, local: DataFrame, iteration: int, steps: int) -> None:
-    """Worker 0 saves its weights when a multiple of ``snapshot`` fell on the end of its round."""
+def _worker_snapshots(run: _Run, local: DataFrame, first: int, last: int) -> None:
+    """Worker 0's weights after each iteration of the round that is a multiple of ``snapshot``, as they were then."""
     every = run.solver.snapshot
-    if every > 0 and iteration // every > (iteration - steps) // every:
-        mine = _weights_of(local).where(F.col("worker") == 0)
-        run.save(mine, worker_tag(iteration // every * every))
+    for iteration in range(first - first % every + every, last + 1, every) if every > 0 else ():
+        taken = local.where((F.col("kind") == "snapshot") & (F.col("iter") == iteration))
+        run.save(taken.select(*BLOCK, "values"), worker_tag(iteration))
 
 
 def _round_count(spark: SparkSession, iterations: int, period: int) -> int:
@@ -161,9 +161,9 @@ def _elastic_rounds(run: _Run, samples_of, centre: DataFrame, state: DataFrame,
     for number in range(_round_count(run.spark, run.solver.max_iter, params.period)):
         local = run.write(
             local_round(_with_progress(samples_of(number)), _at_iteration(state, number * params.period, run), run.learner,
-                        run.solver, RoundRule(), run.n_workers), number, "local")
+                        run.solver, RoundRule(snapshot=run.solver.snapshot if worker_saves else 0), run.n_workers), number, "local")
         if worker_saves:
-            _worker_snapshot(run, local, (number + 1) * params.period, params.period)
+            _worker_snapshots(run, local, number * params.period, (number + 1) * params.period)
         centre, state = _exchange(run, number, local, centre, dict.fromkeys(range(run.n_workers), number), params)
         run.close_round(number)
     return Trained(centre, state, run.log(), run.snapshots, run.updates)
@@ -219,7 +219,7 @@ def train_elastic_adaptive(shards: DataFrame, n_workers: int, learner: Learner,
     run = _Run(shards.sparkSession, "elastic-adaptive", learner, solver, n_workers, test, snapshots)
     stored = StoredShards(shards, n_workers, solver.batch_size, block_rows)
     centre, state = _start(run, weights, seed)
-    rule = RoundRule(adaptive_period=params.period, last_iteration=solver.max_iter)
+    rule = RoundRule(adaptive_period=params.period, last_iteration=solver.max_iter, snapshot=solver.snapshot)
     progress = {w: (0, 0.0, -1.0) for w in range(n_workers)}
     exchanges = dict.fromkeys(progress, 0)
     number = 0
@@ -234,7 +234,7 @@ def train_elastic_adaptive(shards: DataFrame, n_workers: int, learner: Learner,
         ended = {r["worker"]: r["values"] for r in local.where(F.col("kind") == "progress").select("worker", "values").collect()}
         met = [w for w in sorted(starts) if ended[w][3] > 0]
         if 0 in starts:
-            _worker_snapshot(run, local, int(ended[0][0]), int(ended[0][0]) - starts[0])
+            _worker_snapshots(run, local, starts[0], int(ended[0][0]))
         if met:
             arrivals = {w: int(ended[w][0]) - 1 if decay_by_iteration else exchanges[w] for w in met}
             centre, state = _exchange(run, number, local, centre, arrivals, params)

@@ -199,6 +199,8 @@ def test_elastic_from_shards_equals_a_loop(spark, tmp_path):
         for w in range(WORKERS):
             for t, rows in enumerate(cyclic(members[w], r * 4, 4), r * 4):
                 local_step(LEARNER, w_params[w], w_speed[w], x[rows], y[rows], t, solver)
+                if (w, t) == (0, 5):
+                    at_six = [p.copy() for p in w_params[0]]
         for w in range(WORKERS):
             old = [c.copy() for c in centre]
             centre = [0.7 * c + 0.3 * p for c, p in zip(centre, w_params[w])]
@@ -206,6 +208,8 @@ def test_elastic_from_shards_equals_a_loop(spark, tmp_path):
     for got, want in zip(to_arrays(LEARNER, trained.centre), centre):
         assert got == pytest.approx(want)
     assert load_weights(spark, trained.snapshots, "state_worker_iter_6.weight").count() == 2
+    for got, want in zip(to_arrays(LEARNER, load_weights(spark, trained.snapshots, "state_worker_iter_6.weight")), at_six):
+        assert got == pytest.approx(want, abs=1e-5)
 
 
 def test_a_round_opens_only_its_rows(spark, tmp_path):
@@ -255,10 +259,7 @@ def test_adaptive_equals_a_loop(spark, tmp_path):
     assert sorted(map(tuple, log[log.kind == "exchange"][["worker", "iter"]].astype(int).values)) == sorted(points)
 
 
-def test_blocks_and_broadcast_agree(spark, monkeypatch):
-    from elastrain.plans import scoring
-
-    monkeypatch.setattr(scoring, "COLUMN_BLOCK", 3)
+def test_slabs_of_any_size_agree(spark):
     x, y = planted(30)
     df = frame(spark, x, y)
     rng = np.random.default_rng(2)
@@ -273,6 +274,30 @@ def test_blocks_and_broadcast_agree(spark, monkeypatch):
         assert b[k] == pytest.approx(a[k])
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_rows_do_not_depend_on_the_size_of_the_model(spark, limit):
+    w = init_weights(layer_table(spark, LEARNER.layers()), 3)
+    data = [float(i) for i in range(D)]
+    rows = [(None, data, 0.0), (1, data, 0.0), (1, data[::-1], 0.0)]
+    df = spark.createDataFrame(rows, "id long, data array<float>, label float")
+    found = [(r["id"], r["data"]) for r in score(df, w, LEARNER, limit).collect()]
+    assert sorted(found, key=str) == sorted(((i, d) for i, d, _ in rows), key=str)
+    with pytest.raises(Exception, match="values each"):
+        score(spark.createDataFrame([(1, data[1:], 0.0)], df.schema), w, LEARNER, limit).collect()
+    with pytest.raises(ValueError, match="expected"):
+        score(df, w.where("layer = 0"), LEARNER, limit)
+
+
+def test_samples_may_travel_as_bytes(spark):
+    x, y = planted(60, levels=6)
+    numbers = frame(spark, x, y)
+    packed = spark.createDataFrame([(i, bytes(int(v) for v in row), float(t)) for i, (row, t) in enumerate(zip(x, y))], "id long, data binary, label float")
+    solver = SolverParams(base_lr=0.01, max_iter=4, batch_size=5)
+    a, b = (T.train_elastic(df, ["id"], 2, LEARNER, solver, ExchangeParams(2, 0.4), SEED) for df in (numbers, packed))
+    for got, want in zip(to_arrays(LEARNER, b.centre), to_arrays(LEARNER, a.centre)):
+        assert got == pytest.approx(want)
+
+
 def test_relu_scores_by_blocks(spark):
     net = ReluNet(D, 5, C)
     x, y = planted(20)
