@@ -57,10 +57,10 @@ def colour_delta(spark: SparkSession, train: str, test: str, n_workers: int, lea
     return _delta(rows, held, n_workers, k, learner, solver, seed, weights)
 
 
-def _store(df: DataFrame, n_workers: int, seed: int, quantise: bool = True) -> DataFrame:
-    """Shard the samples by id, store them per worker, and read the stores."""
+def _store(df: DataFrame, n_workers: int, seed: int, quantise: bool = True, order: str = "id") -> DataFrame:
+    """Shard the samples by id, store them per worker in the order of a number, and read the stores."""
     path = fresh_path(df.sparkSession, "shards")
-    materialise_shards(assign_workers(df, ["id"], n_workers, seed), "id", path, quantise=quantise)
+    materialise_shards(assign_workers(df, ["id"], n_workers, seed), order, path, quantise=quantise)
     return read_shards(df.sparkSession, path)
 
 
@@ -91,7 +91,9 @@ def colour_elastic(spark: SparkSession, train: str, n_workers: int, learner: Lea
 def _large_shards(spark: SparkSession, pairs: str, n_workers: int, seed: int, dims) -> DataFrame:
     records = files.scan_sequence_pairs(spark, pairs, dims)
     numbers = S.to_record(files.decoded(records), "data", "label", dims, keep=["id"])
-    return _store(materialise(numbers, "large"), n_workers, seed)
+    # The ids name a file and a row; a hash of them is an order that is the same everywhere.
+    placed = numbers.withColumn("place", F.xxhash64("id"))
+    return _store(materialise(placed, "large"), n_workers, seed, order="place")
 
 
 def large_images_fixed(spark: SparkSession, pairs: str, n_workers: int, learner: Learner, solver: SolverParams,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from elastrain.functions.hashing import hash_key
 from elastrain.operators.numbering import number_by_hash
-from elastrain.session import fresh_path
+from elastrain.session import fresh_path, remove_path
 from elastrain.sources.shards import BLOCK_ROWS
 
 
@@ -43,7 +43,7 @@ class ShuffledEpochs:
             raise ValueError(f"shard smaller than one batch: workers {small[:10]}")
         self.per_epoch = {w: n // batch for w, n in self.rows.items()}
         self.path = fresh_path(df.sparkSession, "epochs")
-        self.written = 0
+        self.written = self.removed = 0
 
     def _write_epoch(self, epoch: int) -> None:
         spark = self.df.sparkSession
@@ -72,6 +72,10 @@ class ShuffledEpochs:
         while self.written <= epochs[-1]:
             self._write_epoch(self.written)
             self.written += 1
+        # Rounds before this one are stored, so epochs that no worker reads any more can go.
+        while self.removed < epochs[0]:
+            remove_path(self.df.sparkSession, f"{self.path}/epoch={self.removed}")
+            self.removed += 1
         folders = [f"{self.path}/epoch={e}/round={number}" for e in epochs if self._has(e, number)]
         return self.df.sparkSession.read.parquet(*folders)
 

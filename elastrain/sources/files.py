@@ -54,9 +54,12 @@ def write_sequence_pairs(df: DataFrame, path: str) -> None:
 
 
 def scan_sequence_pairs(spark: SparkSession, path: str, dims: tuple[int, int, int]) -> DataFrame:
-    """Pairs as samples; ``data`` is bytes or values as it was written."""
+    """Pairs as samples; ``data`` is bytes or values as it was written.
+
+    The id is the row's place in its file, the same on any cluster, and lets filters through to the scan.
+    """
     return spark.read.parquet(path).select(
-        F.monotonically_increasing_id().alias("id"), "data", "label", _dim(dims).alias("dim"))
+        F.concat_ws(":", "_metadata.file_name", "_metadata.row_index").alias("id"), "data", "label", _dim(dims).alias("dim"))
 
 
 def write_sequence_file(df: DataFrame, path: str) -> None:
