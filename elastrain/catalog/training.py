@@ -4,14 +4,19 @@ Language of the documents is the target, character trigrams of the whole text ar
 training itself is not SQL, so these queries are checked against plain numpy in the tests.
 """
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from elastrain.catalog.common import SEED, SQL_SHARDED, WORKERS, sharded
 from elastrain.catalog.registry import query, table
+from elastrain.operators.aggregates import vector_sum
 from elastrain.operators.batching import assign_workers
+from elastrain.operators.weights import chunked
 from elastrain.plans import training as T
 from elastrain.plans.learners import LinearSoftmax, ReluNet
 from elastrain.plans.parameters import init_weights as fill_weights
@@ -20,13 +25,15 @@ from elastrain.plans.scoring import evaluate
 from elastrain.schema import ExchangeParams, SolverParams
 from elastrain.session import fresh_path, materialise
 from elastrain.sources.shards import materialise_shards, read_shards
-from elastrain.sources.stores import load_weights, save_weights
+from elastrain.sources.stores import load_weights, save_weights, worker_tag
 
 # Classes of the documents table.
 LANGUAGES = ["en", "fr", "de", "es"]
 FEATURES = 256
 ROUNDS = 4
-STEPS = 4
+#: Most rows of a mini-batch and of a shard: workers and steps follow the row count, a task's memory does not.
+MOST_BATCH = 64
+MOST_SHARD = 65536
 BLOCK = 4096
 LINEAR = LinearSoftmax(FEATURES, len(LANGUAGES))
 RELU = ReluNet(FEATURES, 32, len(LANGUAGES))
@@ -53,19 +60,29 @@ def trigram_samples(spark, sf_dir):
         F.array(F.lit(1), F.lit(16), F.lit(16)).alias("dim"))
 
 
-def prepared(spark, sf_dir):
-    """Features written once, with their worker; and a batch size that makes an epoch of all rows."""
-    rows = materialise(assign_workers(trigram_samples(spark, sf_dir), ["id"], WORKERS, SEED), "features")
-    smallest = min(worker_rows(rows, WORKERS).values())
-    return rows, max(1, smallest // (ROUNDS * STEPS))
+@dataclass
+class Job:
+    """Features written once, with their worker, and sizes that make an epoch of all rows in ROUNDS rounds."""
 
+    rows: DataFrame
+    workers: int
+    batch: int
+    steps: int
 
-def solver(batch, **more):
-    return SolverParams(base_lr=0.5, max_iter=ROUNDS * STEPS, momentum=0.9, weight_decay=0.0002, batch_size=batch, **more)
+    def solver(self, **more):
+        return SolverParams(base_lr=0.5, max_iter=ROUNDS * self.steps, momentum=0.9, weight_decay=0.0002, batch_size=self.batch, **more)
 
+    def exchange(self):
+        return ExchangeParams(period=self.steps, moving_rate=0.3, decay_rate=0.9, decay_step=2 * self.steps)
 
-def exchange():
-    return ExchangeParams(period=STEPS, moving_rate=0.3, decay_rate=0.9, decay_step=2 * STEPS)
+
+def prepared(spark, sf_dir):
+    features = materialise(trigram_samples(spark, sf_dir), "features")
+    workers = max(WORKERS, -(-features.count() // MOST_SHARD))
+    rows = assign_workers(features, ["id"], workers, SEED)
+    smallest = min(worker_rows(rows, workers).values())
+    batch = min(MOST_BATCH, max(1, smallest // (4 * ROUNDS)))
+    return Job(rows, workers, batch, max(1, smallest // (batch * ROUNDS)))
 
 
 def _result(trained, rows, learner):
@@ -78,58 +95,59 @@ def _result(trained, rows, learner):
 
 @query("train_elastic")
 def train_elastic(spark, sf_dir):
-    rows, batch = prepared(spark, sf_dir)
-    trained = T.train_elastic(rows, ["id"], WORKERS, LINEAR, solver(batch), exchange(), SEED)
-    return _result(trained, rows, LINEAR)
+    job = prepared(spark, sf_dir)
+    trained = T.train_elastic(job.rows, ["id"], job.workers, LINEAR, job.solver(), job.exchange(), SEED)
+    return _result(trained, job.rows, LINEAR)
 
 
 @query("train_elastic_relu")
 def train_elastic_relu(spark, sf_dir):
     """The same run with one hidden layer."""
-    rows, batch = prepared(spark, sf_dir)
-    trained = T.train_elastic(rows, ["id"], WORKERS, RELU, solver(batch), exchange(), SEED)
-    return _result(trained, rows, RELU)
+    job = prepared(spark, sf_dir)
+    trained = T.train_elastic(job.rows, ["id"], job.workers, RELU, job.solver(), job.exchange(), SEED)
+    return _result(trained, job.rows, RELU)
 
 
 def _shards(spark, sf_dir):
-    rows, batch = prepared(spark, sf_dir)
+    job = prepared(spark, sf_dir)
     path = fresh_path(spark, "shards")
-    stored = rows.withColumn("data", F.transform("data", lambda x: x * 64))
+    stored = job.rows.withColumn("data", F.transform("data", lambda x: x * 64))
     materialise_shards(stored, "id", path, block_rows=BLOCK)
     pixels = read_shards(spark, path)
-    return pixels.withColumn("data", F.transform("data", lambda x: x / 64)), batch
+    return pixels.withColumn("data", F.transform("data", lambda x: x / 64)), job
 
 
 @query("train_elastic_from_shards")
 def train_elastic_from_shards(spark, sf_dir):
-    shards, batch = _shards(spark, sf_dir)
-    trained = T.train_elastic_from_shards(shards, WORKERS, LINEAR, solver(batch), exchange(), BLOCK, SEED)
+    shards, job = _shards(spark, sf_dir)
+    trained = T.train_elastic_from_shards(shards, job.workers, LINEAR, job.solver(), job.exchange(), BLOCK, SEED)
     return _result(trained, shards, LINEAR)
 
 
 @query("train_elastic_adaptive")
 def train_elastic_adaptive(spark, sf_dir):
-    shards, batch = _shards(spark, sf_dir)
-    trained = T.train_elastic_adaptive(shards, WORKERS, LINEAR, solver(batch), exchange(), BLOCK, SEED)
+    shards, job = _shards(spark, sf_dir)
+    trained = T.train_elastic_adaptive(shards, job.workers, LINEAR, job.solver(), job.exchange(), BLOCK, SEED)
     return _result(trained, shards, LINEAR)
 
 
 @query("train_delta")
 def train_delta(spark, sf_dir):
-    rows, batch = prepared(spark, sf_dir)
-    settings = SolverParams(base_lr=0.2, max_iter=ROUNDS * STEPS * WORKERS, momentum=0.5, batch_size=batch)
-    return _result(T.train_delta(rows, ["id"], WORKERS, STEPS, LINEAR, settings, SEED), rows, LINEAR)
+    job = prepared(spark, sf_dir)
+    settings = SolverParams(base_lr=0.2, max_iter=ROUNDS * job.steps * job.workers, momentum=0.5, batch_size=job.batch)
+    return _result(T.train_delta(job.rows, ["id"], job.workers, job.steps, LINEAR, settings, SEED), job.rows, LINEAR)
 
 
 @query("warm_start")
 def warm_start(spark, sf_dir):
     """A run that starts from the saved centre of an earlier one."""
-    rows, batch = prepared(spark, sf_dir)
+    job = prepared(spark, sf_dir)
     path = fresh_path(spark, "weights")
-    first = T.train_elastic(rows, ["id"], WORKERS, LINEAR, solver(batch), exchange(), SEED)
+    first = T.train_elastic(job.rows, ["id"], job.workers, LINEAR, job.solver(), job.exchange(), SEED)
     save_weights(first.centre, path, "start")
-    again = T.train_elastic(rows, ["id"], WORKERS, LINEAR, solver(batch), exchange(), SEED, weights=load_weights(spark, path, "start"))
-    return _result(again, rows, LINEAR)
+    again = T.train_elastic(
+        job.rows, ["id"], job.workers, LINEAR, job.solver(), job.exchange(), SEED, weights=load_weights(spark, path, "start"))
+    return _result(again, job.rows, LINEAR)
 
 
 VECTORS = LinearSoftmax(64, 10)
@@ -140,14 +158,19 @@ SQL_SHUFFLED_PICK = f"""row_number() OVER (PARTITION BY worker ORDER BY md5('{SE
 SQL_STORED_PICK = """(row_number() OVER (PARTITION BY worker ORDER BY id) - 1 + {t} * (n - (SELECT min(n) FROM sizes))) % n < (SELECT min(n) FROM sizes)"""
 
 
-def _sql_local_steps(steps, pick=SQL_SHUFFLED_PICK, data="data::double[]"):
-    """Every worker's weights after steps from zero, each on a batch as large as the smallest shard.
+SQL_ZERO_START = "SELECT c::int AS cls, j::int AS j, 0.0::double AS w FROM range(10) AS a(c), range(-1, 64) AS b(j)"
+SQL_MEAN_START = """SELECT label::int AS cls, j, avg(x)::float::double AS w FROM x WHERE j >= 0 GROUP BY label, j
+  UNION ALL SELECT c::int, -1, 0.0::double FROM range(10) AS a(c)"""
+
+
+def _sql_local_steps(steps, pick=SQL_SHUFFLED_PICK, data="data::double[]", start=SQL_ZERO_START):
+    """Every worker's weights after steps from the ``start`` weights, each on a batch as large as the smallest shard.
 
     ``pick`` says which rows of a shard step t takes.
     """
     ctes = [SQL_SHARDED, """sizes AS (SELECT worker, count(*) AS n FROM sharded GROUP BY worker)""",
             "x AS (SELECT id, worker, label, unnest(range(-1, 64))::int AS j, unnest(list_prepend(1.0::double, " + data + ")) AS x FROM sharded)",
-            "w0 AS (SELECT worker, c::int AS cls, j::int AS j, 0.0::double AS w, 0.0::double AS v FROM sizes, range(10) AS a(c), range(-1, 64) AS b(j))"]
+            f"w0 AS (SELECT worker, cls, j, w, 0.0::double AS v FROM sizes, ({start}))"]
     for t in range(steps):
         ctes += [
             f"b{t} AS (SELECT id FROM (SELECT id, {pick.format(t=t)} AS taken FROM sharded JOIN sizes USING (worker)) WHERE taken)",
@@ -247,3 +270,40 @@ def init_weights(spark, sf_dir):
     cells = weights.select("layer", "chunk", F.posexplode("values").alias("place", "value"))
     return cells.select(
         "layer", (F.col("chunk").cast("bigint") * 16 + F.col("place")).alias("idx"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+@query("warm_start_round", f"""
+{_sql_local_steps(2, start=SQL_MEAN_START)} SELECT cls, j, round(sum({MIX}::double * pow(1 - {MIX}::double, {WORKERS - 1} - worker) * w)
+  + pow(1 - {MIX}::double, {WORKERS}) * (SELECT max(w) FROM w0 WHERE w0.cls = w2.cls AND w0.j = w2.j), 6) + 0.0 AS value
+FROM w2 GROUP BY cls, j""")
+def warm_start_round(spark, sf_dir):
+    """A round that starts from saved weights: every class begins as the mean vector of its label."""
+    rows, settings = _vector_run(spark, sf_dir)
+    means = rows.groupBy(F.col("label").cast("int").alias("cls")).agg(
+        vector_sum(F.col("data")).alias("s"), F.count(F.lit(1)).alias("n"))
+    cells = means.select("cls", F.posexplode("s").alias("j", "v"), "n").select(
+        (F.col("cls") * 64 + F.col("j")).alias("i"), (F.col("v") / F.col("n")).alias("v"))
+    first = cells.agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("c")).select(
+        F.lit(0).alias("layer"), F.transform("c", lambda c: c["v"]).alias("values"))
+    zeros = spark.range(1).select(F.lit(1).alias("layer"), F.array_repeat(F.lit(0.0), 10).alias("values"))
+    path = fresh_path(spark, "weights")
+    save_weights(chunked(first.union(zeros)), path, "start")
+    params = ExchangeParams(period=2, moving_rate=MIX)
+    trained = T.train_elastic(
+        rows, ["id"], WORKERS, VECTORS, SolverParams(max_iter=2, **settings), params, SEED, weights=load_weights(spark, path, "start"))
+    return _dense_cells(trained.centre)
+
+
+@query("worker_snapshot_in_round", f"""
+{_sql_local_steps(1, SQL_STORED_PICK, "list_transform(data, lambda x: (trunc(x::double * 100)::int & 255) / 255.0::double)")}
+SELECT cls, j, round(w::float::double, 6) + 0.0 AS value FROM w1 WHERE worker = 0""")
+def worker_snapshot_in_round(spark, sf_dir):
+    """Worker 0's weights, in single precision, saved after the first of the two steps of a round."""
+    rows, settings = _vector_run(spark, sf_dir)
+    path = fresh_path(spark, "shards")
+    materialise_shards(rows.withColumn("data", F.transform("data", lambda x: x.cast("double") * 100)), "id", path, block_rows=BLOCK)
+    scaled = read_shards(spark, path).withColumn("data", F.transform("data", lambda x: x / 255))
+    params = ExchangeParams(period=2, moving_rate=MIX)
+    trained = T.train_elastic_from_shards(
+        scaled, WORKERS, VECTORS, SolverParams(max_iter=2, snapshot=1, **settings), params, BLOCK, SEED)
+    return _dense_cells(load_weights(spark, trained.snapshots, worker_tag(1)))
