@@ -149,13 +149,12 @@ def worker_table_query(spark, sf_dir):
 
 
 @query("zero_samples", """
-SELECT i AS id, source, 64::int AS n, 0.0::double AS total, 0.0::double AS label
-FROM range((SELECT count(*) FROM embeddings)) AS r(i), (VALUES ('TRAIN'), ('TEST')) AS s(source)""")
+SELECT vec_id AS id, source, 64::int AS n, 0.0::double AS total, 0.0::double AS label
+FROM embeddings, (VALUES ('TRAIN'), ('TEST')) AS s(source)""")
 def zero_samples_query(spark, sf_dir):
     """A placeholder for every sample of the table."""
-    rows = samples(spark, sf_dir).count()
     total = F.aggregate("data", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return zero_samples(spark, rows, DIMS).select(
+    return zero_samples(samples(spark, sf_dir), DIMS).select(
         "id", "source", F.size("data").alias("n"), total.alias("total"), F.col("label").cast("double").alias("label"))
 
 

@@ -22,10 +22,10 @@ def worker_table(spark: SparkSession, n_workers: int) -> DataFrame:
     return spark.range(0, n_workers, 1, n_workers).select(F.col("id").cast("int").alias("worker"))
 
 
-def zero_samples(spark: SparkSession, batch: int, dims: tuple[int, int, int]) -> DataFrame:
-    """Placeholder samples: all values and the label 0, for the TRAIN and the TEST source."""
+def zero_samples(df: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
+    """A placeholder for every row of ``df`` (id): all values and the label 0, for the TRAIN and the TEST source."""
     c, h, w = dims
     sources = F.explode(F.array(F.lit("TRAIN"), F.lit("TEST"))).alias("source")
-    return spark.range(batch).select(
+    return df.select(
         "id", sources, F.array_repeat(F.lit(0.0).cast("float"), c * h * w).alias("data"),
         F.lit(0.0).cast("float").alias("label"), F.array(F.lit(c), F.lit(h), F.lit(w)).alias("dim"))

@@ -36,7 +36,7 @@ def test_rows_and_zero_samples(spark):
     df = from_rows(spark, [(1, [1.0], 2.0, [1, 1, 1])], 2)
     assert df.count() == 1 and df.is_cached
     df.unpersist()
-    zeros = zero_samples(spark, 3, (1, 2, 2)).collect()
+    zeros = zero_samples(spark.range(3), (1, 2, 2)).collect()
     assert len(zeros) == 6 and all(r["data"] == [0.0] * 4 and r["label"] == 0.0 for r in zeros)
 
 
