@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from elastrain.llm.common import arrow_map, column, documents, write_table
 from elastrain.llm.components import smallest_reachable
+from elastrain.session import shuffle_width
 
 BITS = 64
 SEED = 42
 SHINGLES_AT_ONCE = 1 << 16
+FINGERPRINTS_A_TASK = 1_000_000
 
 
 def simhash(raw: bytes, shingle: int = 3) -> int:
@@ -71,7 +73,9 @@ def hamming_links(prints: DataFrame, radius: int = 3, segments: int = 2) -> Data
 
     Work is per distinct fingerprint: copies meet in the distinct and make no pairs.
     """
-    nodes = prints.select("fp").distinct()
+    # Every row is about to become some dozens: no more than FINGERPRINTS_A_TASK go into one task.
+    tasks = max(shuffle_width(prints.sparkSession), -(-prints.count() // FINGERPRINTS_A_TASK))
+    nodes = prints.select("fp").distinct().repartition(tasks, "fp")
     long = lambda x: F.lit(x).cast("bigint")
     probes = ball(segments, radius)
     looked_up = F.array(*(F.struct(F.lit(s).alias("seg"), long(m).alias("mask"), long(f).alias("flip")) for s, m, f in probes))
