@@ -16,6 +16,7 @@ from elastrain.catalog.common import SEED, SQL_SHARDED, WORKERS, sharded
 from elastrain.catalog.registry import query, table
 from elastrain.operators.aggregates import vector_sum
 from elastrain.operators.batching import assign_workers
+from elastrain.operators.samples import mirror
 from elastrain.operators.weights import chunked
 from elastrain.plans import training as T
 from elastrain.plans.learners import LinearSoftmax, ReluNet
@@ -159,25 +160,26 @@ SQL_STORED_PICK = """(row_number() OVER (PARTITION BY worker ORDER BY id) - 1 +
 
 
 SQL_ZERO_START = "SELECT c::int AS cls, j::int AS j, 0.0::double AS w FROM range(10) AS a(c), range(-1, 64) AS b(j)"
-SQL_MEAN_START = """SELECT label::int AS cls, j, avg(x)::float::double AS w FROM x WHERE j >= 0 GROUP BY label, j
+SQL_MEAN_START = """SELECT label::int AS cls, j, avg(x)::float::double AS w FROM x0 WHERE j >= 0 GROUP BY label, j
   UNION ALL SELECT c::int, -1, 0.0::double FROM range(10) AS a(c)"""
 
 
 def _sql_local_steps(steps, pick=SQL_SHUFFLED_PICK, data="data::double[]", start=SQL_ZERO_START):
     """Every worker's weights after steps from the ``start`` weights, each on a batch as large as the smallest shard.
 
-    ``pick`` says which rows of a shard step t takes.
+    ``pick`` says which rows of a shard step t takes, ``data`` their values in that step.
     """
     ctes = [SQL_SHARDED, """sizes AS (SELECT worker, count(*) AS n FROM sharded GROUP BY worker)""",
-            "x AS (SELECT id, worker, label, unnest(range(-1, 64))::int AS j, unnest(list_prepend(1.0::double, " + data + ")) AS x FROM sharded)",
+            *(f"x{t} AS (SELECT id, worker, label, unnest(range(-1, 64))::int AS j, unnest(list_prepend(1.0::double, {data.format(t=t)})) AS x FROM sharded)"
+              for t in range(steps)),
             f"w0 AS (SELECT worker, cls, j, w, 0.0::double AS v FROM sizes, ({start}))"]
     for t in range(steps):
         ctes += [
             f"b{t} AS (SELECT id FROM (SELECT id, {pick.format(t=t)} AS taken FROM sharded JOIN sizes USING (worker)) WHERE taken)",
-            f"s{t} AS (SELECT id, worker, label, cls, sum(x * w) AS s FROM x JOIN b{t} USING (id) JOIN w{t} USING (worker, j) GROUP BY id, worker, label, cls)",
+            f"s{t} AS (SELECT id, worker, label, cls, sum(x * w) AS s FROM x{t} JOIN b{t} USING (id) JOIN w{t} USING (worker, j) GROUP BY id, worker, label, cls)",
             f"p{t} AS (SELECT id, worker, label, cls, exp(s) / sum(exp(s)) OVER (PARTITION BY id) AS p FROM s{t})",
             f"""g{t} AS (SELECT x.worker, cls, j, sum((p - (cls = x.label)::int) * x) / (SELECT min(n) FROM sizes) AS g
-  FROM p{t} JOIN x ON x.id = p{t}.id GROUP BY x.worker, cls, j)""",
+  FROM p{t} JOIN x{t} AS x ON x.id = p{t}.id GROUP BY x.worker, cls, j)""",
             f"""u{t} AS (SELECT worker, cls, j, w, 0.9::double * v + 2.0::double * (CASE WHEN j < 0 THEN 2 ELSE 1 END)
   * (g + CASE WHEN j < 0 THEN 0 ELSE 0.004::double END * w) AS v FROM w{t} JOIN g{t} USING (worker, cls, j))""",
             f"w{t + 1} AS (SELECT worker, cls, j, w - v AS w, v FROM u{t})"]
@@ -211,6 +213,23 @@ def elastic_round(spark, sf_dir):
     return _dense_cells(trained.centre)
 
 
+SQL_MIRRORED = f"""list_transform(range(64), lambda i: CASE WHEN ('0x' || substr(md5('{SEED}:{{t}}:mirror:' || id), 1, 8))::bigint % 2 = 0
+  THEN data[i - i % 4 + 3 - i % 4 + 1] ELSE data[i + 1] END::double)"""
+
+
+@query("elastic_round_mirrored", f"""
+{_sql_local_steps(2, data=SQL_MIRRORED)} SELECT cls, j, round(sum({MIX}::double * pow(1 - {MIX}::double, {WORKERS - 1} - worker) * w), 6) + 0.0 AS value
+FROM w2 GROUP BY cls, j""")
+def elastic_round_mirrored(spark, sf_dir):
+    """The round over samples that each epoch flips anew, half of them, in rows of four values."""
+    rows, settings = _vector_run(spark, sf_dir)
+    params = ExchangeParams(period=2, moving_rate=MIX)
+    trained = T.train_elastic(
+        rows, ["id"], WORKERS, VECTORS, SolverParams(max_iter=2, **settings), params, SEED,
+        transform=lambda df, epoch: mirror(df, 4, ["id"], SEED, epoch))
+    return _dense_cells(trained.centre)
+
+
 @query("delta_round", f"""
 {_sql_local_steps(2)} SELECT cls, j, round(sum(w), 6) + 0.0 AS value FROM w2
 WHERE worker IN (SELECT worker FROM sizes WHERE 12 * n // (SELECT sum(n) FROM sizes) // 2 >= 1) GROUP BY cls, j""")

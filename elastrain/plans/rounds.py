@@ -6,6 +6,7 @@ stored shards are read by block.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -32,10 +33,12 @@ class ShuffledEpochs:
 
     An epoch is numbered and written once, under round=; a step of a worker is its iteration number
     over all epochs. Shards may differ in size, so a round can reach into several epochs.
+    ``transform(samples, epoch)`` changes the samples anew in every epoch, as a random crop does.
     """
 
-    def __init__(self, df: DataFrame, ids: list[str], n_workers: int, batch: int, period: int, seed: int):
-        self.df, self.ids, self.seed = df, ids, seed
+    def __init__(self, df: DataFrame, ids: list[str], n_workers: int, batch: int, period: int, seed: int,
+                 transform: Callable[[DataFrame, int], DataFrame] | None = None):
+        self.df, self.ids, self.seed, self.transform = df, ids, seed, transform
         self.batch, self.period, self.n_workers = batch, period, n_workers
         self.rows = worker_rows(df, n_workers)
         small = [w for w, n in self.rows.items() if n < batch]
@@ -47,7 +50,8 @@ class ShuffledEpochs:
 
     def _write_epoch(self, epoch: int) -> None:
         spark = self.df.sparkSession
-        keyed = self.df.withColumn("_key", hash_key(self.seed, epoch, *[F.col(c) for c in self.ids]))
+        rows = self.transform(self.df, epoch) if self.transform else self.df
+        keyed = rows.withColumn("_key", hash_key(self.seed, epoch, *[F.col(c) for c in self.ids]))
         placed = number_by_hash(keyed, ["worker"], "_key", "pos", "shard_rows")
         batches = F.floor(F.col("shard_rows") / self.batch)
         step = F.floor((F.col("pos") - 1) / self.batch)

@@ -8,6 +8,7 @@ costs a recomputation of its tasks, and lineage never grows beyond one round.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -184,11 +185,14 @@ def _at_iteration(state: DataFrame, iteration: int, run: _Run) -> DataFrame:
 
 def train_elastic(df: DataFrame, ids: list[str], n_workers: int, learner: Learner, solver: SolverParams, params: ExchangeParams,
                   seed: int = 0, weights: DataFrame | None = None, test: DataFrame | None = None,
-                  snapshots: str | None = None) -> Trained:
-    """Elastic averaging at a fixed period over reshuffled epochs of ``df`` (ids, data, label)."""
+                  snapshots: str | None = None, transform: Callable[[DataFrame, int], DataFrame] | None = None) -> Trained:
+    """Elastic averaging at a fixed period over reshuffled epochs of ``df`` (ids, data, label).
+
+    ``transform(samples, epoch)`` is applied to the training samples of each epoch; ``test`` is scored as it is.
+    """
     run = _Run(df.sparkSession, "elastic", learner, solver, n_workers, test, snapshots)
     sharded = df if "worker" in df.columns else assign_workers(df, ids, n_workers, seed)
-    epochs = ShuffledEpochs(sharded, ids, n_workers, solver.batch_size, params.period, seed)
+    epochs = ShuffledEpochs(sharded, ids, n_workers, solver.batch_size, params.period, seed, transform)
     centre, state = _start(run, weights, seed)
     return _elastic_rounds(run, epochs.samples, centre, state, params, worker_saves=False)
 
@@ -250,14 +254,15 @@ def train_elastic_adaptive(shards: DataFrame, n_workers: int, learner: Learner,
 
 
 def train_delta(df: DataFrame, ids: list[str], n_workers: int, k: int, learner: Learner, solver: SolverParams,
-                seed: int = 0, weights: DataFrame | None = None, test: DataFrame | None = None) -> Trained:
+                seed: int = 0, weights: DataFrame | None = None, test: DataFrame | None = None,
+                transform: Callable[[DataFrame, int], DataFrame] | None = None) -> Trained:
     """Each worker takes the centre, does ``k`` steps, and pushes the sum of its updates.
 
     A worker's share of the iterations follows its share of the rows, so small shards stop early.
     """
     run = _Run(df.sparkSession, "delta", learner, solver, n_workers, test, None)
     sharded = df if "worker" in df.columns else assign_workers(df, ids, n_workers, seed)
-    epochs = ShuffledEpochs(sharded, ids, n_workers, solver.batch_size, k, seed)
+    epochs = ShuffledEpochs(sharded, ids, n_workers, solver.batch_size, k, seed, transform)
     total = sum(epochs.rows.values())
     pushes = {w: solver.max_iter * n // total // k for w, n in epochs.rows.items()}
     centre, state = _start(run, weights, seed)
