@@ -31,7 +31,10 @@ WHITE_SPACE = "\t\n\v\f\r \x85\xa0               
 # States: a quote would start a token; would not; was the start; then r or v; then l; contraction complete.
 FRESH, INSIDE, QUOTED, QUOTED_RV, QUOTED_L, DONE = range(6)
 BLOCK = 128
-CACHE_SIZE, CACHE_CHARS = 500_000, 40
+CACHE_SIZE, CACHE_CHARS = 150_000, 40
+#: Characters encoded, and tokens decoded, at a time: arrays of a task are some dozen bytes for each.
+CHARS_AT_ONCE = 1 << 18
+TOKENS_AT_ONCE = 1 << 16
 SHORT = 100
 
 
@@ -232,7 +235,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
         lengths, merges = np.diff(edges), merges_of(raw.value)
         for batch in parts:
             done = 0
-            for group in grouped(column(batch, "text")):
+            for group in grouped(column(batch, "text"), CHARS_AT_ONCE):
                 ids, counts = encode_texts(group, merges)
                 size = lengths[ids]
                 starts = np.cumsum(size) - size
@@ -248,6 +251,18 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     return arrow_map(documents(docs, id_col, text_col), run, "doc_id bigint, ids array<int>, starts array<int>")
 
 
+def _by_tokens(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most TOKENS_AT_ONCE ids; a row with more is alone."""
+    for batch in parts:
+        ends = np.cumsum(np.diff(batch.column(1).offsets.to_numpy()))
+        lo = 0
+        while lo < batch.num_rows:
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + TOKENS_AT_ONCE, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Rows of ``encode`` (doc_id, ids, starts) with ``decoded``: the bytes of the tokens, laid at their offsets."""
     with open(ranks_path, "rb") as f:
@@ -255,7 +270,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, words, edges = vocabulary(raw.value)
-        for batch in parts:
+        for batch in _by_tokens(parts):
             ids, starts = (batch.column(i) for i in (1, 2))
             flat, sizes = ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())
             at = starts.flatten().to_numpy().astype(np.int64)

@@ -46,11 +46,11 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def grouped(texts: list[str]) -> Iterator[list[str]]:
-    """Texts in groups of about CHARS_AT_ONCE characters; a longer text is alone."""
+def grouped(texts: list[str], most: int = CHARS_AT_ONCE) -> Iterator[list[str]]:
+    """Texts in groups of at most ``most`` characters; a longer text is alone."""
     group, size = [], 0
     for text in texts:
-        if group and size + len(text) > CHARS_AT_ONCE:
+        if group and size + len(text) > most:
             yield group
             group, size = [], 0
         group.append(text)

@@ -23,7 +23,7 @@ FEATURES = 1 << 18
 #: Most labelled rows that a model is fitted on: those with the smallest md5 of their id.
 SAMPLE = 4000
 EPOCHS, COST, SMOOTHING, STEEPNESS = 10, 1.0, 1.0, 2.0
-CACHE_SIZE = 400_000
+CACHE_SIZE = 150_000
 
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[^\W\d_A-Z~]+"), re.compile(r"\d+")
 _RUN = re.compile(r"(.)\1+", re.S)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from samples import awkward, empty, prose
@@ -64,3 +65,12 @@ def test_table_round_trip(spark, library):
         for a, b in zip(r.starts, r.starts[1:] + [len(r.decoded)]):
             assert b > a
     assert bpe.decode(bpe.encode(empty(spark), PATH), PATH).count() == 0
+
+
+def test_batches_are_cut_by_tokens_without_loss(monkeypatch):
+    monkeypatch.setattr(bpe, "TOKENS_AT_ONCE", 5)
+    lists = [[1, 2, 3], [], [4], [5] * 12, [], [6, 7], [8, 9, 10, 11, 12]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+    parts = list(bpe._by_tokens([batch, batch.slice(2, 3), batch.slice(0, 0)]))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == lists + lists[2:5]
+    assert all(p.num_rows == 1 or len(p.column(1).flatten()) <= 5 for p in parts)
