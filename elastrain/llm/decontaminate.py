@@ -22,6 +22,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Fixed value: what stands between words, after A-Z are in lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SLOTS = 1 << 19
+# A missing id is this number until the end, so that joins and groups see it like any other.
+MISSING = -(1 << 63)
 
 
 def words_of(text: Column) -> Column:
@@ -77,6 +79,11 @@ def anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Tells rows with one id apart; a missing id (see contamination) and a null text have keys like any other."""
+    return F.xxhash64(F.coalesce(doc_id.cast("bigint"), F.lit(MISSING)), F.coalesce(text.cast("string"), F.lit("")))
+
+
 def build_index(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """Written postings of ``terms``: doc_id, key, pos (from 1), term, around (the words at up to width - 1
     places on either side), lead (how many of these stand before). Every document also has a row of
@@ -84,8 +91,8 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, w
     """
     bitmap = sketch(terms, "term")
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), whole_text(docs, text_col).alias("text"))
-    # The key tells rows with one id apart. The empty word in front stands for the document itself.
-    split = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.concat(F.array(F.lit("")), words_of(F.col("text"))).alias("words"))
+    # The empty word in front stands for the document itself.
+    split = rows.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), F.concat(F.array(F.lit("")), words_of(F.col("text"))).alias("words"))
     spots = split.select("doc_id", "key", "words", F.posexplode_outer("words").alias("pos", "term"))
     spots = spots.where((F.col("pos") == 0) | may_hold(bitmap, F.col("term")))
     begin = F.greatest(F.col("pos") + 2 - width, F.lit(2))
@@ -120,13 +127,12 @@ def contamination(
     item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit (words inside an occurring window), n_items, items (their
-    ids as sorted strings), n_near (places where a window occurs but for at most a fifth of its words).
+    ids as sorted strings), n_near (places where a window occurs but for at most a fifth of its words), key (``row_key`` of id and text).
 
     Null and empty texts have no words and no hits; items without words have no windows; an item that
     stands twice counts once. Rows that repeat are each returned. Empty tables give no rows or no hits.
     """
-    # A missing id is a number of its own until the end, so that joins and groups see it like any other.
-    missing = F.lit(-(1 << 63))
+    missing = F.lit(MISSING)
     docs = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), missing).alias("doc_id"), whole_text(docs, text_col).alias("text"))
     windows = write_table(windows_of(items, item_col, item_text_col, width), "windows")
     vocabulary = windows.select(F.explode("words").alias("term")).distinct()
@@ -151,7 +157,7 @@ def contamination(
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
         F.when(F.col("doc_id") != missing, F.col("doc_id")).alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(items_).cast("bigint").alias("n_items"),
-        items_.alias("items"), F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
+        items_.alias("items"), F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), "key",
     )
 
 
