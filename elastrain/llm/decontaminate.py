@@ -1,8 +1,9 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations only.
 
-Corpus counts of the benchmark's terms choose the two rarest terms of every benchmark window. Only
-postings of the rarest terms are stored (document, position, the words around). A posting is matched
-with the second term at its offset, so lists are intersected where they are stored, and the candidates
+Corpus counts of the benchmark's terms choose the rarest terms of every benchmark window: two more than
+words of it may differ, so wherever it occurs, exactly or nearly, two of them stand in place. Only
+postings of these terms are stored (document, position, the words around). A posting is matched with
+another of the terms at its offset, so lists are intersected where they are stored, and the candidates
 are compared with the window word by word: exact phrases, or near ones by the number of equal words.
 
 Before rows are multiplied or shuffled, terms pass a bitmap of fixed size (``sketch``), which a scalar
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from elastrain.llm.common import whole_text, write_table
 
 WINDOW = 13
-NEAR = 0.8
+# One word in so many may differ in a near occurrence.
+NEAR = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Fixed value: what stands between words, after A-Z are in lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -66,17 +68,20 @@ def corpus_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame
 
 
 def anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(phrase, length, term, at, delta, other): the rarest term of a window, its place, the second rarest relative to it.
+    """(phrase, length, term, at, delta, other): pairs of rare terms of a window, the place of the rarer, the other relative to it.
 
-    Windows with a word that no document has are left out. A window of one word is its own second term.
+    Every place where at most length // NEAR words differ has both terms of a pair. Words that no document
+    has differ everywhere: they leave fewer others to differ, and a window with too many occurs nowhere. A
+    window of one word is a pair with itself.
     """
     spots = windows.select("phrase", "length", "words").distinct().select("phrase", "length", F.posexplode("words").alias("at", "term"))
-    ranked = spots.join(counts, "term").groupBy("phrase", "length").agg(F.sort_array(F.collect_list(F.struct("n", "at", "term"))).alias("rare"))
-    first, second = F.get("rare", F.lit(0)), F.get("rare", F.least(F.lit(1), F.size("rare") - 1))
-    return ranked.where(F.size("rare") == F.col("length")).select(
-        "phrase", "length", first.term.alias("term"), first.at.alias("at"),
-        (second.at - first.at).alias("delta"), second.term.alias("other"),
-    )
+    seen = spots.join(counts, "term").groupBy("phrase", "length").agg(F.sort_array(F.collect_list(F.struct("n", "at", "term"))).alias("rare"))
+    spare = F.floor(F.col("length") / NEAR).cast("int") - (F.col("length") - F.size("rare"))
+    taken = seen.withColumn("spare", spare).where("spare >= 0").select("phrase", "length", F.expr("slice(rare, 1, spare + 2)").alias("rare"))
+    pair = lambda x, y: F.struct(x.term.alias("term"), x.at.alias("at"), (y.at - x.at).alias("delta"), y.term.alias("other"))
+    both = F.transform("rare", lambda x: F.transform(F.filter("rare", lambda y: F.struct(y.n, y.at) > F.struct(x.n, x.at)), lambda y: pair(x, y)))
+    alone = F.transform("rare", lambda x: pair(x, x))
+    return taken.select("phrase", "length", F.inline(F.when(F.col("length") == 1, alone).otherwise(F.flatten(both))))
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -105,7 +110,7 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, w
 
 
 def find_windows(index: DataFrame, places: DataFrame, width: int) -> DataFrame:
-    """(doc_id, key, start, phrase, length, same): candidates whose two rarest terms are in place, and their equal words."""
+    """(doc_id, key, start, phrase, length, same): candidates with two anchors in place, and their equal words."""
     bitmap = sketch(places, "term", "delta", "other")
     beside = F.transform(
         F.sequence(F.lit(0), F.size("around") - 1),
@@ -116,7 +121,7 @@ def find_windows(index: DataFrame, places: DataFrame, width: int) -> DataFrame:
     met = pairs.join(places, ["term", "delta", "other"]).where("pos > at AND lead >= at")
     text = F.slice("around", F.col("lead") - F.col("at") + 1, F.col("length"))
     equal = F.zip_with(text, F.split("phrase", " "), lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
-    return met.select(
+    return met.where(F.size(text) == F.col("length")).select(
         "doc_id", "key", (F.col("pos") - F.col("at")).alias("start"), "phrase", "length",
         F.aggregate(equal, F.lit(0), lambda s, x: s + x).alias("same"),
     )
@@ -127,7 +132,8 @@ def contamination(
     item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW,
 ) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit (words inside an occurring window), n_items, items (their
-    ids as sorted strings), n_near (places where a window occurs but for at most a fifth of its words), key (``row_key`` of id and text).
+    ids as sorted strings), n_near (places where a window occurs but for at most a fifth of its words, each word compared
+    with the one in its place), key (``row_key`` of id and text).
 
     Null and empty texts have no words and no hits; items without words have no windows; an item that
     stands twice counts once. Rows that repeat are each returned. Empty tables give no rows or no hits.
@@ -149,7 +155,7 @@ def contamination(
     hits = spans.select(*row, fresh.alias("fresh")).groupBy(*row).agg(F.sum("fresh").alias("n_hit"))
     which = exact.select(*row, "phrase").distinct().join(windows.select("phrase", "item_id"), "phrase")
     which = which.groupBy(*row).agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    near = found.where((F.col("same") < F.col("length")) & (F.col("same") >= F.ceil(F.col("length") * NEAR)))
+    near = found.where((F.col("same") < F.col("length")) & (F.col("length") - F.col("same") <= F.floor(F.col("length") / NEAR)))
     near = near.select(*row, "start").distinct().groupBy(*row).agg(F.count("*").alias("n_near"))
     marks = hits.join(which, row, "full").join(near, row, "full")
     documents = index.where("pos = 0").select(*row, F.col("lead").cast("bigint").alias("n_words"))
