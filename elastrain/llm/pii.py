@@ -52,9 +52,10 @@ _DIGITS = re.compile(r"[0-9]++(?:[ .-][0-9]++)*+")  # every ip and card lies wit
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]++(?:[ -][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-_SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}")
-_LOCAL_PHONE = re.compile(r"[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}")
+_IBAN_HEAD = re.compile(r"[A-Z]{2}[0-9]{2}")
+_IBAN = {country: re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){%d}" % (n - 4)) for country, n in IBAN_LENGTHS.items()}
+_SSN = re.compile(r"(?<![0-9])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9])")
+_LOCAL_PHONE = re.compile(r"(?<![0-9])[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}(?![0-9])")
 _NEAR = {
     kind: tuple(re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, words[kind].split())) + r")(?!\w)") for words in (FOR, AGAINST))
     for kind in KINDS
@@ -101,10 +102,9 @@ def _in_digits(text: str) -> Iterator[Span]:
                 digits = m[0].replace(" ", "").replace("-", "")
                 if 16 <= len(digits) <= 19 and luhn(digits):
                     yield "card", *m.span()
-        if _SSN.fullmatch(text, lo, hi):
-            yield "ssn", lo, hi
-        elif _LOCAL_PHONE.fullmatch(text, lo, hi):
-            yield "local_phone", lo, hi
+        for kind, pattern in (("ssn", _SSN), ("local_phone", _LOCAL_PHONE)):
+            for m in pattern.finditer(text, lo, hi):
+                yield kind, *m.span()
 
 
 def _phones(text: str) -> Iterator[Span]:
@@ -114,16 +114,16 @@ def _phones(text: str) -> Iterator[Span]:
 
 
 def _ibans(text: str) -> Iterator[Span]:
-    for m in _IBAN.finditer(text):
-        length, at, seen = IBAN_LENGTHS.get(m[0][:2], 0), m.start(), 0
-        if not length or (at and text[at - 1].isalnum()):
+    """Every head at a word start is tried at its country's length; the search goes on behind what is accepted."""
+    free = 0
+    for head in _IBAN_HEAD.finditer(text):
+        at = head.start()
+        if at < free or head[0][:2] not in _IBAN or (at and text[at - 1].isalnum()):
             continue
-        end = at
-        while end < m.end() and seen < length:
-            seen += text[end] != " "
-            end += 1
-        if seen == length and not text[end : end + 1].isalnum() and mod_97(text[at:end].replace(" ", "")):
-            yield "iban", at, end
+        m = _IBAN[head[0][:2]].match(text, at)
+        if m and not text[m.end() : m.end() + 1].isalnum() and mod_97(m[0].replace(" ", "")):
+            yield "iban", *m.span()
+            free = m.end()
 
 
 def score(text: str, span: Span) -> float:

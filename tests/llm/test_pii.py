@@ -55,6 +55,19 @@ def test_words_nearby_move_the_score_and_decide_on_added_kinds():
     assert low < pii.PRIOR["ip"] < high
 
 
+def test_added_kinds_next_to_other_numbers():
+    found = lambda text: [(s[0], text[s[1] : s[2]]) for s in pii.spans_of(text)]
+    assert found("SSN 123-45-6789 01/02/1980") == [("ssn", "123-45-6789")]
+    assert found("ssn 123-45-6789 234-56-7890.") == [("ssn", "123-45-6789"), ("ssn", "234-56-7890")]
+    assert found("call 555-123-4567 24 hours") == [("local_phone", "555-123-4567")]
+    assert found("call 1-555-123-4567 555.123.4568") == [("local_phone", "555-123-4567"), ("local_phone", "555.123.4568")]
+    assert found("ssn 0123-45-6789 123-45-67890, call 5555-123-4567") == []
+    assert found("DE89370400440532013000 GB29NWBK60161331926819") == [("iban", "DE89370400440532013000"), ("iban", "GB29NWBK60161331926819")]
+    assert found("AB12 GB82 WEST 1234 5698 7654 32") == [("iban", "GB82 WEST 1234 5698 7654 32")]
+    assert found("DE12 DE89 3704 0044 0532 0130 00 X") == [("iban", "DE89 3704 0044 0532 0130 00")]
+    assert found("xGB82WEST12345698765432 GB82WEST12345698765432x GB83WEST12345698765432") == []
+
+
 def test_long_texts_take_linear_time():
     for text in ("a" * 300_000, "1" * 300_000, "@" * 300_000, "1." * 150_000, "+1 " * 100_000, "A" * 300_000, "@a.b " * 60_000):
         pii.spans_of(text)
