@@ -125,10 +125,25 @@ def learning_rate(solver: SolverParams, iteration: int) -> float:
     return solver.base_lr * solver.gamma ** (iteration // solver.stepsize)
 
 
+def mean_step(losses: tuple[float, Params] | None, n: int, more: tuple[float, Params], m: int) -> tuple[float, Params]:
+    """Mean loss and gradients over n + m rows, from those of n rows (None: no rows yet) and of m more."""
+    if losses is None:
+        return more
+    share = m / (n + m)
+    for g, h in zip(losses[1], more[1]):
+        g += (h - g) * share
+    return losses[0] + (more[0] - losses[0]) * share, losses[1]
+
+
 def local_step(learner: Learner, params: Params, velocity: Params, x: np.ndarray, y: np.ndarray,
                iteration: int, solver: SolverParams) -> tuple[float, Params]:
-    """One solver step in place: clip, decay, momentum, apply. Returns the loss and the update values."""
+    """One solver step in place on a batch. Returns the loss and the update values."""
     loss, gradients = learner.loss_and_gradients(params, x, y)
+    return loss, apply_gradients(learner, params, velocity, gradients, iteration, solver)
+
+
+def apply_gradients(learner: Learner, params: Params, velocity: Params, gradients: Params, iteration: int, solver: SolverParams) -> Params:
+    """Clip, decay, momentum, apply, in place. Returns the update values."""
     rate = learning_rate(solver, iteration)
     if solver.clip_gradients > 0:
         norm = float(np.sqrt(sum(float(g @ g) for g in gradients)))
@@ -138,4 +153,4 @@ def local_step(learner: Learner, params: Params, velocity: Params, x: np.ndarray
         v *= solver.momentum
         v += rate * spec.lr_mult * (g + solver.weight_decay * spec.decay_mult * w)
         w -= v
-    return loss, velocity
+    return velocity

@@ -1,8 +1,9 @@
 """Local solver steps of many workers as one Spark job.
 
 A worker's state rows and its samples of the round arrive in one partition, sorted: state first,
-then samples by step. They stream through in Arrow batches, so a task holds one model and one
-mini-batch, whatever the round's length.
+then samples by step. They stream through in Arrow batches and a mini-batch is folded into its mean
+gradient piece by piece, so a task holds one model, its gradient and one piece, whatever the length of
+the round or the size of a mini-batch.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from pyspark.sql import functions as F
 
 from elastrain.functions.arrow import as_matrix, runs
 from elastrain.operators.weights import CHUNK
-from elastrain.plans.learners import Learner, local_step
+from elastrain.plans.learners import Learner, apply_gradients, mean_step
 from elastrain.schema import SolverParams
 
 STATE, SAMPLE = 0, 1
 # Layer number of the row that keeps (iteration, loss since the last exchange, cut, due).
 PROGRESS = -1
+#: Values (rows times features) of a mini-batch that are held before they are folded into the gradient.
+PIECE = 1 << 20
 
 OUT = pa.schema([
     ("kind", pa.string()), ("worker", pa.int32()), ("layer", pa.int32()), ("chunk", pa.int32()),
@@ -53,7 +56,8 @@ class _Worker:
         self.iteration, self.loss_sum, self.cut, self.due = 0, 0.0, -1.0, False
         self.log: list[tuple] = []
         self.snapshots: list[tuple] = []
-        self.step_no, self.parts = None, []
+        self.step_no, self.parts, self.held = None, [], 0
+        self.mean, self.n, self.spent = None, 0, 0.0
 
     def add_block(self, layer: int, chunk: int, values: np.ndarray, velocity: np.ndarray) -> None:
         if layer == PROGRESS:
@@ -72,20 +76,33 @@ class _Worker:
         if self.step_no is not None and step != self.step_no:
             self.finish_step()
         self.step_no = step
-        self.parts.append((x, y))
-
-    def finish_step(self) -> None:
-        if not self.parts:
-            return
+        if not self.due:
+            self.parts.append((x, y))
+            self.held += x.size
+            if self.held >= PIECE:
+                self._fold()
+
+    def _fold(self) -> None:
+        """What is held joins the mean loss and gradients of the step."""
         x, y = (np.concatenate(p) for p in zip(*self.parts))
-        self.parts = []
-        if self.due:
-            return
+        self.parts, self.held = [], 0
         if self.params is None:
             self._assemble()
         start = time.perf_counter()
-        loss, updates = local_step(self.learner, self.params, self.velocity, x, y, self.iteration, self.solver)
-        spent = (time.perf_counter() - start) * 1000
+        self.mean = mean_step(self.mean, self.n, self.learner.loss_and_gradients(self.params, x, y), len(y))
+        self.n += len(y)
+        self.spent += (time.perf_counter() - start) * 1000
+
+    def finish_step(self) -> None:
+        if self.parts:
+            self._fold()
+        if self.mean is None:
+            return
+        start = time.perf_counter()
+        loss, gradients = self.mean
+        updates = apply_gradients(self.learner, self.params, self.velocity, gradients, self.iteration, self.solver)
+        spent = self.spent + (time.perf_counter() - start) * 1000
+        self.mean, self.n, self.spent = None, 0, 0.0
         if self.rule.sum_updates:
             for total, u in zip(self.updates, updates):
                 total += u
