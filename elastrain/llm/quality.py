@@ -32,7 +32,7 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 def shape(word: str) -> str:
     """Letters by case, digits, and marks as they are, each run once: 'ABle,,' is 'Aa,'."""
-    return _RUN.sub(r"\1", _LOWER.sub("a", _UPPER.sub("~", _DIGIT.sub("0", word[:64]))))
+    return _RUN.sub(r"\1", _LOWER.sub("a", _UPPER.sub("~", _DIGIT.sub("0", word))))
 
 
 class Tokens(dict):
