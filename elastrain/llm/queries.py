@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from elastrain.llm import bpe, decontaminate, exact_dedup, pii, quality, simhash, suffix_dedup, token_counts, url_filter, warc
+from elastrain.llm import (
+    bpe, conversations, decontaminate, divergence, exact_dedup, pii, quality, sharding, simhash, suffix_dedup, token_counts, url_filter, warc,
+)
 from elastrain.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +177,112 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+found AS (SELECT row_no, lang, source, term, count(*) AS n FROM (SELECT row_no, lang, source, unnest(w) AS term FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::hugeint AS n FROM found GROUP BY ALL HAVING count(*) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(n)::hugeint AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, sum(n)::hugeint AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * l.v) AS p,
+         1 + (1000000000 * (k.n + 5)) // (l.total + 5 * l.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::bigint AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::bigint FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::int AS rank FROM parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50""")
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_documents(read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _way(key: str, cost: str, letter: str, said: str = "''") -> str:
+    """SQL for a longer way: a way is its cost in nine digits, its audit, chr(1) and its rows, so the least string is the best."""
+    return (
+        f"printf('%09d', {key}[1:9]::int + {cost}) || substr(split_part({key}, chr(1), 1), 10) || '{letter}' || "
+        f"substr({key}, position(chr(1) IN {key})) || {said}"
+    )
+
+
+def _mending_sql() -> str:
+    def least(ways: list[str]) -> str:
+        return f"least({', '.join(ways)}, NULL)"
+
+    said, paid = "chr(10) || role || ':' || text", "(fault = 'truncated')::int"
+    after = []
+    for q in conversations.STATES:
+        ways = [_way(f"s{q}", "3", "D"), f"CASE WHEN NOT must AND initial = '' THEN {_way(f's{q}', paid, 'K', said)} END"]
+        for p, role in conversations.INTO[q]:
+            ways.append(f"CASE WHEN NOT must AND initial = '{role}' THEN {_way(f's{p}', paid, 'K', said)} END")
+            if role in conversations.ROLES:
+                ways.append(f"CASE WHEN NOT must THEN {_way(f's{p}', '2 + ' + paid, 'R', f"chr(10) || '{conversations.ROLES[role]}:' || text")} END")
+        after.append(f"{least(ways)} AS s{q}")
+    user, assistant = (f"chr(10) || '{r}:'" for r in ("user", "assistant"))
+
+    def inserts(source: str, columns: str) -> str:
+        two = least(["s2", *(_way(f"s{p}", "2", "I", user) for p in (0, 1, 3))])
+        three = least(["s3", _way("s2", "2", "I", assistant)])
+        return f"SELECT {columns}, s0, s1, s2, {three} AS s3 FROM (SELECT {columns}, s0, s1, {two} AS s2, s3 FROM ({source}))"
+
+    return f"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') AS name FROM conversations),
+hashed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(name, ''),
+           lambda x: [ascii(x)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+           lambda c, e: xor(xor(c, e) >> 1, CASE WHEN xor(c, e) & 1 = 1 THEN 3988292384::bigint ELSE 0 END)), 4294967295::bigint) % 20 AS kind FROM given),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM hashed WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS times FROM damaged),
+faults AS (
+  SELECT *, left(role, 1) AS initial,
+         CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN times > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+rows AS (SELECT *, fault IN ('blank', 'duplicate') AS must, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS two FROM faults),
+walk AS (
+  {inserts("SELECT conv_id, 0::bigint AS i, '000000000' || chr(1) AS s0, NULL::varchar AS s1, NULL::varchar AS s2, NULL::varchar AS s3 FROM (SELECT DISTINCT conv_id FROM rows)", "conv_id, i")}
+  UNION ALL
+  {inserts(f"SELECT r.conv_id, r.i, {', '.join(after)} FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1", "conv_id, i")}),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (two IS NOT NULL AND two NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS i FROM rows GROUP BY conv_id),
+ends AS (SELECT c.*, least(s0, s3, NULL) AS best FROM counted c JOIN walk w ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.i = w.i)
+SELECT o.conv_id, coalesce(gaps, 0)::bigint AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best[1:9]::bigint, 0) AS cost,
+       coalesce(substr(split_part(best, chr(1), 1), 10), '') AS audit,
+       sha256(coalesce(substr(best, position(chr(1) IN best) + 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ends e ON o.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+@query(_mending_sql())
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damage(rows), rows)
