@@ -27,8 +27,8 @@ from elastrain.llm.common import arrow_map, whole_text, write_table
 
 MIN_DF, TOP, SCALE, SMOOTH = 30, 50, 10**9, 5
 MAX_VOCABULARY = 2**31 - 1
-#: Fixed value: what a term is made of.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Fixed value: what stands between terms.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Between language and term; no term holds it.
 MARK = "\0"
@@ -38,7 +38,7 @@ BLOCK_ENTRIES = 200_000
 def document_terms(docs: DataFrame) -> DataFrame:
     """lang, source and the terms of every document, each led by its language and MARK."""
     lang = whole_text(docs, "lang")
-    words = F.regexp_extract_all(F.translate(whole_text(docs, "text"), UPPER, LOWER), F.lit(TERM), F.lit(0))
+    words = F.array_remove(F.split(F.translate(whole_text(docs, "text"), UPPER, LOWER), BETWEEN), "")
     terms = F.transform(words, lambda w: F.concat(lang, F.lit(MARK), w))
     return docs.select(lang.alias("lang"), whole_text(docs, "source").alias("source"), terms.alias("terms"))
 
