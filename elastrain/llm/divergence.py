@@ -35,27 +35,37 @@ MARK = "\0"
 BLOCK_ENTRIES = 200_000
 
 
-def document_terms(docs: DataFrame) -> DataFrame:
+def lowered(text: Column) -> Column:
+    """A-Z in lower case and nothing else; a text of one byte a character has no other letters."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def document_terms(docs: DataFrame, distinct: bool = False) -> DataFrame:
     """lang, source and the terms of every document, each led by its language and MARK."""
     lang = whole_text(docs, "lang")
-    words = F.array_remove(F.split(F.translate(whole_text(docs, "text"), UPPER, LOWER), BETWEEN), "")
-    terms = F.transform(words, lambda w: F.concat(lang, F.lit(MARK), w))
+    words = F.array_remove(F.split(lowered(whole_text(docs, "text")), BETWEEN), "")
+    terms = F.transform(F.array_distinct(words) if distinct else words, lambda w: F.concat(lang, F.lit(MARK), w))
     return docs.select(lang.alias("lang"), whole_text(docs, "source").alias("source"), terms.alias("terms"))
 
 
 def source_counts(docs: DataFrame, min_df: int = MIN_DF) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term_no, n) for the kept terms that occur, and the vocabulary (term_no, lang, term)."""
-    spark, rows = docs.sparkSession, document_terms(docs)
+    """(lang, source, term_no, n) for the kept terms that occur, and the vocabulary (term_no, lang, term).
+
+    The fit only asks which documents have a term, so it reads each term of a document once.
+    """
+    spark = docs.sparkSession
     # Documents of one term that no language has keep the vocabulary from being empty, which CountVectorizer refuses.
     filler = spark.range(min_df).select(F.array(F.lit("")).alias("terms"))
     counter = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=MAX_VOCABULARY)
-    model = counter.fit(rows.select("terms").unionAll(filler))
+    model = counter.fit(document_terms(docs, distinct=True).select("terms").unionAll(filler))
     words = [(i, *word.rsplit(MARK, 1)) for i, word in enumerate(model.vocabulary) if word]
     vocabulary = write_table(spark.createDataFrame(words, "term_no int, lang string, term string"), "vocabulary")
-    vector = model.transform(rows).select("lang", "source", F.unwrap_udt("vector").alias("v"))
-    entries = vector.select("lang", "source", F.inline(F.arrays_zip("v.indices", "v.values"))).toDF("lang", "source", "term_no", "n")
-    counts = entries.groupBy("lang", "source", "term_no").agg(F.sum(F.col("n").cast("bigint")).alias("n"))
-    return write_table(counts, "source-counts"), vocabulary
+    vector = model.transform(document_terms(docs)).select("source", F.unwrap_udt("vector").alias("v"))
+    entries = vector.select("source", F.inline(F.arrays_zip("v.indices", "v.values"))).toDF("source", "term_no", "n")
+    # A term has one language, so language need not be part of the key.
+    counts = entries.groupBy("source", "term_no").agg(F.sum(F.col("n").cast("bigint")).alias("n"))
+    counts = write_table(counts, "source-counts")
+    return counts.join(vocabulary.select("term_no", "lang"), "term_no").select("lang", "source", "term_no", "n"), vocabulary
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
