@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from elastrain.catalog.common import SEED, SQL_SHARDED, WORKERS, sharded
 from elastrain.catalog.registry import query, table
+from elastrain.functions.arrays import decode_u8
 from elastrain.operators.aggregates import vector_sum
 from elastrain.operators.batching import assign_workers
 from elastrain.operators.samples import mirror
@@ -23,9 +24,10 @@ from elastrain.plans.learners import LinearSoftmax, ReluNet
 from elastrain.plans.parameters import init_weights as fill_weights
 from elastrain.plans.rounds import worker_rows
 from elastrain.plans.scoring import evaluate
+from elastrain.plans.transforms import SampleTransform
 from elastrain.schema import ExchangeParams, SolverParams
 from elastrain.session import fresh_path, materialise
-from elastrain.sources.shards import materialise_shards, read_shards
+from elastrain.sources.shards import materialise_shards, read_shards, store_by_worker
 from elastrain.sources.stores import load_weights, save_weights, worker_tag
 
 # Classes of the documents table.
@@ -120,9 +122,14 @@ def _shards(spark, sf_dir):
 
 @query("train_elastic_from_shards")
 def train_elastic_from_shards(spark, sf_dir):
-    shards, job = _shards(spark, sf_dir)
-    trained = T.train_elastic_from_shards(shards, job.workers, LINEAR, job.solver(), job.exchange(), BLOCK, SEED)
-    return _result(trained, shards, LINEAR)
+    """From one bucket for each worker, which the rounds read without a shuffle."""
+    job = prepared(spark, sf_dir)
+    scale = SampleTransform((1, 16, 16), scale=1 / 64)
+    grown = job.rows.withColumn("data", F.transform("data", lambda x: x * 64))
+    store = store_by_worker(grown, "id", fresh_path(spark, "store"), job.workers)
+    trained = T.train_elastic_from_shards(store, job.workers, LINEAR, job.solver(), job.exchange(), BLOCK, SEED, transform=scale)
+    held = store.read(spark).withColumn("data", decode_u8("data").cast("array<double>"))
+    return _result(trained, scale.for_test().table(held), LINEAR)
 
 
 @query("train_elastic_adaptive")
@@ -159,20 +166,21 @@ SQL_SHUFFLED_PICK = f"""row_number() OVER (PARTITION BY worker ORDER BY md5('{SE
 SQL_STORED_PICK = """(row_number() OVER (PARTITION BY worker ORDER BY id) - 1 + {t} * (n - (SELECT min(n) FROM sizes))) % n < (SELECT min(n) FROM sizes)"""
 
 
-SQL_ZERO_START = "SELECT c::int AS cls, j::int AS j, 0.0::double AS w FROM range(10) AS a(c), range(-1, 64) AS b(j)"
+SQL_ZERO_START = "SELECT c::int AS cls, j::int AS j, 0.0::double AS w FROM range(10) AS a(c), range(-1, {width}) AS b(j)"
 SQL_MEAN_START = """SELECT label::int AS cls, j, avg(x)::float::double AS w FROM x0 WHERE j >= 0 GROUP BY label, j
   UNION ALL SELECT c::int, -1, 0.0::double FROM range(10) AS a(c)"""
 
 
-def _sql_local_steps(steps, pick=SQL_SHUFFLED_PICK, data="data::double[]", start=SQL_ZERO_START):
+def _sql_local_steps(steps, pick=SQL_SHUFFLED_PICK, data="data::double[]", start=SQL_ZERO_START, more=(), samples="sharded", width=64):
     """Every worker's weights after steps from the ``start`` weights, each on a batch as large as the smallest shard.
 
-    ``pick`` says which rows of a shard step t takes, ``data`` their values in that step.
+    ``pick`` says which rows of a shard step t takes, ``data`` their ``width`` values in that step, taken from the
+    table ``samples`` that ``more`` defines.
     """
-    ctes = [SQL_SHARDED, """sizes AS (SELECT worker, count(*) AS n FROM sharded GROUP BY worker)""",
-            *(f"x{t} AS (SELECT id, worker, label, unnest(range(-1, 64))::int AS j, unnest(list_prepend(1.0::double, {data.format(t=t)})) AS x FROM sharded)"
+    ctes = [SQL_SHARDED, """sizes AS (SELECT worker, count(*) AS n FROM sharded GROUP BY worker)""", *more,
+            *(f"x{t} AS (SELECT id, worker, label, unnest(range(-1, {width}))::int AS j, unnest(list_prepend(1.0::double, {data.format(t=t)})) AS x FROM {samples})"
               for t in range(steps)),
-            f"w0 AS (SELECT worker, cls, j, w, 0.0::double AS v FROM sizes, ({start}))"]
+            f"w0 AS (SELECT worker, cls, j, w, 0.0::double AS v FROM sizes, ({start.format(width=width)}))"]
     for t in range(steps):
         ctes += [
             f"b{t} AS (SELECT id FROM (SELECT id, {pick.format(t=t)} AS taken FROM sharded JOIN sizes USING (worker)) WHERE taken)",
@@ -193,12 +201,12 @@ def _vector_run(spark, sf_dir):
     return rows, {"base_lr": 2.0, "momentum": 0.9, "weight_decay": 0.004, "batch_size": batch}
 
 
-def _dense_cells(centre):
+def _dense_cells(centre, width=64):
     cells = centre.select("layer", F.posexplode("values").alias("i", "value"))
     bias = F.col("layer") == 1
     return cells.select(
-        F.when(bias, F.col("i")).otherwise(F.floor(F.col("i") / 64)).cast("int").alias("cls"),
-        F.when(bias, F.lit(-1)).otherwise(F.pmod("i", F.lit(64))).cast("int").alias("j"),
+        F.when(bias, F.col("i")).otherwise(F.floor(F.col("i") / width)).cast("int").alias("cls"),
+        F.when(bias, F.lit(-1)).otherwise(F.pmod("i", F.lit(width))).cast("int").alias("j"),
         (F.round("value", 6) + 0.0).alias("value"))
 
 
@@ -245,17 +253,47 @@ def delta_round(spark, sf_dir):
 SELECT cls, j, round(sum({MIX}::double * pow(1 - {MIX}::double, {WORKERS - 1} - worker) * w), 6) + 0.0 AS value
 FROM w2 GROUP BY cls, j""")
 def shards_round(spark, sf_dir):
-    """The same round over stored bytes: batches follow the key order and wrap around."""
-    rows, settings = _vector_run(spark, sf_dir)
-    path = fresh_path(spark, "shards")
-    materialise_shards(rows.withColumn("data", F.transform("data", lambda x: x.cast("double") * 100)), "id", path, block_rows=BLOCK)
-    shards = read_shards(spark, path)
-    scaled = shards.withColumn("data", F.transform("data", lambda x: x / 255))
+    """The same round over stored bytes, read by worker without a shuffle: batches follow the key order and wrap around."""
+    store, settings = _byte_store(spark, sf_dir)
     params = ExchangeParams(period=2, moving_rate=MIX)
-    trained = T.train_elastic_from_shards(scaled, WORKERS, VECTORS, SolverParams(max_iter=2, **settings), params, BLOCK, SEED)
+    trained = T.train_elastic_from_shards(
+        store, WORKERS, VECTORS, SolverParams(max_iter=2, **settings), params, BLOCK, SEED, transform=SampleTransform((1, 8, 8), scale=1 / 255))
     return _dense_cells(trained.centre)
 
 
+def _byte_store(spark, sf_dir):
+    """The vectors as bytes, a bucket for each worker."""
+    rows, settings = _vector_run(spark, sf_dir)
+    grown = rows.withColumn("data", F.transform("data", lambda x: x.cast("double") * 100))
+    return store_by_worker(grown, "id", fresh_path(spark, "store"), WORKERS), settings
+
+
+CROPPED = SampleTransform((1, 8, 8), crop=6, mirror=True, channel_means=(40.0,), scale=1 / 255, seed=SEED)
+SMALL = LinearSoftmax(CROPPED.n_features, 10)
+
+# Step t begins at place t * (smallest shard); a row is taken in the first pass that puts it there or later.
+SQL_PASSES = """placed AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY id) - 1 AS pos, n, (SELECT min(n) FROM sizes) AS most
+  FROM sharded JOIN sizes USING (worker)),
+drawn AS (SELECT *, [('0x' || substr(md5(concat_ws(':', {seed}, (greatest(0, t * most - pos) + n - 1) // n, 'top', worker, pos)), 1, 8))::bigint % 3
+   FOR t IN range({steps})] AS top, [('0x' || substr(md5(concat_ws(':', {seed}, (greatest(0, t * most - pos) + n - 1) // n, 'left', worker, pos)), 1, 8))::bigint % 3
+   FOR t IN range({steps})] AS lft, [('0x' || substr(md5(concat_ws(':', {seed}, (greatest(0, t * most - pos) + n - 1) // n, 'mirror', worker, pos)), 1, 8))::bigint % 2
+   FOR t IN range({steps})] AS side FROM placed)"""
+SQL_WINDOW = """list_transform(range(36), lambda i: ((trunc(data[(top[{t} + 1] + i // 6) * 8 + lft[{t} + 1]
+  + CASE WHEN side[{t} + 1] = 0 THEN 5 - i % 6 ELSE i % 6 END + 1]::double * 100)::int & 255) - 40) / 255.0::double)"""
+
+
+@query("shards_round_cropped", f"""
+{_sql_local_steps(3, SQL_STORED_PICK, SQL_WINDOW, more=(SQL_PASSES.format(seed=SEED, steps=3),), samples="drawn", width=36)}
+SELECT cls, j, round(sum({MIX}::double * pow(1 - {MIX}::double, {WORKERS - 1} - worker) * w), 6) + 0.0 AS value
+FROM w3 GROUP BY cls, j""")
+def shards_round_cropped(spark, sf_dir):
+    """Three steps from stored bytes that reach into second and third passes, each pass with windows and flips of its own."""
+    store, settings = _byte_store(spark, sf_dir)
+    params = ExchangeParams(period=3, moving_rate=MIX)
+    trained = T.train_elastic_from_shards(store, WORKERS, SMALL, SolverParams(max_iter=3, **settings), params, BLOCK, SEED, transform=CROPPED)
+    return _dense_cells(trained.centre, CROPPED.n_features)
+
+
 @query("training_report", """
 WITH log AS (SELECT user_id AS run, event_id AS iter, CASE WHEN event_type = 'error' THEN 'accuracy' ELSE 'loss' END AS kind,
                     value, epoch_us(ts) / 1e6::double AS elapsed_s FROM events)
@@ -318,11 +356,8 @@ def warm_start_round(spark, sf_dir):
 SELECT cls, j, round(w::float::double, 6) + 0.0 AS value FROM w1 WHERE worker = 0""")
 def worker_snapshot_in_round(spark, sf_dir):
     """Worker 0's weights, in single precision, saved after the first of the two steps of a round."""
-    rows, settings = _vector_run(spark, sf_dir)
-    path = fresh_path(spark, "shards")
-    materialise_shards(rows.withColumn("data", F.transform("data", lambda x: x.cast("double") * 100)), "id", path, block_rows=BLOCK)
-    scaled = read_shards(spark, path).withColumn("data", F.transform("data", lambda x: x / 255))
+    store, settings = _byte_store(spark, sf_dir)
     params = ExchangeParams(period=2, moving_rate=MIX)
     trained = T.train_elastic_from_shards(
-        scaled, WORKERS, VECTORS, SolverParams(max_iter=2, snapshot=1, **settings), params, BLOCK, SEED)
+        store, WORKERS, VECTORS, SolverParams(max_iter=2, snapshot=1, **settings), params, BLOCK, SEED, transform=SampleTransform((1, 8, 8), scale=1 / 255))
     return _dense_cells(load_weights(spark, trained.snapshots, worker_tag(1)))

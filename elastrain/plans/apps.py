@@ -13,16 +13,19 @@ from elastrain.operators.weights import chunked, weights_by_layer_name
 from elastrain.plans import training as T
 from elastrain.plans.learners import Learner
 from elastrain.plans.scoring import evaluate
+from elastrain.plans.transforms import SampleTransform
 from elastrain.schema import ExchangeParams, SolverParams
 from elastrain.session import fresh_path, materialise
 from elastrain.sources import files
-from elastrain.sources.shards import BLOCK_ROWS, materialise_shards, read_shards
+from elastrain.sources.shards import BLOCK_ROWS, WorkerStore, store_by_worker
 from elastrain.sources.stores import load_weights, save_weights
 
 # Sample shapes of the three data sets.
 DIGITS = (1, 28, 28)
 COLOUR = (3, 32, 32)
 LARGE = (3, 256, 256)
+# Means of the channels of large images.
+CHANNEL_MEANS = (104.0, 117.0, 123.0)
 
 
 @dataclass
@@ -57,20 +60,24 @@ def colour_delta(spark: SparkSession, train: str, test: str, n_workers: int, lea
     return _delta(rows, held, n_workers, k, learner, solver, seed, weights)
 
 
-def _store(df: DataFrame, n_workers: int, seed: int, quantise: bool = True, order: str = "id") -> DataFrame:
-    """Shard the samples by id, store them per worker in the order of a number, and read the stores."""
-    path = fresh_path(df.sparkSession, "shards")
-    materialise_shards(assign_workers(df, ["id"], n_workers, seed), order, path, quantise=quantise)
-    return read_shards(df.sparkSession, path)
+def _store(df: DataFrame, n_workers: int, seed: int, quantise: bool = True, order: str = "id") -> WorkerStore:
+    """Shard the samples by id and store them per worker in the order of a number, ties by id."""
+    path = fresh_path(df.sparkSession, "store")
+    return store_by_worker(assign_workers(df, ["id"], n_workers, seed), order, path, n_workers, quantise, ties=("id",))
 
 
-def _elastic(shards: DataFrame, test: DataFrame | None, n_workers: int, learner: Learner, solver: SolverParams,
-             params: ExchangeParams, seed: int, save_to: str | None) -> Report:
-    trained = T.train_elastic_from_shards(shards, n_workers, learner, solver, params, BLOCK_ROWS, seed, test=test)
+def _elastic(shards: WorkerStore, test: DataFrame | None, n_workers: int, learner: Learner, solver: SolverParams,
+             params: ExchangeParams, seed: int, save_to: str | None, transform: SampleTransform | None = None) -> Report:
+    trained = T.train_elastic_from_shards(shards, n_workers, learner, solver, params, BLOCK_ROWS, seed, test=test, transform=transform)
     if save_to:
         save_weights(trained.centre, save_to, "final")
-    after = evaluate(test, trained.centre, learner) if test is not None else None
-    return Report(trained, None, after, T.training_report(trained.log))
+    return Report(trained, None, _scores(test, trained, learner, transform), T.training_report(trained.log))
+
+
+def _scores(test: DataFrame | None, trained: T.Trained, learner: Learner, transform: SampleTransform | None) -> DataFrame | None:
+    if test is None:
+        return None
+    return evaluate(transform.for_test().table(test) if transform else test, trained.centre, learner)
 
 
 def digits_elastic(spark: SparkSession, train: str, test: str, n_workers: int, learner: Learner, solver: SolverParams,
@@ -82,13 +89,20 @@ def digits_elastic(spark: SparkSession, train: str, test: str, n_workers: int, l
 
 
 def colour_elastic(spark: SparkSession, train: str, n_workers: int, learner: Learner, solver: SolverParams,
-                   params: ExchangeParams, save_to: str, seed: int = 0) -> Report:
-    """Colour images stored as bytes, elastic training from the stores."""
+                   params: ExchangeParams, save_to: str, seed: int = 0, test: str | None = None, subtract_mean: bool = False) -> Report:
+    """Colour images stored as bytes, elastic training from the stores, minus the mean image of the training samples if asked."""
     rows = materialise(files.scan_tsv_images(spark, train, COLOUR), "colour")
-    return _elastic(_store(rows, n_workers, seed), None, n_workers, learner, solver, params, seed, save_to)
+    held = materialise(files.scan_tsv_images(spark, test, COLOUR), "colour") if test else None
+    transform = SampleTransform(COLOUR, mean_image=tuple(S.mean_image(S.quantise_u8(rows)).first()["mean"])) if subtract_mean else None
+    return _elastic(_store(rows, n_workers, seed), held, n_workers, learner, solver, params, seed, save_to, transform)
+
+
+def large_transform(dims=LARGE, crop: int = 224, seed: int = 0) -> SampleTransform:
+    """Drawn windows and flips, minus the channel means; its ``for_test`` has the centre window."""
+    return SampleTransform(dims, crop=crop, mirror=True, channel_means=CHANNEL_MEANS[: dims[0]], seed=seed)
 
 
-def _large_shards(spark: SparkSession, pairs: str, n_workers: int, seed: int, dims) -> DataFrame:
+def _large_shards(spark: SparkSession, pairs: str, n_workers: int, seed: int, dims) -> WorkerStore:
     records = files.scan_sequence_pairs(spark, pairs, dims)
     numbers = S.to_record(files.decoded(records), "data", "label", dims, keep=["id"])
     # The ids name a file and a row; a hash of them is an order that is the same everywhere.
@@ -97,17 +111,19 @@ def _large_shards(spark: SparkSession, pairs: str, n_workers: int, seed: int, di
 
 
 def large_images_fixed(spark: SparkSession, pairs: str, n_workers: int, learner: Learner, solver: SolverParams,
-                       params: ExchangeParams, seed: int = 0, dims=LARGE) -> Report:
-    """Stored (label, bytes) pairs, elastic training at a fixed period."""
-    return _elastic(_large_shards(spark, pairs, n_workers, seed, dims), None, n_workers, learner, solver, params, seed, None)
+                       params: ExchangeParams, seed: int = 0, dims=LARGE, transform: SampleTransform | None = None,
+                       test: DataFrame | None = None) -> Report:
+    """Stored (label, bytes) pairs, elastic training at a fixed period; ``test`` has samples as stored."""
+    return _elastic(_large_shards(spark, pairs, n_workers, seed, dims), test, n_workers, learner, solver, params, seed, None, transform)
 
 
 def large_images_adaptive(spark: SparkSession, pairs: str, n_workers: int, learner: Learner, solver: SolverParams,
-                          params: ExchangeParams, seed: int = 0, dims=LARGE) -> Report:
-    """Stored (label, bytes) pairs, elastic training with loss-driven exchanges."""
+                          params: ExchangeParams, seed: int = 0, dims=LARGE, transform: SampleTransform | None = None,
+                          test: DataFrame | None = None) -> Report:
+    """Stored (label, bytes) pairs, elastic training with loss-driven exchanges; ``test`` has samples as stored."""
     shards = _large_shards(spark, pairs, n_workers, seed, dims)
-    trained = T.train_elastic_adaptive(shards, n_workers, learner, solver, params, BLOCK_ROWS, seed)
-    return Report(trained, None, None, T.training_report(trained.log))
+    trained = T.train_elastic_adaptive(shards, n_workers, learner, solver, params, BLOCK_ROWS, seed, test=test, transform=transform)
+    return Report(trained, None, _scores(test, trained, learner, transform), T.training_report(trained.log))
 
 
 def class_subset(spark: SparkSession, pairs: str, out: str, n_classes: int, seed: int, dims=LARGE) -> None:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from elastrain.functions.arrow import as_matrix, runs
 from elastrain.operators.weights import CHUNK
 from elastrain.plans.learners import Learner, apply_gradients, mean_step
+from elastrain.plans.transforms import SampleTransform
 from elastrain.schema import SolverParams
 
 STATE, SAMPLE = 0, 1
@@ -157,7 +158,18 @@ def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, OUT)], schema=OUT)
 
 
-def _stepper(learner: Learner, solver: SolverParams, rule: RoundRule, width: int):
+def _stepper(learner: Learner, solver: SolverParams, rule: RoundRule, transform: SampleTransform | None = None):
+    width = learner.n_features
+    if transform is not None:
+        if transform.n_features != width:
+            raise ValueError(f"transformed samples have {transform.n_features} values, the model takes {width}")
+        channels, height, columns = transform.dims
+        width = channels * height * columns
+
+    def values_of(batch: pa.RecordBatch, lo: int, n: int) -> np.ndarray:
+        x = as_matrix(batch.column("data").slice(lo, n), width)
+        return x if transform is None else transform.apply(x, as_matrix(batch.column("draws").slice(lo, n), 3).astype(np.int64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = None
         for batch in batches:
@@ -179,7 +191,7 @@ def _stepper(learner: Learner, solver: SolverParams, rule: RoundRule, width: int
                         worker.add_block(int(a[lo + i]), int(b[lo + i]), block, speed)
                 else:
                     y = batch.column("label").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-                    worker.add_samples(int(a[lo]), as_matrix(batch.column("data").slice(lo, hi - lo), width), y)
+                    worker.add_samples(int(a[lo]), values_of(batch, lo, hi - lo), y)
                     if worker.snapshots:
                         yield _batch_of(worker.taken_snapshots())
         if worker is not None:
@@ -188,21 +200,46 @@ def _stepper(learner: Learner, solver: SolverParams, rule: RoundRule, width: int
     return run
 
 
-def local_round(samples: DataFrame, state: DataFrame, learner: Learner, solver: SolverParams, rule: RoundRule, n_workers: int) -> DataFrame:
-    """One round of local steps of every worker.
-
-    ``samples`` has (worker, step, pos, data, label), where data is numbers or bytes and travels as it
-    is; ``state`` has (worker, layer, chunk, values, velocity). Returns rows of kind weights, delta,
-    loss, progress and snapshot.
-    """
+def _state_rows(state: DataFrame, data_type) -> DataFrame:
     none = F.lit(None)
-    of_state = state.select(
+    return state.select(
         "worker", F.lit(STATE).alias("kind"), F.col("layer").cast("bigint").alias("a"), F.col("chunk").cast("bigint").alias("b"),
-        "values", "velocity", none.cast(samples.schema["data"].dataType).alias("data"), none.cast("double").alias("label"))
-    of_samples = samples.select(
+        "values", "velocity", none.cast(data_type).alias("data"), none.cast("double").alias("label"), none.cast("array<int>").alias("draws"))
+
+
+def _sample_rows(samples: DataFrame, *more: str) -> DataFrame:
+    none = F.lit(None)
+    draws = F.col("draws") if "draws" in samples.columns else none.cast("array<int>").alias("draws")
+    return samples.select(
         "worker", F.lit(SAMPLE).alias("kind"), F.col("step").cast("bigint").alias("a"), F.col("pos").cast("bigint").alias("b"),
         none.cast("array<double>").alias("values"), none.cast("array<double>").alias("velocity"),
-        "data", F.col("label").cast("double").alias("label"))
-    together = of_state.unionByName(of_samples).repartitionById(n_workers, F.col("worker"))
-    in_order = together.sortWithinPartitions("worker", "kind", "a", "b")
-    return in_order.mapInArrow(_stepper(learner, solver, rule, learner.n_features), OUT_DDL)
+        "data", F.col("label").cast("double").alias("label"), draws, *more)
+
+
+def local_round(samples: DataFrame, state: DataFrame, learner: Learner, solver: SolverParams, rule: RoundRule, n_workers: int,
+                transform: SampleTransform | None = None) -> DataFrame:
+    """One round of local steps of every worker.
+
+    ``samples`` has (worker, step, pos, data, label), where data is numbers or bytes and travels as it
+    is, and with a transform its draws; ``state`` has (worker, layer, chunk, values, velocity). Returns rows of
+    kind weights, delta, loss, progress and snapshot.
+    """
+    together = _state_rows(state, samples.schema["data"].dataType).unionByName(_sample_rows(samples))
+    in_order = together.repartitionById(n_workers, F.col("worker")).sortWithinPartitions("worker", "kind", "a", "b")
+    return in_order.mapInArrow(_stepper(learner, solver, rule, transform), OUT_DDL)
+
+
+def dealt_round(stretches: list[DataFrame], state: DataFrame, lane: F.Column, learner: Learner, solver: SolverParams, rule: RoundRule,
+                n_workers: int, transform: SampleTransform | None = None) -> DataFrame:
+    """The same round over samples that are dealt by lane already, a partition and a sorted run for each worker.
+
+    ``stretches`` come in the order in which they are stepped over. Only the state is shuffled; the union puts a
+    worker's state before its stretches, partition by partition, so nothing is sorted either.
+    """
+    data = stretches[0].schema["data"].dataType
+    parts = [_state_rows(state, data).withColumn("lane", lane).repartition(n_workers, "lane")]
+    parts += [_sample_rows(part, "lane") for part in stretches]
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.union(part)
+    return together.mapInArrow(_stepper(learner, solver, rule, transform), OUT_DDL)

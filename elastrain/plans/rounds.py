@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 
 from elastrain.functions.hashing import hash_key
 from elastrain.operators.numbering import number_by_hash
+from elastrain.plans.learners import Learner
+from elastrain.plans.local_steps import RoundRule, dealt_round, local_round
+from elastrain.plans.transforms import SampleTransform
+from elastrain.schema import SolverParams
 from elastrain.session import fresh_path, remove_path
-from elastrain.sources.shards import BLOCK_ROWS
+from elastrain.sources.shards import BLOCK_ROWS, WorkerStore, bucketed_scans
 
 
 def worker_rows(df: DataFrame, n_workers: int) -> dict[int, int]:
@@ -95,38 +99,114 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-class StoredShards:
-    """Stored shards read in key order, over and over, ``batch`` rows a step."""
+#: Most spans of positions that a filter names; closer ones are joined.
+MOST_SPANS = 16
 
-    def __init__(self, shards: DataFrame, n_workers: int, batch: int, block_rows: int = BLOCK_ROWS):
-        self.shards, self.batch, self.block_rows, self.n_workers = shards, batch, block_rows, n_workers
-        self.rows = worker_rows(shards, n_workers)
-        empty = [w for w, n in self.rows.items() if n == 0]
+
+def _few(spans: list[tuple[int, int]], most: int = MOST_SPANS) -> list[tuple[int, int]]:
+    """At most ``most`` spans that hold all of the given ones, joined over the smallest gaps."""
+    spans = _merged(spans)
+    gaps = sorted(range(1, len(spans)), key=lambda i: spans[i][0] - spans[i - 1][1])
+    joined = set(gaps[: max(0, len(spans) - most)])
+    out: list[tuple[int, int]] = []
+    for i, (low, high) in enumerate(spans):
+        if i in joined:
+            out[-1] = (out[-1][0], high)
+        else:
+            out.append((low, high))
+    return out
+
+
+class _Cyclic:
+    """Shards read in key order, over and over, ``batch`` rows a step."""
+
+    def __init__(self, rows: dict[int, int], batch: int, transform: SampleTransform | None):
+        self.rows, self.batch, self.transform, self.n_workers = rows, batch, transform, len(rows)
+        empty = [w for w, n in rows.items() if n == 0]
         if empty:
             raise ValueError(f"no stored samples: workers {empty[:10]}")
 
-    def _stretches(self, worker: int, first: int, steps: int):
-        """(block, lowest and highest position, shift) of the rows behind a run of steps."""
+    def _passes(self, worker: int, first: int, steps: int):
+        """(lowest and highest position, pass over the shard) of the rows behind a run of steps, in order."""
         n, at, end = self.rows[worker], first * self.batch, (first + steps) * self.batch
         while at < end:
-            shift = at - at % n
-            stop = min(end, shift + n)
-            low, high = at - shift, stop - 1 - shift
-            for block in range(low // self.block_rows, high // self.block_rows + 1):
-                yield worker, block, low, high, shift
+            stop = min(end, at - at % n + n)
+            yield at % n, (stop - 1) % n, at // n
             at = stop
 
+    def _stepped(self, found: DataFrame, pass_no: F.Column, *more: str) -> DataFrame:
+        """Rows with their step and place among all passes, and the draws of the transform."""
+        sizes = F.array(*[F.lit(self.rows[w]).cast("bigint") for w in range(self.n_workers)])
+        place = F.col("pos") + pass_no * F.get(sizes, F.col("worker"))
+        draws = [self.transform.draws(pass_no, [F.col("worker"), F.col("pos")]).alias("draws")] if self.transform else []
+        return found.select("worker", F.floor(place / self.batch).alias("step"), place.alias("pos"), "data", "label", *draws, *more)
+
+
+class StoredShards(_Cyclic):
+    """Shards stored by block, as a DataFrame; a round opens its blocks and deals their rows to the workers."""
+
+    def __init__(self, shards: DataFrame, n_workers: int, batch: int, block_rows: int = BLOCK_ROWS,
+                 transform: SampleTransform | None = None):
+        super().__init__(worker_rows(shards, n_workers), batch, transform)
+        self.shards, self.block_rows = shards, block_rows
+
+    def _stretches(self, worker: int, first: int, steps: int):
+        """(worker, block, lowest and highest position, pass) of the rows behind a run of steps."""
+        for low, high, pass_no in self._passes(worker, first, steps):
+            for block in range(low // self.block_rows, high // self.block_rows + 1):
+                yield worker, block, low, high, pass_no
+
     def samples(self, starts: dict[int, int], steps: dict[int, int]) -> DataFrame:
         """Rows of ``steps[w]`` steps from iteration ``starts[w]`` on, for each worker named.
 
-        The list of stretches has a few rows per worker. Their blocks and merged positions prune
-        the scan, so only rows some worker needs are decoded; the join gives each worker its own.
+        The list of stretches has a few rows per worker. Their blocks and a few spans of positions prune
+        the scan; the join gives each worker its own rows.
         """
         stretches = [s for w, first in starts.items() for s in self._stretches(w, first, steps[w])]
         spark = self.shards.sparkSession
-        wanted = spark.createDataFrame(stretches, "worker int, block int, low long, high long, shift long")
-        spans = [F.col("pos").between(low, high) for low, high in _merged([s[2:4] for s in stretches])]
+        wanted = spark.createDataFrame(stretches, "worker int, block int, low long, high long, pass_no long")
+        spans = [F.col("pos").between(low, high) for low, high in _few([s[2:4] for s in stretches])]
         opened = self.shards.where(F.col("block").isin(sorted({s[1] for s in stretches}))).where(reduce(or_, spans))
         found = opened.join(wanted, ["worker", "block"]).where(F.col("pos").between(F.col("low"), F.col("high")))
-        place = F.col("pos") + F.col("shift")
-        return found.select("worker", F.floor(place / self.batch).alias("step"), place.alias("pos"), "data", "label")
+        return self._stepped(found, F.col("pass_no"))
+
+    def round(self, starts: dict[int, int], steps: dict[int, int], state: DataFrame, learner: Learner, solver: SolverParams,
+              rule: RoundRule) -> DataFrame:
+        return local_round(self.samples(starts, steps), state, learner, solver, rule, self.n_workers, self.transform)
+
+
+class DealtShards(_Cyclic):
+    """Shards stored by worker: a round is a scan of each bucket from one position to another, without a shuffle."""
+
+    def __init__(self, spark, store: WorkerStore, batch: int, transform: SampleTransform | None = None):
+        self.store, self.table = store, store.read(spark)
+        super().__init__(worker_rows(self.table, len(store.lanes)), batch, transform)
+
+    def stretches(self, starts: dict[int, int], steps: dict[int, int]) -> list[DataFrame]:
+        """The n-th scan has the n-th pass that each worker makes in this round (most rounds have one or two)."""
+        passes = {w: list(self._passes(w, first, steps[w])) for w, first in starts.items()}
+        out = []
+        for i in range(max(map(len, passes.values()))):
+            here = {w: p[i] for w, p in passes.items() if i < len(p)}
+            low, high, pass_no = (
+                F.get(F.array(*[F.lit(here[w][k] if w in here else None).cast("bigint") for w in range(self.n_workers)]), F.col("worker"))
+                for k in range(3))
+            spans = [F.col("pos").between(a, b) for a, b in _few([p[:2] for p in here.values()])]
+            found = self.table.where(reduce(or_, spans)).where(F.col("pos").between(low, high))
+            out.append(self._stepped(found, pass_no, "lane"))
+        return out
+
+    def round(self, starts: dict[int, int], steps: dict[int, int], state: DataFrame, learner: Learner, solver: SolverParams,
+              rule: RoundRule) -> DataFrame:
+        return dealt_round(
+            self.stretches(starts, steps), state, self.store.lane(), learner, solver, rule, self.n_workers, self.transform)
+
+
+
+def stored_shards(spark, shards: DataFrame | WorkerStore, n_workers: int, batch: int, block_rows: int,
+                  transform: SampleTransform | None) -> StoredShards | DealtShards:
+    if isinstance(shards, WorkerStore):
+        if len(shards.lanes) != n_workers:
+            raise ValueError(f"the store has {len(shards.lanes)} workers, the run {n_workers}")
+        return DealtShards(spark, shards, batch, transform)
+    return StoredShards(shards, n_workers, batch, block_rows, transform)

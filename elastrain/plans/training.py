@@ -20,10 +20,12 @@ from elastrain.operators.weights import BLOCK, apply_deltas, fold_exchanges, to_
 from elastrain.plans.learners import Learner
 from elastrain.plans.local_steps import PROGRESS, RoundRule, local_round
 from elastrain.plans.parameters import init_weights, layer_table
-from elastrain.plans.rounds import ShuffledEpochs, StoredShards
+from elastrain.plans.rounds import ShuffledEpochs, stored_shards
 from elastrain.plans.scoring import evaluate
+from elastrain.plans.transforms import SampleTransform
 from elastrain.schema import TRAINING_LOG, ExchangeParams, SolverParams
 from elastrain.session import fresh_path, materialise
+from elastrain.sources.shards import WorkerStore, bucketed_scans
 from elastrain.sources.stores import centre_tag, save_weights, worker_tag
 
 
@@ -54,7 +56,8 @@ class _Run:
 
     def write(self, df: DataFrame, number: int, part: str) -> DataFrame:
         path = f"{self.base}/{part}/round={number}"
-        df.write.parquet(path)
+        with bucketed_scans(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def note(self, kind: str, value: float | None, worker: int | None = None, iteration: int | None = None) -> None:
@@ -158,11 +161,11 @@ def _round_count(spark: SparkSession, iterations: int, period: int) -> int:
     return spark.range(1).select(rounds_of(F.lit(iterations), period)).first()[0]
 
 
-def _elastic_rounds(run: _Run, samples_of, centre: DataFrame, state: DataFrame, params: ExchangeParams, worker_saves: bool) -> Trained:
+def _elastic_rounds(run: _Run, round_of, centre: DataFrame, state: DataFrame, params: ExchangeParams, worker_saves: bool) -> Trained:
+    """``round_of(number, state, rule)`` is the round's local steps."""
+    rule = RoundRule(snapshot=run.solver.snapshot if worker_saves else 0)
     for number in range(_round_count(run.spark, run.solver.max_iter, params.period)):
-        local = run.write(
-            local_round(_with_progress(samples_of(number)), _at_iteration(state, number * params.period, run), run.learner,
-                        run.solver, RoundRule(snapshot=run.solver.snapshot if worker_saves else 0), run.n_workers), number, "local")
+        local = run.write(round_of(number, _at_iteration(state, number * params.period, run), rule), number, "local")
         if worker_saves:
             _worker_snapshots(run, local, number * params.period, (number + 1) * params.period)
         centre, state = _exchange(run, number, local, centre, dict.fromkeys(range(run.n_workers), number), params)
@@ -194,34 +197,50 @@ def train_elastic(df: DataFrame, ids: list[str], n_workers: int, learner: Learne
     sharded = df if "worker" in df.columns else assign_workers(df, ids, n_workers, seed)
     epochs = ShuffledEpochs(sharded, ids, n_workers, solver.batch_size, params.period, seed, transform)
     centre, state = _start(run, weights, seed)
-    return _elastic_rounds(run, epochs.samples, centre, state, params, worker_saves=False)
 
+    def round_of(number, state, rule):
+        return local_round(_with_progress(epochs.samples(number)), state, learner, solver, rule, n_workers)
+
+    return _elastic_rounds(run, round_of, centre, state, params, worker_saves=False)
+
+
+def _tested(test: DataFrame | None, transform: SampleTransform | None) -> DataFrame | None:
+    """Held-out samples as the model sees them, written once."""
+    return test if test is None or transform is None else materialise(transform.for_test().table(test), "held-out")
 
-def train_elastic_from_shards(shards: DataFrame, n_workers: int, learner: Learner, solver: SolverParams, params: ExchangeParams,
+
+def train_elastic_from_shards(shards: DataFrame | WorkerStore, n_workers: int, learner: Learner, solver: SolverParams, params: ExchangeParams,
                               block_rows: int, seed: int = 0, weights: DataFrame | None = None, test: DataFrame | None = None,
-                              snapshots: str | None = None) -> Trained:
-    """Elastic averaging at a fixed period over stored shards, read in key order again and again."""
-    run = _Run(shards.sparkSession, "elastic-shards", learner, solver, n_workers, test, snapshots)
-    stored = StoredShards(shards, n_workers, solver.batch_size, block_rows)
+                              snapshots: str | None = None, transform: SampleTransform | None = None) -> Trained:
+    """Elastic averaging at a fixed period over stored shards, read in key order again and again.
+
+    A ``WorkerStore`` is read where it lies, without a shuffle. ``transform`` changes the samples anew in every pass
+    over a shard; held-out samples get its form for tests.
+    """
+    spark = SparkSession.getActiveSession()
+    run = _Run(spark, "elastic-shards", learner, solver, n_workers, _tested(test, transform), snapshots)
+    stored = stored_shards(spark, shards, n_workers, solver.batch_size, block_rows, transform)
     centre, state = _start(run, weights, seed)
 
-    def samples_of(number):
+    def round_of(number, state, rule):
         starts = {w: number * params.period for w in range(n_workers)}
-        return stored.samples(starts, {w: params.period for w in starts})
+        return stored.round(starts, {w: params.period for w in starts}, state, learner, solver, rule)
 
-    return _elastic_rounds(run, samples_of, centre, state, params, worker_saves=True)
+    return _elastic_rounds(run, round_of, centre, state, params, worker_saves=True)
 
 
-def train_elastic_adaptive(shards: DataFrame, n_workers: int, learner: Learner, solver: SolverParams, params: ExchangeParams,
+def train_elastic_adaptive(shards: DataFrame | WorkerStore, n_workers: int, learner: Learner, solver: SolverParams, params: ExchangeParams,
                            block_rows: int, seed: int = 0, weights: DataFrame | None = None, test: DataFrame | None = None,
-                           snapshots: str | None = None, decay_by_iteration: bool = False) -> Trained:
+                           snapshots: str | None = None, decay_by_iteration: bool = False,
+                           transform: SampleTransform | None = None) -> Trained:
     """Elastic averaging in which each worker exchanges when its loss sum says so.
 
     A round offers every worker some steps; it stops at its exchange, and the steps it did not take
     are offered again. ``decay_by_iteration`` counts the decay of the worker's rate in iterations.
     """
-    run = _Run(shards.sparkSession, "elastic-adaptive", learner, solver, n_workers, test, snapshots)
-    stored = StoredShards(shards, n_workers, solver.batch_size, block_rows)
+    spark = SparkSession.getActiveSession()
+    run = _Run(spark, "elastic-adaptive", learner, solver, n_workers, _tested(test, transform), snapshots)
+    stored = stored_shards(spark, shards, n_workers, solver.batch_size, block_rows, transform)
     centre, state = _start(run, weights, seed)
     rule = RoundRule(adaptive_period=params.period, last_iteration=solver.max_iter, snapshot=solver.snapshot)
     progress = {w: (0, 0.0, -1.0) for w in range(n_workers)}
@@ -232,8 +251,7 @@ def train_elastic_adaptive(shards: DataFrame, n_workers: int, learner: Learner,
         rows = [(w, PROGRESS, 0, [float(x) for x in (*p, 0.0)], None) for w, p in progress.items()]
         known = run.spark.createDataFrame(
             rows, "worker int, layer int, chunk int, values array<double>, velocity array<double>")
-        local = run.write(
-            local_round(stored.samples(starts, offered), state.unionByName(known), learner, solver, rule, n_workers), number, "local")
+        local = run.write(stored.round(starts, offered, state.unionByName(known), learner, solver, rule), number, "local")
         # One row of four numbers per worker.
         ended = {r["worker"]: r["values"] for r in local.where(F.col("kind") == "progress").select("worker", "values").collect()}
         met = [w for w in sorted(starts) if ended[w][3] > 0]
