@@ -61,7 +61,8 @@ def source_counts(docs: DataFrame, min_df: int = MIN_DF) -> tuple[DataFrame, Dat
     words = [(i, *word.rsplit(MARK, 1)) for i, word in enumerate(model.vocabulary) if word]
     vocabulary = write_table(spark.createDataFrame(words, "term_no int, lang string, term string"), "vocabulary")
     vector = model.transform(document_terms(docs)).select("source", F.unwrap_udt("vector").alias("v"))
-    entries = vector.select("source", F.inline(F.arrays_zip("v.indices", "v.values"))).toDF("source", "term_no", "n")
+    entry = F.explode(F.arrays_zip("v.indices", "v.values")).alias("e")
+    entries = vector.select("source", entry).select("source", F.col("e.indices").alias("term_no"), F.col("e.values").alias("n"))
     # A term has one language, so language need not be part of the key.
     counts = entries.groupBy("source", "term_no").agg(F.sum(F.col("n").cast("bigint")).alias("n"))
     counts = write_table(counts, "source-counts")
