@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from elastrain.operators.aggregates import vector_sums
+from elastrain.operators.exchanges import exchange_scan
 from elastrain.operators.numbering import number_by_value
 
 CHUNK = 4096
@@ -142,34 +143,16 @@ def elastic_exchange(worker_w: DataFrame, centre_w: DataFrame, rate: float, serv
 
 
 def fold_exchanges(workers_w: DataFrame, centre_w: DataFrame) -> DataFrame:
-    """The workers of one round meet the centre one after another in worker order.
+    """``exchange_scan`` with one row for each block: (layer, chunk, centre, met), met = [(worker, values), ...] by worker.
 
-    ``workers_w`` has (worker, layer, chunk, values, a, b): ``a`` is the rate on the worker's side,
-    ``b`` the coefficient on the centre's side. Each worker sees the centre left by the one before.
-    The centre travels as worker -1, so one grouping brings a block of everybody together: workers
-    x CHUNK values. Returns (layer, chunk, centre, met) with met = [(worker, values), ...].
+    A row holds its block of every worker; rounds read the scan itself.
     """
-    none = F.lit(0.0)
-    columns = ["worker", *BLOCK, "values", "a", "b"]
-    centre = centre_w.select(F.lit(-1).alias("worker"), *BLOCK, "values", none.alias("a"), none.alias("b"))
-    together = workers_w.select(*columns).unionByName(centre).groupBy(*BLOCK).agg(
-        F.array_sort(F.collect_list(F.struct("worker", "values", "a", "b"))).alias("rows"))
-
-    def step(acc, arrival):
-        worker = F.struct(
-            arrival["worker"].alias("worker"), mixed(arrival["values"], acc["centre"], arrival["a"]).alias("values"))
-        return F.struct(
-            mixed(acc["centre"], arrival["values"], arrival["b"]).alias("centre"),
-            F.concat(acc["met"], F.array(worker)).alias("met"))
-
-    first = F.element_at("rows", 1)
-    width = F.size(first["values"])
-    fits = (first["worker"] == -1) & F.forall("rows", lambda r: F.size(r["values"]) == width)
-    start = F.struct(
-        F.when(fits, first["values"]).otherwise(F.raise_error(F.lit("Size mismatch!")).cast("array<double>")).alias("centre"),
-        F.array().cast("array<struct<worker:int,values:array<double>>>").alias("met"))
-    folded = F.aggregate(F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0))), start, step)
-    return together.select(*BLOCK, folded.alias("f")).select(*BLOCK, "f.centre", "f.met")
+    last = workers_w.agg(F.max("worker")).first()[0] or 0
+    scanned = exchange_scan(workers_w, centre_w, last + 1)
+    met = F.col("kind") == "met"
+    return scanned.groupBy(*BLOCK).agg(
+        F.max(F.when(~met, F.col("values"))).alias("centre"),
+        F.array_sort(F.collect_list(F.when(met, F.struct("worker", "values")))).alias("met"))
 
 
 def _with_sums(centre_w: DataFrame, sums: DataFrame, move) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from elastrain.functions.schedules import centre_factor, centre_rate, rounds_of, whole_steps, worker_rate
 from elastrain.operators.batching import assign_workers
-from elastrain.operators.weights import BLOCK, apply_deltas, fold_exchanges, to_every_worker
+from elastrain.operators.exchanges import exchange_scan
+from elastrain.operators.weights import BLOCK, apply_deltas, to_every_worker
 from elastrain.plans.learners import Learner
 from elastrain.plans.local_steps import PROGRESS, RoundRule, local_round
 from elastrain.plans.parameters import init_weights, layer_table
@@ -110,7 +111,8 @@ def _exchange(run: _Run, number: int, local: DataFrame, centre: DataFrame, arriv
     ``arrivals`` maps a worker to the number of exchanges it did before (its decay counter).
     """
     # Two numbers per worker, looked up by worker number.
-    places = {w: i for i, w in enumerate(sorted(arrivals))}
+    order = sorted(arrivals)
+    places = {w: i for i, w in enumerate(order)}
     place, exchange = (
         F.get(F.array(*[F.lit(found.get(w)).cast("bigint") for w in range(run.n_workers)]), F.col("worker"))
         for found in (places, arrivals))
@@ -119,34 +121,34 @@ def _exchange(run: _Run, number: int, local: DataFrame, centre: DataFrame, arriv
     meeting = weights.withColumn("place", place).where(F.col("place").isNotNull()).withColumns({
         "a": worker_rate(exchange, params),
         "b": centre_rate(update, params, run.n_workers) * centre_factor(update, params, run.n_workers)})
-    folded = run.write(fold_exchanges(meeting, centre), number, "folded")
-    _after_updates(run, centre, meeting, folded, len(places), params)
-    moved = folded.select(*BLOCK, F.explode("met").alias("m")).select("m.worker", *BLOCK, F.col("m.values").alias("moved"))
+    due = {order[i]: wanted for i, wanted in _due(run, len(order), params).items()}
+    # One scan gives every worker's view and the centre after each update that is due.
+    met = run.write(exchange_scan(meeting, centre, run.n_workers, tuple(due)), number, "met")
+
+    def centre_after(worker: int) -> DataFrame:
+        return met.where((F.col("kind") == "centre") & (F.col("worker") == worker)).select(*BLOCK, "values")
+
+    before = run.updates
+    for worker, (testing, saving) in due.items():
+        run.updates = before + places[worker] + 1
+        if testing:
+            run.evaluate(centre_after(worker))
+        if saving:
+            run.save(centre_after(worker), centre_tag(run.updates))
+    moved = met.where(F.col("kind") == "met").select("worker", *BLOCK, F.col("values").alias("moved"))
     state = weights.join(moved, ["worker", *BLOCK], "left").select(
         "worker", *BLOCK, F.coalesce("moved", "values").alias("values"), "velocity")
-    run.updates += len(places)
-    return folded.select(*BLOCK, F.col("centre").alias("values")), state
+    run.updates = before + len(order)
+    return centre_after(run.n_workers - 1), state
 
 
-def _after_updates(run: _Run, centre: DataFrame, meeting: DataFrame, folded: DataFrame, n: int,
-                   params: ExchangeParams) -> None:
-    """Snapshots and evaluations that fall on an update of this round, on the centre as it was then."""
+def _due(run: _Run, n: int, params: ExchangeParams) -> dict[int, tuple[bool, bool]]:
+    """(test, snapshot) by place, for the updates of this round on which one falls."""
     save_every = whole_steps(run.solver.snapshot, run.n_workers, params.period)
     test_every = run.solver.test_interval if run.test is not None else 0
-    before = run.updates
-    for place in range(n):
-        update = before + place + 1
-        saving, testing = save_every and update % save_every == 0, test_every and update % test_every == 0
-        if not (saving or testing):
-            continue
-        run.updates = update
-        then = folded if place == n - 1 else fold_exchanges(meeting.where(F.col("place") <= place), centre)
-        then = then.select(*BLOCK, F.col("centre").alias("values"))
-        if testing:
-            run.evaluate(then)
-        if saving:
-            run.save(then, centre_tag(update))
-    run.updates = before
+    updates = {place: run.updates + place + 1 for place in range(n)}
+    wanted = {p: (bool(test_every) and u % test_every == 0, bool(save_every) and u % save_every == 0) for p, u in updates.items()}
+    return {p: w for p, w in wanted.items() if any(w)}
 
 
 def _worker_snapshots(run: _Run, local: DataFrame, first: int, last: int) -> None:
