@@ -65,9 +65,9 @@ def judge_urls(
     )
 
 
-def filter_pages(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict. Rows that repeat are each judged."""
+def filter_pages(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict; ``default`` where no rule fits. Rows that repeat are each judged."""
     rows = pages.select(
         F.col(f"`{id_col}`").alias("page_id"), host_of(F.col(f"`{url_col}`")).alias("host"), path_of(F.col(f"`{url_col}`")).alias("path")
     )
-    return rows.join(judge_urls(pages, rules, url_col), ["host", "path"]).select("page_id", "host", "path", "rule", "verdict")
+    return rows.join(judge_urls(pages, rules, url_col, default), ["host", "path"]).select("page_id", "host", "path", "rule", "verdict")
