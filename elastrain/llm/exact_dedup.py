@@ -157,6 +157,11 @@ def screen(digests: DataFrame, snapshot: Snapshot) -> DataFrame:
     return keyed.groupBy("bucket").cogroup(snapshot.filters.groupBy("bucket")).applyInArrow(probe, "digest binary")
 
 
+def in_buckets(hits: DataFrame, snapshot: Snapshot) -> DataFrame:
+    """Those of the screened digests that the exact buckets hold; what the filters rejected never meets them."""
+    return hits.join(snapshot.groups.select("digest"), "digest", "left_semi")
+
+
 def exact_duplicates(batch: DataFrame, snapshot: Snapshot, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of the batch and of the snapshot: doc_id, keep_id, group_size, kept, digest (binary).
 
@@ -168,16 +173,10 @@ def exact_duplicates(batch: DataFrame, snapshot: Snapshot, id_col: str = "doc_id
     """
     new = with_digest(batch, id_col, text_col)
     groups = write_table(_grouped(new), "batch")
-    hits = screen(groups.select("digest"), snapshot)
-    old = snapshot.groups
-    both = groups.select("digest", "n").join(hits.withColumn("hit", F.lit(True)), "digest", "left").join(
-        old.select("digest", F.lit(True).alias("old")), "digest", "left"
-    )
+    met = in_buckets(screen(groups.select("digest"), snapshot), snapshot)
     # Texts that must be compared: repeats within the batch, those in a bucket of the snapshot, and its own repeats.
-    suspects = write_table(
-        both.where("n > 1 OR (hit AND old)").select("digest").union(old.where("n > 1").select("digest")).distinct(),
-        "suspects",
-    )
+    repeated = groups.where("n > 1").select("digest").union(snapshot.groups.where("n > 1").select("digest"))
+    suspects = write_table(met.union(repeated).distinct(), "suspects")
     # Their texts are fetched by a key of the row, not by the digest, so copies stay spread over all tasks
     # and are pre-aggregated there before they meet.
     everything = new.union(snapshot.docs).withColumn("row", F.xxhash64("doc_id", "digest"))

@@ -55,3 +55,20 @@ def test_batch_against_snapshot(spark, monkeypatch):
     assert exact_dedup.screen(new, snapshot).count() < 100
     empty_batch = exact_dedup.exact_duplicates(df.where("false"), snapshot)
     assert empty_batch.count() == df.where(old).count()
+
+
+def test_only_screened_digests_meet_the_buckets(spark, monkeypatch):
+    from elastrain.llm import exact_dedup
+
+    met, plain = [], exact_dedup.in_buckets
+
+    def counted(hits, snapshot):
+        met.append(hits.count())
+        return plain(hits, snapshot)
+
+    monkeypatch.setattr(exact_dedup, "in_buckets", counted)
+    old = spark.createDataFrame([(i, f"text {i}") for i in range(2000)], "doc_id bigint, text string")
+    new = spark.createDataFrame([(5000 + i, f"text {i + 1990}") for i in range(2000)], "doc_id bigint, text string")
+    rows = exact_dedup.exact_duplicates(new, exact_dedup.take_snapshot(old)).collect()
+    assert 10 <= met[0] <= 10 + 1990 / 256 * 4
+    assert sum(r.group_size == 2 for r in rows) == 20
