@@ -24,6 +24,20 @@ def whole_text(df: DataFrame, text_col: str) -> Column:
     return F.coalesce(df[f"`{text_col}`"].cast("string"), F.lit(""))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that stand for an id, which may be missing, and a text; null texts count as empty."""
+    parts = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("none")), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+    return F.unhex(F.md5(parts))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches are cut by bytes as well as by rows, so long texts do not pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
