@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from elastrain.llm.common import arrow_map, bounded_batches, whole_text, write_table
+from elastrain.llm.common import arrow_map, bounded_batches, row_key, whole_text, write_table
 from elastrain.llm.suffix_sort import repeated_starts
 
 LENGTH = 400
@@ -143,7 +143,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-_SPAN = "doc_id bigint, key int, start bigint, end bigint"
+_SPAN = "doc_id bigint, key binary, start bigint, end bigint"
 
 
 def _anchored(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -160,7 +160,7 @@ def _anchored(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 [batch.column(0).take(take), batch.column(1).take(take), pa.array(h), pa.array(d), pa.array(at)], names=["doc_id", "key", "h", "d", "at"]
             )
 
-    return arrow_map(rows, run, "doc_id bigint, key int, h bigint, d bigint, at bigint")
+    return arrow_map(rows, run, "doc_id bigint, key binary, h bigint, d bigint, at bigint")
 
 
 def _with_text(chosen: DataFrame, rows: DataFrame, length: int) -> DataFrame:
@@ -175,18 +175,18 @@ def _with_text(chosen: DataFrame, rows: DataFrame, length: int) -> DataFrame:
                 of = lambda name, kind: pa.array([w[name] for w in wanted], kind)  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([doc] * len(wanted), pa.int64()), pa.array([key] * len(wanted), pa.int32()), of("h", pa.int64()), of("d", pa.int64()),
+                        pa.array([doc] * len(wanted), pa.int64()), pa.array([key] * len(wanted), pa.binary()), of("h", pa.int64()), of("d", pa.int64()),
                         of("at", pa.int64()), of("n", pa.int64()), of("many", pa.bool_()),
                         pa.array([raw[lo : hi + length] for lo, hi, _ in places], pa.binary()),
                     ],
                     names=["doc_id", "key", "h", "d", "at", "n", "many", "text"],
                 )
 
-    return arrow_map(met, run, "doc_id bigint, key int, h bigint, d bigint, at bigint, n bigint, many boolean, text binary")
+    return arrow_map(met, run, "doc_id bigint, key binary, h bigint, d bigint, at bigint, n bigint, many boolean, text binary")
 
 
 def _sorted_groups(texts: DataFrame, length: int) -> DataFrame:
-    out = pa.schema([("doc_id", pa.int64()), ("key", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+    out = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(table):
         columns = {name: table.column(name).to_pylist() for name in ("doc_id", "key", "at", "n", "text")}
@@ -212,13 +212,13 @@ def _single_strings(texts: DataFrame, length: int) -> DataFrame:
                 count = hi - lo + 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([doc] * count, pa.int64()), pa.array([key] * count, pa.int32()), pa.array(range(lo, hi + 1), pa.int64()),
+                        pa.array([doc] * count, pa.int64()), pa.array([key] * count, pa.binary()), pa.array(range(lo, hi + 1), pa.int64()),
                         pa.array([n] * count, pa.int64()), pa.array([xxhash.xxh3_128_digest(text[i : i + length]) for i in range(count)], pa.binary()),
                     ],
                     names=["doc_id", "key", "start", "n", "string"],
                 )
 
-    strings = write_table(arrow_map(texts, run, "doc_id bigint, key int, start bigint, n bigint, string binary"), "strings")
+    strings = write_table(arrow_map(texts, run, "doc_id bigint, key binary, start bigint, n bigint, string binary"), "strings")
     twice = strings.groupBy("string").agg(F.sum("n").alias("total")).where("total > 1").select("string")
     return strings.where("n = 1").join(twice, "string", "left_semi").select("doc_id", "key", "start", (F.col("start") + length).alias("end"))
 
@@ -245,7 +245,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = whole_text(docs, text_col)
     id_ = F.col(f"`{id_col}`").cast("bigint")
-    return docs.select(id_.alias("doc_id"), F.hash(id_, text).alias("key"), text.cast("binary").alias("raw"))
+    return docs.select(id_.alias("doc_id"), row_key(id_, text).alias("key"), text.cast("binary").alias("raw"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -61,3 +61,17 @@ def test_nothing_to_remove(spark):
     df, rows = awkward(spark, prose(10))
     assert all(not spans or n >= 400 for _, n, spans, _ in found(df))
     assert found(empty(spark)) == []
+
+
+def test_rows_without_id_whose_short_hashes_agree(spark):
+    """A copied text and a text of its own, alike in 32 bits of hash: only the copied one loses anything."""
+    from pyspark.sql import functions as F
+
+    from elastrain.llm.suffix_dedup import remove_repeats
+
+    digit = [F.sha2(F.concat(F.col("id").cast("string"), F.lit(f":{i}")), 512) for i in range(4)]
+    texts = spark.range(250_000).select(F.concat(*digit).alias("text")).withColumn("h", F.hash(F.lit(-(1 << 63)), "text"))
+    one, other = texts.groupBy("h").agg(F.collect_list("text").alias("t")).where("size(t) > 1").first()["t"][:2]
+    docs = spark.createDataFrame([(None, one), (None, other), (1, one)], "doc_id bigint, text string")
+    got = sorted((str(r.doc_id), len(r.kept)) for r in remove_repeats(docs).collect())
+    assert got == [("1", 0), ("None", 0), ("None", 512)]
