@@ -5,36 +5,71 @@ From then on a worker exchanges whenever the loss summed since its last exchange
 
 The rule is sequential per worker, but one worker may hold a third of the log. So a log is cut into
 blocks of iterations. A block only needs to know the sum carried into it, and what it makes of any
-such sum is a step function with about one exchange interval of steps. Those small summaries are
-walked in order, which gives the carried sum of every block; then all blocks list their exchanges
-side by side.
+such sum is a step function with about one exchange interval of steps. Step functions compose to step
+functions no longer than that, so ``FAN`` neighbouring blocks become one, side by side for all runs of
+blocks, until a worker has at most ``FAN`` left to walk. The sums carried into these come down the same
+tree to every block; then all blocks list their exchanges at once. No task takes more than ``FAN``
+summaries of a worker.
+
+Losses are summed in whole billionths, so a sum does not depend on where a block starts. A sum may be
+of any size below 10^38 billionths: columns hold it as two 64-bit parts, and a block whose sums leave
+64 bits is computed in Python's integers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from elastrain.functions.arrow import Columns, groups_of, tables_of
 from elastrain.session import materialise
 
-# Losses are summed in whole billionths, so a sum does not depend on where a block starts.
 UNIT = 1_000_000_000
 BLOCK_ROWS = 1_000_000
-MOST_UNITS = 2**61
+FAN = 64
+#: Sums are stored as high * BASE + low; below it, sums of two stay within 64 bits.
+BASE = 2**60
 # Threshold of the step "no exchange in this block": below every other, so it sorts first.
-NO_EXCHANGE = -(2**62)
-
-SUMMARY = ["worker", "block", "total", "opens", "threshold", "exit", "last_iter", "exchanges"]
-ENTRY = ["worker", "block", "carried", "last_iter", "exchanges"]
-POINT = ["worker", "exchange", "iter", "steps", "units"]
+NO_EXCHANGE = -(2**60)
+#: Block number under which a worker's sum after its last block is listed.
+END = -1
+
+WIDE = ("cut", "total", "threshold", "exit", "carried")
+SUMMARY = ["worker", "block", "total", "total_high", "opens", "threshold", "threshold_high", "exit", "exit_high", "last_iter", "exchanges"]
+ENTRY = ["worker", "block", "carried", "carried_high", "last_iter", "exchanges"]
+POINT = ["worker", "exchange", "iter", "steps", "units", "units_high"]
 BY_BLOCK = ("worker", "block")
 
 
+def _joined(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whole numbers from their parts; Python's integers where 64 bits are too few."""
+    if ((high >= -1) & (high <= 0)).all():
+        return high * BASE + low
+    return high.astype(object) * BASE + low.astype(object)
+
+
+def _split(name: str, values: np.ndarray) -> Columns:
+    """A column of whole numbers as its two parts."""
+    high = values // BASE
+    return {name: (values - high * BASE).astype(np.int64), f"{name}_high": high.astype(np.int64)}
+
+
+def _parts(name: str, units: Column) -> list[Column]:
+    """The same in Spark, from a decimal."""
+    base = F.lit(BASE).cast("decimal(20,0)")
+    return [(units % base).cast("bigint").alias(name), F.call_function("div", units, base).alias(f"{name}_high")]
+
+
+def _whole(name: str) -> Column:
+    wide = "decimal(38,0)"
+    return F.col(f"{name}_high").cast("decimal(18,0)") * F.lit(BASE).cast("decimal(19,0)") + F.col(name).cast(wide)
+
+
 def _schema(names: list[str]) -> pa.Schema:
     return pa.schema([(name, pa.int64()) for name in names])
 
@@ -43,9 +78,19 @@ def _ddl(names: list[str]) -> str:
     return ", ".join(f"{name} long" for name in names)
 
 
+def _cut(rows: Columns) -> int:
+    return int(rows["cut_high"][0]) * BASE + int(rows["cut"][0])
+
+
 def _sums_after_opening(rows: Columns, period: int) -> np.ndarray:
     """Running sum of a block, counting only the iterations after the first exchange."""
-    return np.cumsum(np.where(rows["iter"] > period, rows["units"], 0))
+    units = _joined(rows["units"], rows["units_high"])
+    # A rough sum is enough to see that 64 bits would do.
+    if units.dtype != object and units.astype(np.float64).sum() + _cut(rows) > BASE:
+        units = units.astype(object)
+    elif _cut(rows) > BASE:
+        units = units.astype(object)
+    return np.cumsum(np.where(rows["iter"] > period, units, 0))
 
 
 def _opens(rows: Columns, period: int) -> bool:
@@ -71,7 +116,7 @@ def _chain_ends(jump: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _summary(rows: Columns, period: int) -> Columns:
     """The step function of a block: for carried sums above ``threshold``, what comes out of it."""
-    cut, sums = int(rows["cut"][0]), _sums_after_opening(rows, period)
+    cut, sums = _cut(rows), _sums_after_opening(rows, period)
     threshold, outcome = np.array([NO_EXCHANGE]), np.zeros((1, 3), dtype=np.int64)
     if cut > 0:
         last, count = _chain_ends(_next_exchange(sums, cut))
@@ -79,21 +124,89 @@ def _summary(rows: Columns, period: int) -> Columns:
         first = np.arange(min(len(sums), int(np.searchsorted(sums, cut, side="right")) + 1))
         found = cut - sums[first]
         fresh = np.append(True, found[1:] != found[:-1]) & (found < cut)
-        first, found = first[fresh], found[fresh]
+        first, found = first[fresh], np.maximum(found[fresh], -1)  # nothing below 0 is carried
         after = np.stack([sums[-1] - sums[last[first]], rows["iter"][last[first]], count[first]], axis=1)
-        # Neighbouring steps with one outcome are one step, at the lower threshold.
-        ends = np.append((after[1:] != after[:-1]).any(axis=1), True)[:len(first)]
-        threshold = np.append(threshold, found[ends][::-1])
-        outcome = np.concatenate([outcome, after[ends][::-1]])
-    n = len(threshold)
-    return {
-        "worker": np.full(n, rows["worker"][0]), "block": np.full(n, rows["block"][0]), "total": np.full(n, sums[-1]),
-        "opens": np.full(n, int(_opens(rows, period))), "threshold": threshold,
-        "exit": outcome[:, 0], "last_iter": outcome[:, 1], "exchanges": outcome[:, 2],
-    }
-
-
-def _through(state: tuple[int, int, int], steps: Columns, period: int) -> tuple[int, int, int]:
+        threshold, outcome = np.append(threshold, found[::-1]), np.concatenate([outcome, after[::-1]])
+    steps = {
+        "worker": rows["worker"][:1], "block": rows["block"][:1], "total": sums[-1:], "opens": np.array([int(_opens(rows, period))]),
+        "threshold": threshold, "exit": outcome[:, 0], "last_iter": outcome[:, 1], "exchanges": outcome[:, 2]}
+    return _merged(steps)
+
+
+def _merged(steps: Columns) -> Columns:
+    """Neighbouring steps with one outcome as one step, at the lower threshold; "no exchange" stays apart."""
+    exits, last, count = steps["exit"][1:], steps["last_iter"][1:], steps["exchanges"][1:]
+    starts = (exits[1:] != exits[:-1]) | (last[1:] != last[:-1]) | (count[1:] != count[:-1])
+    kept = np.flatnonzero(np.concatenate([[True] * min(2, len(steps["exit"])), starts]).astype(bool))
+    return {**steps, **{name: steps[name][kept] for name in ("threshold", "exit", "last_iter", "exchanges")}}
+
+
+def _then(one: Columns, other: Columns) -> Columns:
+    """The step function of two neighbouring blocks, or runs of blocks."""
+    sizes = [int(steps["total"][0]) + int(steps["exit"].max()) for steps in (one, other)]
+    if sum(sizes) >= BASE or object in (one["exit"].dtype, other["exit"].dtype):
+        one, other = ({**steps, **{name: steps[name].astype(object) for name in ("total", "threshold", "exit")}} for steps in (one, other))
+    through = np.searchsorted(other["threshold"][1:], one["exit"][1:], side="left")
+    passed = through == 0
+    exits = np.where(passed, one["exit"][1:] + other["total"][0], other["exit"][through])
+    last = np.where(passed, one["last_iter"][1:], other["last_iter"][through])
+    count = one["exchanges"][1:] + other["exchanges"][through]
+    # What gets through the first without an exchange meets the thresholds of the second, nearer by the first's total.
+    nearer = other["threshold"][1:] - one["total"][0]
+    met = np.append(nearer[1:] >= 0, True) if len(nearer) else np.zeros(0, dtype=bool)
+    if len(one["threshold"]) > 1:
+        met &= nearer < one["threshold"][1]
+    met = met.astype(bool)
+    nearer = np.maximum(nearer[met], -1)
+
+    def column(name, between, behind):
+        return np.concatenate([one[name][:1], between, behind])
+
+    return _merged({
+        "worker": one["worker"], "block": one["block"], "total": one["total"] + other["total"], "opens": one["opens"] | other["opens"],
+        "threshold": column("threshold", nearer, one["threshold"][1:]),
+        "exit": column("exit", other["exit"][1:][met], exits),
+        "last_iter": column("last_iter", other["last_iter"][1:][met], last),
+        "exchanges": column("exchanges", other["exchanges"][1:][met], count)})
+
+
+def _as_rows(steps: Columns) -> Columns:
+    """A step function as one row a step, sums in two parts."""
+    n = len(steps["threshold"])
+    every = {name: np.full(n, steps[name][0]) for name in ("worker", "block", "opens")}
+    wide = {"total": np.repeat(steps["total"], n), "threshold": steps["threshold"], "exit": steps["exit"]}
+    narrow = {name: steps[name].astype(np.int64) for name in ("last_iter", "exchanges")}
+    return reduce(dict.__or__, (_split(name, values) for name, values in wide.items()), {**every, **narrow})
+
+
+def _steps_of(rows: Columns) -> Columns:
+    """One row a step as a step function."""
+    wide = {name: _joined(rows[name], rows[f"{name}_high"]) for name in ("total", "threshold", "exit")}
+    if any(values.dtype == object for values in wide.values()):
+        wide = {name: values.astype(object) for name, values in wide.items()}
+    heads = {name: rows[name][:1] for name in ("worker", "block", "opens")}
+    return {**heads, **wide, "total": wide["total"][:1], "last_iter": rows["last_iter"], "exchanges": rows["exchanges"]}
+
+
+def _composed(blocks: Iterator[Columns], fan: int) -> Iterator[Columns]:
+    """Neighbouring blocks of a worker, ``fan`` at a time, as one each."""
+    held = None
+    for steps in map(_steps_of, blocks):
+        steps["block"] = steps["block"] // fan
+        if held is not None and (held["worker"][0], held["block"][0]) == (steps["worker"][0], steps["block"][0]):
+            held = _then(held, steps)
+            continue
+        if held is not None:
+            yield _as_rows(held)
+        held = steps
+    if held is not None:
+        yield _as_rows(held)
+
+
+State = tuple[int, int, int]
+
+
+def _through(state: State, steps: Columns, period: int) -> State:
     """A worker's (sum, last exchange, number of exchanges) after one more block."""
     carried, last_iter, count = state
     if steps["opens"][0]:
@@ -105,91 +218,123 @@ def _through(state: tuple[int, int, int], steps: Columns, period: int) -> tuple[
     return int(steps["exit"][i]), int(steps["last_iter"][i]), count + int(steps["exchanges"][i])
 
 
-def _entries(blocks: Iterator[Columns], period: int) -> Iterator[Columns]:
-    """What each block is entered with, and one more entry behind the last block of a worker."""
+def _entry(worker: int, block: int, state: State) -> Columns:
+    carried = _split("carried", np.array([state[0]], dtype=object))
+    return {"worker": np.array([worker]), "block": np.array([block]), **carried,
+            "last_iter": np.array([state[1]]), "exchanges": np.array([state[2]])}
 
-    def entry(worker, block, state):
-        return {name: np.array([x]) for name, x in zip(ENTRY, (worker, block, *state))}
 
-    worker, block, state = None, 0, (0, 0, 0)
-    for steps in blocks:
-        if steps["worker"][0] != worker:
-            if worker is not None:
-                yield entry(worker, block + 1, state)
-            worker, state = steps["worker"][0], (0, 0, 0)
-        block = steps["block"][0]
-        yield entry(worker, block, state)
-        state = _through(state, steps, period)
-    if worker is not None:
-        yield entry(worker, block + 1, state)
+def _entries(blocks: Iterator[Columns], period: int, ends: bool) -> Iterator[Columns]:
+    """What each block is entered with, from what its run of blocks is; ``ends``: and one more entry behind a worker's last."""
+    run, state = None, (0, 0, 0)
+    for rows in blocks:
+        worker, block = int(rows["worker"][0]), int(rows["block"][0])
+        if run != (worker, int(rows["run"][0])):
+            if ends and run is not None:
+                yield _entry(run[0], END, state)
+            run = worker, int(rows["run"][0])
+            state = int(rows["in_carried_high"][0]) * BASE + int(rows["in_carried"][0]), int(rows["in_last"][0]), int(rows["in_count"][0])
+        yield _entry(worker, block, state)
+        state = _through(state, _steps_of(rows), period)
+    if ends and run is not None:
+        yield _entry(run[0], END, state)
 
 
 def _points(rows: Columns, period: int) -> Columns:
     """The exchanges inside a block."""
-    iters, cut = rows["iter"], int(rows["cut"][0])
-    carried, last_iter, count = (int(rows[c][0]) for c in ("carried", "last_iter", "exchanges"))
+    iters, cut = rows["iter"], _cut(rows)
+    carried = int(rows["carried_high"][0]) * BASE + int(rows["carried"][0])
+    last_iter, count = int(rows["last_iter"][0]), int(rows["exchanges"][0])
     sums = _sums_after_opening(rows, period)
-    points = []
+    points, units = [], []
     if _opens(rows, period):
-        points.append((1, period, period, cut))
+        points.append((1, period, period))
+        units.append(cut)
         last_iter, count = period, 1
     if cut > 0:
         jump = _next_exchange(sums, cut)
         at, before = int(np.searchsorted(sums, cut - carried, side="right")), -carried
         while at < len(sums):
             count += 1
-            points.append((count, int(iters[at]), int(iters[at]) - last_iter, int(sums[at]) - before))
+            points.append((count, int(iters[at]), int(iters[at]) - last_iter))
+            units.append(int(sums[at]) - before)
             last_iter, before, at = int(iters[at]), int(sums[at]), int(jump[at])
-    found = np.array(points, dtype=np.int64).reshape(len(points), 4)
-    columns = {name: found[:, i] for i, name in enumerate(POINT[1:])}
-    return {"worker": np.full(len(points), rows["worker"][0]), **columns}
-
-
-def adaptive_sync_points(log: DataFrame, period: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    found = np.array(points, dtype=np.int64).reshape(len(points), 3)
+    columns = {name: found[:, i] for i, name in enumerate(POINT[1:4])}
+    return {"worker": np.full(len(points), rows["worker"][0]), **columns, **_split("units", np.array(units, dtype=object))}
+
+
+def _in_order(df: DataFrame, *by: str) -> DataFrame:
+    return df.repartition(*by).sortWithinPartitions("worker", "block", *[c for c in ("iter", "threshold_high", "threshold") if c in df.columns])
+
+
+def _carried_sums(summaries: DataFrame, last_block: int, period: int, fan: int) -> tuple[DataFrame, DataFrame]:
+    """What every block is entered with, and what every worker ends with, by a tree of block summaries."""
+    def compose(batches):
+        return tables_of(_composed(groups_of(batches, BY_BLOCK), fan), _schema(SUMMARY))
+
+    def walk(ends):
+        return lambda batches: tables_of(_entries(groups_of(batches, BY_BLOCK), period, ends), _schema(ENTRY))
+
+    run = F.floor(F.col("block") / fan)
+    levels = [summaries]
+    while last_block >= fan:
+        dealt = _in_order(levels[-1].withColumn("run", run), "worker", "run").drop("run")
+        levels.append(materialise(dealt.mapInArrow(compose, _ddl(SUMMARY)), "summaries"))
+        last_block //= fan
+    nothing = {name: F.lit(0).cast("bigint") for name in ("run", "in_carried", "in_carried_high", "in_last", "in_count")}
+    top = _in_order(levels.pop().withColumns(nothing), "worker").mapInArrow(walk(True), _ddl(ENTRY))
+    entries = materialise(top, "entries")
+    ends = entries.where(F.col("block") == END)
+    entries = entries.where(F.col("block") != END)
+    while levels:
+        of_run = entries.select(
+            "worker", F.col("block").alias("run"), F.col("carried").alias("in_carried"), F.col("carried_high").alias("in_carried_high"),
+            F.col("last_iter").alias("in_last"), F.col("exchanges").alias("in_count"))
+        entered = levels.pop().withColumn("run", run).join(of_run, ["worker", "run"])
+        entries = materialise(_in_order(entered, "worker", "run").mapInArrow(walk(False), _ddl(ENTRY)), "entries")
+    return entries, ends
+
+
+def adaptive_sync_points(log: DataFrame, period: int, block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
     """Exchanges of every worker: (worker, exchange, iter, steps, loss_sum, final).
 
-    ``log`` has worker, iter (1, 2, ... without gaps per worker) and loss (not negative). Iterations
+    ``log`` has worker, iter (1, 2, ... without gaps per worker) and loss (not negative, below 10^28). Iterations
     left over after the last exchange are flushed by one more, marked ``final``.
     """
-    units = F.when(F.col("loss") < 0, F.raise_error(F.lit("negative loss")).cast("bigint")).otherwise(
-        F.round(F.col("loss") * UNIT).cast("bigint"))
-    rows = log.select(
-        F.col("worker").cast("bigint").alias("worker"), F.col("iter").cast("bigint").alias("iter"), units.alias("units"))
-    # Three numbers per entry, read for the cuts, the summaries and the points.
-    rows = materialise(rows, "losses")
-    # Blocks so short that the sum of one stays far from 64 bits however large the losses are.
-    peak = rows.agg(F.max("units")).first()[0] or 0
-    block_rows = max(1, min(block_rows, MOST_UNITS // max(1, peak)))
+    wide = "decimal(38,0)"
+    billionths = F.round(F.col("loss") * UNIT)
+    # Below 2^62 the number itself; above, what its decimal notation says.
+    units = F.when(billionths < 2.0**62, billionths.cast("bigint").cast(wide)).otherwise(billionths.cast(wide))
+    units = F.when(F.col("loss") < 0, F.raise_error(F.lit("negative loss")).cast(wide)).otherwise(units)
+    rows = log.select(F.col("worker").cast("bigint").alias("worker"), F.col("iter").cast("bigint").alias("iter"), units.alias("u"))
+    # Four numbers per entry, read for the cuts, the summaries and the points.
+    rows = materialise(rows.select("worker", "iter", *_parts("units", F.col("u"))), "losses")
     rows = rows.withColumn("block", F.floor((F.col("iter") - 1) / block_rows))
-    heads = rows.groupBy("worker").agg(
-        F.coalesce(F.sum(F.when(F.col("iter") <= period, F.col("units"))), F.lit(0)).alias("cut"),
-        F.max("iter").alias("n"))
-    # The cut goes to each block of a worker, so the join key is never a whole worker.
+    opening = F.when(F.col("iter") <= period, _whole("units"))
+    heads = rows.groupBy("worker").agg(F.coalesce(F.sum(opening), F.lit(0)).cast(wide).alias("cut"), F.max("iter").alias("n"))
     last_block = F.floor((F.col("n") - 1) / block_rows)
-    cuts = heads.select("worker", "cut", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)).alias("block"))
+    longest = heads.agg(F.max(last_block)).first()[0] or 0
+    # The cut goes to each block of a worker, so the join key is never a whole worker.
+    cuts = heads.select("worker", *_parts("cut", F.col("cut")), F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)).alias("block"))
     blocks = rows.join(cuts, ["worker", "block"])
 
     def summarise(batches):
-        return tables_of((_summary(g, period) for g in groups_of(batches, BY_BLOCK)), _schema(SUMMARY))
-
-    def walk(batches):
-        return tables_of(_entries(groups_of(batches, BY_BLOCK), period), _schema(ENTRY))
+        return tables_of((_as_rows(_summary(g, period)) for g in groups_of(batches, BY_BLOCK)), _schema(SUMMARY))
 
     def list_points(batches):
         return tables_of((_points(g, period) for g in groups_of(batches, BY_BLOCK)), _schema(POINT))
 
-    def in_order(df, *by):
-        return df.repartition(*by).sortWithinPartitions("worker", "block", *[c for c in ("iter", "threshold") if c in df.columns])
-
-    summaries = in_order(blocks, "worker", "block").mapInArrow(summarise, _ddl(SUMMARY))
-    entries = materialise(in_order(summaries, "worker").mapInArrow(walk, _ddl(ENTRY)), "entries")
-    entered = blocks.join(entries, ["worker", "block"])
-    points = in_order(entered, "worker", "block").mapInArrow(list_points, _ddl(POINT))
-    ends = heads.join(entries, "worker").where(F.col("block") == F.floor((F.col("n") - 1) / block_rows) + 1)
+    summaries = _in_order(blocks, "worker", "block").mapInArrow(summarise, _ddl(SUMMARY))
+    # Read again on the way down where there is a way up.
+    entries, ends = _carried_sums(materialise(summaries, "summaries") if longest >= fan else summaries, longest, period, fan)
+    points = _in_order(blocks.join(entries, ["worker", "block"]), "worker", "block").mapInArrow(list_points, _ddl(POINT))
+    ends = heads.join(ends, "worker")
     # Without a first exchange the whole log is what is left, and it is no longer than the cut's iterations.
-    left = F.when(F.col("last_iter") == 0, F.col("cut")).otherwise(F.col("carried"))
+    left = F.when(F.col("last_iter") == 0, F.col("cut")).otherwise(_whole("carried"))
     finals = ends.where(F.col("last_iter") < F.col("n")).select(
         "worker", (F.col("exchanges") + 1).alias("exchange"), F.col("n").alias("iter"),
-        (F.col("n") - F.col("last_iter")).alias("steps"), left.alias("units"))
-    every = points.withColumn("final", F.lit(False)).unionByName(finals.withColumn("final", F.lit(True)))
+        (F.col("n") - F.col("last_iter")).alias("steps"), left.cast("double").alias("units"))
+    listed = points.select("worker", "exchange", "iter", "steps", _whole("units").cast("double").alias("units"))
+    every = listed.withColumn("final", F.lit(False)).unionByName(finals.withColumn("final", F.lit(True)))
     return every.select("worker", "exchange", "iter", "steps", (F.col("units") / UNIT).alias("loss_sum"), "final")

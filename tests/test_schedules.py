@@ -102,6 +102,46 @@ def test_negative_loss_is_an_error(spark):
         adaptive_sync_points(df, 5).collect()
 
 
+def points_of(spark, logs, period, **sizes):
+    rows = [(w, i, x) for w, xs in logs.items() for i, x in enumerate(xs, 1)]
+    df = spark.createDataFrame(rows, "worker long, iter long, loss double")
+    found = {}
+    for r in adaptive_sync_points(df, period, **sizes).orderBy("worker", "exchange").collect():
+        found.setdefault(r["worker"], []).append((r["exchange"], r["iter"], r["steps"], r["loss_sum"], r["final"]))
+    return found
+
+
+def exact(logs, period):
+    return {w: [(*p[:3], p[3] / 10**9, p[4]) for p in loop_points(xs, period)] for w, xs in logs.items()}
+
+
+@pytest.mark.parametrize("block_rows, fan", [(1, 2), (3, 2), (5, 4), (2, 3)])
+def test_adaptive_points_by_a_tree_of_several_levels(spark, block_rows, fan):
+    rng = random.Random(block_rows * 10 + fan)
+    logs = {
+        0: [rng.choice([0.0, 0.01, 1.0, 2.5, 40.0]) for _ in range(300)],
+        1: [rng.uniform(0, 3) * 0.99**i for i in range(200)],
+        2: [0.0] * 70, 3: [1.0] * 3, 4: [0.25] * 130, 5: [5.0] * 7 + [0.0] * 90, 6: [0.001] * 40 + [7.0, 0.0] * 60}
+    assert points_of(spark, logs, 7, block_rows=block_rows, fan=fan) == exact(logs, 7)
+
+
+def test_one_outlier_among_ordinary_losses(spark):
+    rng = random.Random(3)
+    losses = [rng.uniform(0.5, 1.5) for _ in range(4000)]
+    losses[1234] = 1e8
+    for period in (10, 2000):
+        assert points_of(spark, {0: losses}, period, block_rows=500, fan=3) == exact({0: losses}, period)
+
+
+@pytest.mark.parametrize("loss", [9.2e9, 1e10, 1.5e17, 1e25])
+def test_losses_beyond_64_bits(spark, loss):
+    logs = {0: [loss * (1 + i % 3) for i in range(90)], 1: [1.0] * 30 + [loss] + [1.0] * 30, 2: [loss] * 4 + [1.0] * 50}
+    found, want = (f(logs) for f in (lambda x: points_of(spark, x, 4, block_rows=7, fan=2), lambda x: exact(x, 4)))
+    assert {w: [(*p[:3], p[4]) for p in ps] for w, ps in found.items()} == {w: [(*p[:3], p[4]) for p in ps] for w, ps in want.items()}
+    for w, points in found.items():
+        assert [p[3] for p in points] == pytest.approx([p[3] for p in want[w]], rel=1e-12)
+
+
 def test_adaptive_points_of_very_large_losses(spark):
     loss, period, n = 3e8, 5, 40
     df = spark.createDataFrame([(0, i, loss) for i in range(1, n + 1)], "worker long, iter long, loss double")
