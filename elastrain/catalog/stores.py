@@ -19,18 +19,33 @@ def _checksum(column="data"):
     return F.round(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), 6) + 0.0
 
 
-@query("scan_tsv_images", """
-SELECT label::double AS label, len(embedding)::int AS n,
+FILE_ROWS = 100
+SQL_PLACE = f"""vec_id // {FILE_ROWS} AS file, row_number() OVER (PARTITION BY vec_id // {FILE_ROWS} ORDER BY vec_id) - 1 AS place"""
+
+
+def _in_files(spark, sf_dir):
+    """The samples, those of a file together and in order."""
+    rows = samples(spark, sf_dir).withColumn("file", F.floor(F.col("id") / FILE_ROWS))
+    return rows.repartition("file").sortWithinPartitions("file", "id")
+
+
+def _place():
+    """The number of a file's folder, and the place in the file, from an id."""
+    return F.regexp_extract("id", "^file=([0-9]+)/", 1).cast("bigint").alias("file"), F.substring_index("id", ":", -1).cast("bigint").alias("place")
+
+
+@query("scan_tsv_images", f"""
+SELECT {SQL_PLACE}, label::double AS label, len(embedding)::int AS n,
        round(list_sum(list_transform(embedding, lambda x, i: x::double * i)), 6) + 0.0 AS checksum FROM embeddings""")
 def scan_tsv_images(spark, sf_dir):
     path = fresh_path(spark, "tsv")
-    files.write_tsv_images(samples(spark, sf_dir), path)
+    files.write_tsv_images(_in_files(spark, sf_dir), path, by="file")
     df = files.scan_tsv_images(spark, path, DIMS)
-    return df.select(F.col("label").cast("double").alias("label"), F.size("data").alias("n"), _checksum().alias("checksum"))
+    return df.select(*_place(), F.col("label").cast("double").alias("label"), F.size("data").alias("n"), _checksum().alias("checksum"))
 
 
-@query("scan_binary_images", """
-SELECT (48 + label)::double AS label,
+@query("scan_binary_images", f"""
+SELECT {SQL_PLACE}, (48 + label)::double AS label,
        list_sum(list_transform(embedding, lambda x, i: (70 + trunc(x::double * 30)) * i)) + 65 * 10 AS checksum FROM embeddings""")
 def scan_binary_images(spark, sf_dir):
     """Vectors as printable bytes behind a label byte; the line end is the last byte of a record."""
@@ -39,10 +54,10 @@ def scan_binary_images(spark, sf_dir):
 
     path = fresh_path(spark, "records")
     codes = F.transform("data", lambda x: char((x.cast("double") * 30).cast("int") + 70))
-    lines = samples(spark, sf_dir).select(F.concat(char(F.col("label") + 48), F.array_join(codes, "")))
-    lines.write.text(path)
+    lines = _in_files(spark, sf_dir).select(F.concat(char(F.col("label") + 48), F.array_join(codes, "")), "file")
+    lines.write.partitionBy("file").text(path)
     df = files.scan_binary_images(spark, path, (1, 1, 65))
-    return df.select(F.col("label").cast("double").alias("label"), _checksum().alias("checksum"))
+    return df.select(*_place(), F.col("label").cast("double").alias("label"), _checksum().alias("checksum"))
 
 
 SQL_BYTES = """SELECT label::double AS label, len(embedding)::int AS n,

@@ -60,10 +60,14 @@ def colour_delta(spark: SparkSession, train: str, test: str, n_workers: int, lea
     return _delta(rows, held, n_workers, k, learner, solver, seed, weights)
 
 
-def _store(df: DataFrame, n_workers: int, seed: int, quantise: bool = True, order: str = "id") -> WorkerStore:
-    """Shard the samples by id and store them per worker in the order of a number, ties by id."""
+def _store(df: DataFrame, n_workers: int, seed: int, quantise: bool = True) -> WorkerStore:
+    """Shard the samples by id and store them per worker.
+
+    The ids name a file and a place in it; a hash of them is an order that is the same everywhere, ties by id.
+    """
     path = fresh_path(df.sparkSession, "store")
-    return store_by_worker(assign_workers(df, ["id"], n_workers, seed), order, path, n_workers, quantise, ties=("id",))
+    placed = assign_workers(df, ["id"], n_workers, seed).withColumn("place", F.xxhash64("id"))
+    return store_by_worker(placed, "place", path, n_workers, quantise, ties=("id",))
 
 
 def _elastic(shards: WorkerStore, test: DataFrame | None, n_workers: int, learner: Learner, solver: SolverParams,
@@ -105,9 +109,7 @@ def large_transform(dims=LARGE, crop: int = 224, seed: int = 0) -> SampleTransfo
 def _large_shards(spark: SparkSession, pairs: str, n_workers: int, seed: int, dims) -> WorkerStore:
     records = files.scan_sequence_pairs(spark, pairs, dims)
     numbers = S.to_record(files.decoded(records), "data", "label", dims, keep=["id"])
-    # The ids name a file and a row; a hash of them is an order that is the same everywhere.
-    placed = numbers.withColumn("place", F.xxhash64("id"))
-    return _store(materialise(placed, "large"), n_workers, seed, order="place")
+    return _store(materialise(numbers, "large"), n_workers, seed)
 
 
 def large_images_fixed(spark: SparkSession, pairs: str, n_workers: int, learner: Learner, solver: SolverParams,

@@ -2,24 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from elastrain.functions.arrays import decode_u8
+from elastrain.session import materialise
+from elastrain.sources.records import TASK_BYTES, FixedRecords
 
 
 def _dim(dims: tuple[int, int, int]):
     return F.array(*[F.lit(d) for d in dims])
 
 
+def _below(path: Column, root: str) -> Column:
+    """A file's path below the folder it was found in; its name where ``root`` is the file, or a pattern."""
+    folder = F.regexp_replace(F.lit(root.rstrip("/") + "/"), "^file:/+", "/")
+    plain = F.regexp_replace(path, "^file:/+", "/")
+    at = F.instr(plain, folder)
+    return F.when(at > 0, F.substr(plain, at + F.length(folder))).otherwise(F.substring_index(plain, "/", -1))
+
+
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(id, value): lines and their exact place, as ``file:line`` with lines from 0.
+
+    A first pass counts the lines of every split; running counts over the splits of a file tell where each
+    starts. A split lies within one partition, where row numbers follow the lines.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"))
+    counted = lines.groupBy("file", "start").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    splits = counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # One row a split, written, so its size is known when the join is planned.
+    splits = materialise(splits, "splits")
+    place = F.col("row") - F.col("first")
+    moved = F.raise_error(F.lit("the files were split in another way than when their lines were counted"))
+    number = F.when((place >= 0) & (place < F.col("n")), F.col("before") + place).otherwise(moved.cast("bigint"))
+    return lines.join(splits, ["file", "start"], "left").select(F.concat_ws(":", _below(F.col("file"), path), number).alias("id"), "value")
+
+
 def scan_tsv_images(spark: SparkSession, path: str, dims: tuple[int, int, int]) -> DataFrame:
     """One sample per line: the values, then the label, separated by tabs. A line of another width is an error.
 
-    The id numbers the lines by split and place, so it is stable as long as files and split size are.
+    The id is file and line, the same however the files are split.
     """
     n = dims[0] * dims[1] * dims[2]
-    parts = spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("id"), F.split("value", "\t").alias("parts"))
+    parts = _numbered_lines(spark, path).select("id", F.split("value", "\t").alias("parts"))
     wrong = F.raise_error(F.concat(F.lit(f"expected {n + 1} columns, found "), F.size("parts").cast("string")))
     checked = F.when(F.size("parts") == n + 1, F.col("parts")).otherwise(wrong.cast("array<string>"))
     return parts.withColumn("parts", checked).select(
@@ -27,25 +59,32 @@ def scan_tsv_images(spark: SparkSession, path: str, dims: tuple[int, int, int])
         F.element_at("parts", n + 1).cast("float").alias("label"), _dim(dims).alias("dim"))
 
 
-def write_tsv_images(df: DataFrame, path: str) -> None:
-    """Samples as lines of values and label."""
+def write_tsv_images(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Samples as lines of values and label, in a folder for each value of ``by``."""
     values = F.array_join(F.transform("data", lambda x: x.cast("string")), "\t")
-    df.select(F.concat_ws("\t", values, F.col("label").cast("string"))).write.text(path)
+    lines = df.select(F.concat_ws("\t", values, F.col("label").cast("string")), *([by] if by else []))
+    (lines.write.partitionBy(by) if by else lines.write).text(path)
 
 
-def scan_binary_images(spark: SparkSession, path: str, dims: tuple[int, int, int] = (3, 32, 32)) -> DataFrame:
-    """Fixed-length records: one label byte, then one byte per value. A partial last record is an error."""
+def scan_binary_images(spark: SparkSession, path: str, dims: tuple[int, int, int] = (3, 32, 32),
+                       task_bytes: int = TASK_BYTES, columns: tuple[str, ...] = ("id", "data", "label")) -> DataFrame:
+    """Fixed-length records: one label byte, then one byte per value. A partial last record is an error.
+
+    The id is file and record, the same whatever ``task_bytes`` (read by one task). Of ``columns`` only those
+    named are made.
+    """
     record = 1 + dims[0] * dims[1] * dims[2]
-    lengths = spark.read.format("binaryFile").load(path).select("path", "length")
-    partial = lengths.where(F.pmod("length", F.lit(record)) != 0).first()
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = found.select("path", _below(F.col("path"), path).alias("name"), "length")
+    partial = files.where(F.pmod("length", F.lit(record)) != 0).first()
     if partial:
         raise ValueError(f"{partial['path']}: {partial['length']} bytes are no whole number of {record}-byte records")
-    raw = spark.sparkContext.binaryRecords(path, record).map(lambda b: (bytearray(b),))
-    records = spark.createDataFrame(raw, "record binary")
-    return records.select(
-        F.monotonically_increasing_id().alias("id"),
-        decode_u8(F.substring("record", 2, record - 1)).cast("array<float>").alias("data"),
-        decode_u8(F.substring("record", 1, 1))[0].cast("float").alias("label"), _dim(dims).alias("dim"))
+    spark.dataSource.register(FixedRecords)
+    # As for every scan, the driver knows the files; their contents stay with the tasks.
+    listed = json.dumps([[r["path"], r["name"], r["length"]] for r in files.orderBy("path").collect()])
+    rows = (spark.read.format(FixedRecords.name()).option("files", listed).option("record", record)
+            .option("task_bytes", task_bytes).option("columns", ",".join(columns)).load())
+    return rows.withColumn("dim", _dim(dims))
 
 
 def write_sequence_pairs(df: DataFrame, path: str) -> None:

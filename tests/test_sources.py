@@ -27,6 +27,59 @@ def test_binary_records(spark, tmp_path):
         files.scan_binary_images(spark, str(path), (1, 2, 2))
 
 
+def test_records_do_not_depend_on_the_tasks(spark, tmp_path):
+    for folder, first, n in (("a", 0, 37), ("b", 100, 1), ("c", 50, 20)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.bin").write_bytes(b"".join(bytes([(first + i) % 10, i, 255 - i, 7, first]) for i in range(n)))
+    (tmp_path / "b" / "empty.bin").write_bytes(b"")
+    want = {f"{f}/x.bin:{i}": (float((first + i) % 10), [float(i), 255.0 - i, 7.0, float(first)])
+            for f, first, n in (("a", 0, 37), ("b", 100, 1), ("c", 50, 20)) for i in range(n)}
+    for task_bytes, tasks in ((1, 58), (35, 10), (2**27, 3)):
+        df = files.scan_binary_images(spark, str(tmp_path), (1, 2, 2), task_bytes)
+        assert df.rdd.getNumPartitions() == tasks
+        assert {r["id"]: (r["label"], r["data"]) for r in df.collect()} == want and df.count() == len(want)
+        assert "RDD" not in df._jdf.queryExecution().executedPlan().toString()
+    labels = files.scan_binary_images(spark, str(tmp_path), (1, 2, 2), columns=("id", "label"))
+    assert labels.columns == ["id", "label", "dim"] and {r["id"]: r["label"] for r in labels.collect()} == {k: v[0] for k, v in want.items()}
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.bin").write_bytes(b"")
+    assert files.scan_binary_images(spark, str(tmp_path / "none"), (1, 2, 2)).collect() == []
+
+
+@pytest.fixture
+def split_bytes(spark):
+    """Sets the size at which files are split."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    yield lambda size: spark.conf.set(name, size)
+    spark.conf.set(name, before)
+
+
+def test_line_numbers_do_not_depend_on_the_splits(spark, tmp_path, split_bytes):
+    for folder, n in (("a", 300), ("b", 1), ("c", 150)):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "x.txt").write_text("".join(f"{i}\t{'9' * (i % 7 + 1)}\t{i % 3}\n" for i in range(n)))
+    want = {f"{f}/x.txt:{i}": [float(i), float("9" * (i % 7 + 1))] for f, n in (("a", 300), ("b", 1), ("c", 150)) for i in range(n)}
+    for size in ("64", "1000", "128m"):
+        split_bytes(size)
+        df = files.scan_tsv_images(spark, str(tmp_path / "in"), (1, 1, 2))
+        assert {r["id"]: r["data"] for r in df.collect()} == want and df.count() == len(want)
+    split_bytes("64")
+    with pytest.raises(Exception, match="split in another way"):
+        df.collect()
+        files.scan_tsv_images(spark, str(tmp_path / "in"), (1, 1, 2))
+        split_bytes("1000")
+        df.select("id").collect()
+
+
+def test_one_file_and_no_lines(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("1\t2\t0\n3\t4\t1\n")
+    rows = files.scan_tsv_images(spark, str(tmp_path / "x.txt"), (1, 1, 2)).orderBy("id").collect()
+    assert [(r["id"], r["data"], r["label"]) for r in rows] == [("x.txt:0", [1.0, 2.0], 0.0), ("x.txt:1", [3.0, 4.0], 1.0)]
+    (tmp_path / "empty.txt").write_text("")
+    assert files.scan_tsv_images(spark, str(tmp_path / "empty.txt"), (1, 1, 2)).collect() == []
+
+
 def test_worker_table_has_a_partition_per_worker(spark):
     df = worker_table(spark, 5)
     assert df.rdd.getNumPartitions() == 5 and [r["worker"] for r in df.orderBy("worker").collect()] == list(range(5))
