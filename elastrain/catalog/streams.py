@@ -6,6 +6,7 @@ from elastrain.catalog.common import SQL_LOG, samples
 from elastrain.catalog.metrics import loss_log
 from elastrain.catalog.registry import query
 from elastrain.catalog.schedules import PARAMS, PERIOD, WORKERS
+from elastrain.operators.numbering import number_by_value
 from elastrain.operators.weights import chunked
 from elastrain.schema import ExchangeParams, SolverParams
 from elastrain.session import fresh_path
@@ -17,7 +18,8 @@ SOLVER = SolverParams(base_lr=0.1, max_iter=1)
 
 def run_stream(spark, sf_dir, params, updates_only=False):
     """Every vector is one arrival of a one-layer model; the centre starts at 1."""
-    rows = samples(spark, sf_dir).select(F.col("id").alias("seq"), F.lit(0).alias("layer"), F.col("data").alias("values"))
+    numbered = number_by_value(samples(spark, sf_dir), [], "id", "n")
+    rows = numbered.select((F.col("n") - 1).alias("seq"), F.lit(0).alias("layer"), F.col("data").alias("values"))
     arrivals = chunked(rows, size=16, keep=("seq",))
     source, store = fresh_path(spark, "arrivals"), CentreStore(spark, fresh_path(spark, "centre"))
     arrivals.write.parquet(source)

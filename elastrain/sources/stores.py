@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from elastrain.schema import TRAINING_LOG
@@ -14,6 +14,12 @@ def save_weights(weights: DataFrame, path: str, tag: str, again: bool = False) -
     stored.write.mode("overwrite" if again else "errorifexists").parquet(f"{path}/tag={tag}")
 
 
+def save_tagged(weights: DataFrame, path: str, tag: Column) -> None:
+    """Several weight tables in one go, each under the tag of its rows; what the path held is replaced."""
+    stored = weights.select("layer", "chunk", F.col("values").cast("array<float>").alias("values"), tag.alias("tag"))
+    stored.write.mode("overwrite").partitionBy("tag").parquet(path)
+
+
 def load_weights(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """Weights saved under one tag; the other tags are pruned away."""
     saved = spark.read.parquet(path).where(F.col("tag") == tag)
@@ -24,6 +30,11 @@ def centre_tag(update_no: int) -> str:
     return f"state_iter_{update_no}.weight"
 
 
+def centre_tags(update_no: str) -> Column:
+    """The tag of every row, by its column ``update_no``."""
+    return F.concat(F.lit("state_iter_"), F.col(update_no), F.lit(".weight"))
+
+
 def worker_tag(iteration: int) -> str:
     return f"state_worker_iter_{iteration}.weight"
 

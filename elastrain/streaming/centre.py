@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,14 +11,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from elastrain.functions.schedules import centre_factor, centre_rate, centre_segment, is_due, whole_steps
+from elastrain.functions.schedules import centre_factor, centre_rate, centre_segment, whole_steps
 from elastrain.operators.numbering import number_by_value
-from elastrain.operators.weights import apply_deltas, fold_weighted
+from elastrain.operators.weights import fold_weighted
 from elastrain.schema import ExchangeParams, SolverParams
-from elastrain.session import materialise
-from elastrain.sources.stores import centre_tag, save_weights
+from elastrain.session import remove_path
+from elastrain.sources.stores import centre_tags, save_tagged
+from elastrain.streaming.blocks import MOVED, BlockCentre, centre_decays
 
-# ``seq`` orders the arrivals of a micro-batch; an arrival is the rows sharing one seq.
+# ``seq`` numbers the arrivals; an arrival is the rows sharing one seq, one for each block of the centre.
 ARRIVAL = T.StructType([
     T.StructField("seq", T.LongType()),
     T.StructField("layer", T.IntegerType()),
@@ -106,44 +109,95 @@ def fold_batch(batch: DataFrame, centre: DataFrame, updates: int, params: Exchan
     return fold_numbered(batch, numbered, centre, params, workers), numbered
 
 
+class _Results:
+    """What blocks hand on: due centres until all their blocks are there, and each block's latest values."""
+
+    def __init__(self, store: CentreStore):
+        self.spark, self.path = store.spark, store.path
+        self.start = store.before(0)
+        self.blocks = self.start[0].count()
+
+    def _read(self, name: str, version: int) -> DataFrame:
+        return self.spark.read.schema(MOVED).parquet(f"{self.path}/{name}/version={version}")
+
+    def add(self, emitted: DataFrame, version: int) -> tuple[list[int], DataFrame, DataFrame]:
+        """Due updates that are now whole, their rows, and the latest row of every block.
+
+        What goes on waiting is written under the version, so a replay starts from the version before again.
+        """
+        emitted.write.mode("overwrite").parquet(f"{self.path}/emitted/version={version}")
+        if version == 0:
+            centre, updates = self.start
+            held = centre.select(F.lit("latest").alias("kind"), F.lit(updates).cast("bigint").alias("update_no"), "layer", "chunk", "values")
+        else:
+            held = self._read("held", version - 1)
+        rows = held.unionByName(self._read("emitted", version))
+        due = rows.where("kind = 'due'")
+        # Two numbers for each update that a test or snapshot is due at.
+        counted = due.groupBy("update_no").count().collect()
+        whole = sorted(r["update_no"] for r in counted if r["count"] == self.blocks)
+        part = [r["update_no"] for r in counted if r["count"] < self.blocks]
+        latest = rows.where("kind = 'latest'").groupBy("kind", "layer", "chunk").agg(
+            F.max("update_no").alias("update_no"), F.max_by("values", "update_no").alias("values"))
+        waiting = due.where(F.col("update_no").isin(part)) if part else due.where("false")
+        waiting.unionByName(latest.select(*due.columns)).write.mode("overwrite").parquet(f"{self.path}/held/version={version}")
+        return whole, due, self._read("held", version).where("kind = 'latest'")
+
+    def forget(self, version: int) -> None:
+        """Drop what no replay can ask for again."""
+        remove_path(self.spark, f"{self.path}/emitted/version={version}")
+        remove_path(self.spark, f"{self.path}/held/version={version - 2}")
+
+
+@contextmanager
+def _keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Several state variables for a key need the RocksDB state store."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stream_centre(spark: SparkSession, source: str, store: CentreStore, checkpoint: str, params: ExchangeParams,
                   solver: SolverParams, workers: int, updates_only: bool = False, on_test=None,
                   snapshots: str | None = None, files_per_batch: int | None = None) -> None:
     """Fold all arrivals now present in ``source`` into the stored centre, then stop.
 
-    ``updates_only`` subtracts arriving update values instead of averaging weights. Snapshots and
-    ``on_test(update_no, centre)`` see the centre after exactly the update they are due at.
+    ``seq`` numbers the arrivals from 0 without gaps: it makes update seq + 1, in whatever order arrivals come. Each
+    block of the centre is a state of its own, so parts of an arrival may come in different micro-batches; a part
+    before its turn waits in the state, one that comes again counts once. The stored centre moves on when all blocks
+    stand at the same update. ``updates_only`` subtracts arriving update values instead of averaging weights.
+    Snapshots and ``on_test(update_no, centre)`` see the centre after exactly the update they are due at, in the
+    micro-batch that completes it.
     """
     save_every = whole_steps(solver.snapshot, workers, params.period) if snapshots else 0
     test_every = solver.test_interval if on_test else 0
-
-    def after(batch: DataFrame, numbered: DataFrame, centre: DataFrame) -> DataFrame:
-        if updates_only:
-            return apply_deltas(centre, batch.join(numbered, "seq"))
-        return fold_numbered(batch, numbered, centre, params, workers)
-
-    def handle(batch: DataFrame, version: int) -> None:
-        centre, updates = store.before(version)
-        batch = batch.persist()
-        try:
-            check_whole(batch, centre)
-            numbered = materialise(number_arrivals(batch, updates), "arrivals")
-            last = updates + numbered.count()
-            due = spark.range(updates + 1, last + 1).where(is_due(F.col("id"), save_every) | is_due(F.col("id"), test_every))
-            # From one due update to the next: every arrival is folded once.
-            for stop in [r["id"] for r in due.orderBy("id").collect()]:
-                centre = materialise(after(batch, numbered.where(F.col("update_no").between(updates + 1, stop)), centre), "centre")
-                updates = stop
-                if test_every and stop % test_every == 0:
-                    on_test(stop, centre)
-                if save_every and stop % save_every == 0:
-                    save_weights(centre, f"{snapshots}/batch={version}", centre_tag(stop), again=True)
-            store.put(after(batch, numbered.where(F.col("update_no") > updates), centre), last, version)
-        finally:
-            batch.unpersist()
+    results = _Results(store)
+
+    def handle(emitted: DataFrame, version: int) -> None:
+        whole, due, latest = results.add(emitted, version)
+        saved = [u for u in whole if save_every and u % save_every == 0]
+        if saved:
+            save_tagged(due.where(F.col("update_no").isin(saved)), f"{snapshots}/batch={version}", centre_tags("update_no"))
+        for update in whole:
+            if test_every and update % test_every == 0:
+                on_test(update, due.where(F.col("update_no") == update).select("layer", "chunk", "values"))
+        low, high = latest.agg(F.min("update_no"), F.max("update_no")).first()
+        if low == high:
+            store.put(latest, high, version)
+        results.forget(version)
 
     reader = spark.readStream.schema(ARRIVAL)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    query = reader.parquet(source).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    decays = None if updates_only else centre_decays(params, workers)
+    centre, updates = results.start
+    first = centre.select("layer", "chunk", "values", F.lit(updates).cast("bigint").alias("updates")).groupBy("layer", "chunk")
+    moved = reader.parquet(source).groupBy("layer", "chunk").transformWithStateInPandas(
+        BlockCentre(decays, (save_every, test_every)), MOVED, "Append", "None", initialState=first)
+    with _keyed_state(spark):
+        query = moved.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()

@@ -152,3 +152,87 @@ def test_metrics_without_new_entries(spark, tmp_path):
     spark.createDataFrame([(0, i, 1.0, i) for i in range(1, 8)], "worker long, iter long, loss double, ms long").write.parquet(source)
     first = stream_log_metrics(spark, source, out, progress, 5).orderBy("span").collect()
     assert stream_log_metrics(spark, source, out, progress, 5).orderBy("span").collect() == first and len(first) == 2
+
+
+def test_an_arrival_split_over_micro_batches_counts_once(spark, tmp_path):
+    source, store = str(tmp_path / "in"), begin(spark, str(tmp_path / "centre"))
+    rows, tests, seen = arrivals(spark, 0, 7), {}, []
+    parts = [
+        rows.where("seq < 3 OR (seq = 3 AND layer = 0)"),  # layer 1 of arrival 3 comes later
+        rows.where("seq = 5"),  # before its turn
+        rows.where("(seq = 3 AND layer = 1) OR seq = 4 OR (seq = 2 AND layer = 0)"),  # completes 3; a part of 2 again
+        rows.where("seq = 6 OR seq = 5"),
+    ]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream_centre(spark, source, store, str(tmp_path / "progress"), PARAMS, SOLVER, WORKERS,
+                      on_test=lambda u, c: tests.update({u: found(c)}), snapshots=str(tmp_path / "snaps"))
+        seen.append(store.before()[1])
+    # The stored centre stays at the last update at which all blocks stood at the end of a micro-batch.
+    assert seen == [0, 0, 6, 7]
+    versions = loop(7)
+    assert sorted(tests) == [3, 6]
+    for update, centre in {**tests, 7: found(store.before()[0])}.items():
+        for layer in (0, 1):
+            assert centre[layer] == pytest.approx(versions[update][layer])
+    assert found(load_weights(spark, str(tmp_path / "snaps" / "batch=2"), "state_iter_4.weight"))[1] == pytest.approx(versions[4][1], abs=1e-5)
+
+
+def test_micro_batches_of_any_cut_and_order_give_one_centre(spark, tmp_path):
+    rows = arrivals(spark, 0, 40).orderBy(F.xxhash64("seq", "layer"))
+    want = loop(40)[40]
+    for files in (1, 3):
+        base = tmp_path / str(files)
+        source, store = str(base / "in"), begin(spark, str(base / "centre"))
+        rows.repartition(5).write.parquet(source)
+        stream_centre(spark, source, store, str(base / "progress"), PARAMS, SOLVER, WORKERS, files_per_batch=files)
+        centre, updates = store.before()
+        assert updates == 40
+        for layer in (0, 1):
+            assert found(centre)[layer] == pytest.approx(want[layer])
+
+
+def test_parts_before_their_turn_leave_memory():
+    from elastrain.streaming.blocks import BlockCentre, Decay
+
+    class Value:
+        row = None
+
+        def exists(self):
+            return self.row is not None
+
+        def get(self):
+            return self.row
+
+        def update(self, row):
+            self.row = row
+
+    class Map(dict):
+        most = 0
+
+        def getValue(self, key):  # noqa: N802
+            return self[key]
+
+        def updateValue(self, key, value):  # noqa: N802
+            self[key] = value
+            self.most = max(self.most, len(self))
+
+        def removeKey(self, key):  # noqa: N802
+            del self[key]
+
+    import numpy as np
+    import pandas as pd
+
+    block = BlockCentre((Decay(0.5, 0.5, 4, -1), Decay(1.0, 1.0, 0, -1)), (3,), held=6)
+    block.centre, block.early = Value(), Map()
+    block.handleInitialState((0, 0), pd.DataFrame({"values": [[1.0, 1.0]], "updates": [0]}), None)
+    order = [*range(8, 0, -1), 0]
+    frames = [pd.DataFrame({"seq": [s], "values": [np.array([float(s * 7 % 5), float(s)])]}) for s in order]
+    out = pd.concat(block.handleInputRows((0, 0), iter(frames), None))
+    assert block.early.most >= 6 and not block.early
+    got = {(r.kind, r.update_no): list(r.values_) for r in out.rename(columns={"values": "values_"}).itertuples()}
+    want = loop(9)
+    assert sorted(got) == [("due", 3), ("due", 6), ("due", 9), ("latest", 9)]
+    assert all(v == pytest.approx(want[u][0]) for (_, u), v in got.items())
+    with pytest.raises(ValueError, match="Size mismatch"):
+        list(block.handleInputRows((0, 0), iter([pd.DataFrame({"seq": [9], "values": [np.zeros(3)]})]), None))
