@@ -11,7 +11,7 @@ from elastrain.operators.weights import chunked
 from elastrain.schema import ExchangeParams, SolverParams
 from elastrain.session import fresh_path
 from elastrain.streaming.centre import CentreStore, stream_centre
-from elastrain.streaming.metrics import stream_log_metrics
+from elastrain.streaming.metrics import stream_log_metrics, stream_update_counts
 
 SOLVER = SolverParams(base_lr=0.1, max_iter=1)
 
@@ -75,3 +75,21 @@ def stream_log_metrics_query(spark, sf_dir):
     loss_log(spark, sf_dir).select("worker", F.col("iter").cast("bigint").alias("iter"), "loss", "ms").write.parquet(source)
     found = stream_log_metrics(spark, source, fresh_path(spark, "metrics"), fresh_path(spark, "progress"), PERIOD)
     return found.withColumn("loss", F.round("loss", 6))
+
+
+@query("stream_update_counts", f"""
+WITH {SQL_LOG}, met AS (SELECT worker % 4 AS run, worker, max(iter // {PERIOD}) * 4 + worker % 4 AS update_no, max(iter) AS iter
+  FROM log WHERE iter % {PERIOD} = 0 GROUP BY worker)
+SELECT run::varchar AS run, worker, update_no::bigint AS update_no, iter, max(update_no) OVER (PARTITION BY run)::bigint AS updates FROM met""")
+def stream_update_counts_query(spark, sf_dir):
+    """Every period of a worker ends with an exchange; four runs share the workers."""
+    source = fresh_path(spark, "lines")
+    met = loss_log(spark, sf_dir).where(F.col("iter") % PERIOD == 0)
+    run = F.col("worker") % 4
+    met.select(
+        run.cast("string").alias("run"), F.col("worker").cast("int").alias("worker"),
+        (F.floor(F.col("iter") / PERIOD) * 4 + run).cast("bigint").alias("update_no"), F.col("iter").cast("bigint").alias("iter"),
+        F.lit("exchange").alias("kind"), F.lit(None).cast("double").alias("value"), F.lit(0.0).alias("elapsed_s"),
+    ).write.parquet(source)
+    found = stream_update_counts(spark, source, fresh_path(spark, "counts"), fresh_path(spark, "progress"))
+    return found.withColumn("worker", F.col("worker").cast("bigint"))

@@ -77,6 +77,9 @@ class ShuffledEpochs:
 
     def samples(self, number: int) -> DataFrame:
         epochs = self._epochs_of(number)
+        # A run that goes on needs no epoch before its first.
+        if self.written < epochs[0]:
+            self.written = self.removed = epochs[0]
         while self.written <= epochs[-1]:
             self._write_epoch(self.written)
             self.written += 1
@@ -202,7 +205,6 @@ class DealtShards(_Cyclic):
             self.stretches(starts, steps), state, self.store.lane(), learner, solver, rule, self.n_workers, self.transform)
 
 
-
 def stored_shards(spark, shards: DataFrame | WorkerStore, n_workers: int, batch: int, block_rows: int,
                   transform: SampleTransform | None) -> StoredShards | DealtShards:
     if isinstance(shards, WorkerStore):
