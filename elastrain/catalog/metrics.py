@@ -82,10 +82,49 @@ FROM used, (VALUES ('accuracy_1'), ('accuracy_5'), ('loss')) AS o(output) GROUP
 def mean_scores(spark, sf_dir):
     rows = scored_rows(spark, sf_dir).withColumnsRenamed({"hit1": "accuracy_1", "hit5": "accuracy_5"})
     numbered = number_batches(rows, ["id"], SEED, 64)
-    found = A.mean_scores(numbered, {"accuracy_1": 0.0, "accuracy_5": 0.0, "loss": 0.3}, 64)
+    found = A.mean_scores(numbered, {"accuracy_1": 0.0, "accuracy_5": 0.0, "loss": 0.3})
     return found.withColumn("mean_score", F.round("mean_score", 6))
 
 
+TEST_ITER = 100
+
+
+@query("mean_scores_test_iter", f"""
+WITH {SQL_SCORES}, batched AS (
+  SELECT *, (row_number() OVER (ORDER BY md5('{SEED}:' || id)) - 1) // 64 AS batch, count(*) OVER () // 64 AS batches FROM scored),
+taken AS (SELECT i % batches AS batch FROM range({TEST_ITER}) AS r(i), (SELECT max(batches) AS batches FROM batched)),
+used AS (SELECT * FROM taken JOIN batched USING (batch))
+SELECT o.output, round(CASE o.output WHEN 'accuracy_1' THEN avg(hit1) WHEN 'accuracy_5' THEN avg(hit5) ELSE avg(loss) * 0.3 END, 6) AS mean_score,
+  max(batches) AS batches, (SELECT count(*) FROM batched WHERE batch NOT IN (SELECT batch FROM taken)) AS left_over
+FROM used, (VALUES ('accuracy_1'), ('accuracy_5'), ('loss')) AS o(output) GROUP BY o.output""")
+def mean_scores_test_iter(spark, sf_dir):
+    """A hundred batches, going round the test set as often as that takes."""
+    rows = scored_rows(spark, sf_dir).withColumnsRenamed({"hit1": "accuracy_1", "hit5": "accuracy_5"})
+    found = A.mean_scores(number_batches(rows, ["id"], SEED, 64), {"accuracy_1": 0.0, "accuracy_5": 0.0, "loss": 0.3}, TEST_ITER)
+    return found.withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query("heads_report", """
+WITH rows AS (SELECT label, list_transform(embedding, lambda x: x::double) AS s FROM embeddings),
+heads AS (
+  SELECT 'main' AS head, 1.0::double AS weight, label, s FROM rows
+  UNION ALL SELECT 'first', 0.3::double, label, list_transform(s, lambda x: x * 0.5::double) FROM rows
+  UNION ALL SELECT 'second', 0.3::double, label, list_reverse(s) FROM rows),
+scored AS (
+  SELECT head, (len(list_filter(s, lambda x: x > s[label + 1])) < 1)::int::double AS hit1,
+         (len(list_filter(s, lambda x: x > s[label + 1])) < 5)::int::double AS hit5,
+         weight * (ln(list_sum(list_transform(s, lambda x: exp(x)))) - s[label + 1]) AS loss FROM heads),
+by_head AS (SELECT head, avg(hit1) AS a1, avg(hit5) AS a5, avg(loss) AS loss, count(*) AS n FROM scored GROUP BY head)
+SELECT head, round(a1, 6) AS accuracy_1, round(a5, 6) AS accuracy_5, round(loss, 6) AS loss,
+  round(sum(loss) OVER (), 6) AS total_loss, n FROM by_head""")
+def heads_report(spark, sf_dir):
+    """The vector, half of it and its reverse as the class scores of a last and two auxiliary heads."""
+    rows = samples(spark, sf_dir).select("label", F.col("data").cast("array<double>").alias("main"))
+    rows = rows.select("*", F.transform("main", lambda x: x * 0.5).alias("first"), F.reverse("main").alias("second"))
+    found = A.heads_report(rows, {"first": 0.3, "second": 0.3, "main": 1.0}, "label")
+    return found.select("head", *[F.round(c, 6).alias(c) for c in ("accuracy_1", "accuracy_5", "loss", "total_loss")], "n")
+
+
 def start_state(spark):
     return init_weights(layer_table(spark, LINEAR.layers()), seed=1).withColumn("velocity", F.transform("values", lambda x: x * 0))
 

@@ -74,7 +74,6 @@ class SolverParams:
     stepsize: int = 1
     clip_gradients: float = -1.0
     snapshot: int = 0
-    test_iter: int = 0
     test_interval: int = 0
     batch_size: int = 100
 
