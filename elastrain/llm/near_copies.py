@@ -1,13 +1,14 @@
 """Near copies by the overlap of word shingles.
 
 Two texts are linked when the sets of their word shingles have a Jaccard similarity of at least
-``similarity``, which is computed from the sets themselves. Candidates are texts that agree in one of
-BANDS groups of MinHash values of these sets: a pair at 0.8 is one with probability 0.9996, at 0.9 with
-more than 1 - 1e-7. (Fingerprints of 64 bits would not do: at 0.8 they differ in about 10 bits, and balls
-wide enough for that leave segments of about four bits.)
-
-A bucket of texts is compared with one of them, another in every band, and then, if it still has more than one
-component, with one of the texts outside its largest one. So a large group of copies makes few pairs. What is
+``similarity``, which is computed from the sets themselves. Near-equal texts are found first, by SimHash: texts
+whose fingerprints are linked at RADIUS bits (``simhash``) are compared with one of their component. Whoever agrees
+with it is one group from then on. Texts near ``similarity`` are farther apart than that (at 0.8 fingerprints of 64
+bits differ in about 10), so further candidates are texts that agree in one of BANDS groups of MinHash values of
+these sets: a pair at 0.8 is one with probability 0.9996, at 0.9 with more than 1 - 1e-7.
+
+A bucket (a SimHash component, or a MinHash band) that still has more than one group is compared with one of its texts
+outside the largest one. So a large group of copies makes few pairs. What is
 still apart is joined by prefixes of its sets: with shingles in one order, rare ones first, two sets that overlap
 enough share one among the first few of each (a fifth of the larger set, a ninth of the smaller), so texts that have a
 template in common, but not enough of it, never meet, and no link is lost.
@@ -26,8 +27,11 @@ from pyspark.sql import functions as F
 
 from elastrain.llm.common import arrow_map, column, row_key, write_table
 from elastrain.llm.components import smallest_reachable
+from elastrain.llm.simhash import hamming_links, simhash
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Fingerprints are linked at this many differing bits.
+RADIUS = 3
 BANDS, ROWS = 20, 5
 #: 64-bit words of a parity sketch.
 WORDS = 8
@@ -67,10 +71,11 @@ def _signatures(rows: DataFrame, shingle: int) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             sets = [shingles(raw, shingle) for raw in column(batch, "raw")]
-            arrays = [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["node", "n", "bands"])
+            fps = [simhash(raw) for raw in column(batch, "raw")]
+            arrays = [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(fps, pa.int64()), pa.array(map(bands, sets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "n", "fp", "bands"])
 
-    return arrow_map(rows, run, "node binary, n bigint, bands array<bigint>")
+    return arrow_map(rows, run, "node binary, n bigint, fp bigint, bands array<bigint>")
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -144,6 +149,13 @@ def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     return _pairs(met.select("node", "n", F.col("other_node").alias("other"), "other_n"), similarity)
 
 
+def _by_simhash(signed: DataFrame) -> DataFrame:
+    """(node, n, bucket) of all texts, a bucket for each component of linked fingerprints."""
+    links = write_table(hamming_links(signed.select("fp"), RADIUS).distinct(), "near-simhash")
+    roots = smallest_reachable(links).select(F.col("node").alias("fp"), "root")
+    return signed.join(roots, "fp", "left").select("node", "n", F.coalesce("root", "fp").alias("bucket"))
+
+
 def _placed(shared: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The entries of buckets with more than one component, with root and the bucket's largest component, and one
     text outside of that for each bucket."""
@@ -170,22 +182,27 @@ def later_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     """
     whole = F.coalesce("text", F.lit(""))
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("node"), whole.cast("binary").alias("raw"), "doc_id")
-    signed = _signatures(rows.select("node", "raw"), shingle)
-    entries = write_table(signed.select("node", "n", F.explode("bands").alias("bucket")), "minhash").distinct()
-    by_lot = F.min(F.struct(F.xxhash64("bucket", "node").alias("lot"), "node", "n"))
-    centres = entries.groupBy("bucket").agg(by_lot.alias("c"), F.count("*").alias("m")).where("m > 1")
-    shared = write_table(entries.join(centres.select("bucket", F.col("c.node").alias("other"), F.col("c.n").alias("other_n")), "bucket"), "minhash-shared")
+    signed = write_table(_signatures(rows.select("node", "raw"), shingle), "signatures")
+    linked_prints = write_table(_by_simhash(signed).distinct(), "simhash-buckets")
+    entries = signed.select("node", "n", F.explode("bands").alias("bucket")).distinct().withColumn("simhash", F.lit(False))
+    entries = write_table(entries.union(linked_prints.withColumn("simhash", F.lit(True))), "minhash")
+    met = entries.groupBy("bucket", "simhash").agg(F.count("*").alias("m")).where("m > 1").drop("m")
+    shared = write_table(entries.join(met, ["bucket", "simhash"]), "minhash-shared")
     nodes = write_table(shared.select("node").distinct(), "minhash-nodes")
     sets = write_table(_sets(rows.join(nodes, "node", "left_semi").select("node", "raw"), shingle).dropDuplicates(["node"]), "shingles")
 
     def linked(pairs: DataFrame) -> DataFrame:
         return write_table(similar(write_table(pairs, "near-pairs"), sets, similarity), "near-links")
 
-    roots = _components(linked(_pairs(shared, similarity)))
-    placed, centres = _placed(shared, roots)
-    others = centres.select("bucket", F.col("c.node").alias("other"), F.col("c.n").alias("other_n"), F.col("c.root").alias("other_root"))
-    again = placed.join(others, "bucket").where("root != other_root")
-    roots = _components(linked(_pairs(again, similarity)), roots)
+    near = shared.where("simhash")
+    centres = near.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node").alias("lot"), "node", "n")).alias("c"))
+    others = centres.select("bucket", F.col("c.node").alias("other"), F.col("c.n").alias("other_n"))
+    roots = _components(linked(_pairs(near.join(others, "bucket"), similarity)))
+    for _ in range(2):
+        placed, centres = _placed(shared, roots)
+        others = centres.select("bucket", F.col("c.node").alias("other"), F.col("c.n").alias("other_n"), F.col("c.root").alias("other_root"))
+        again = placed.join(others, "bucket").where("root != other_root")
+        roots = _components(linked(_pairs(again, similarity)), roots)
     placed, _ = _placed(shared, roots)
     apart = sets.join(placed.select("node", "root").distinct(), "node")
     labels = _components(linked(prefix_pairs(apart, similarity)), roots)

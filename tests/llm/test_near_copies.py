@@ -5,7 +5,7 @@ import corpus_pipeline
 from samples import prose
 from test_simhash import brute_roots
 
-from elastrain.llm import near_copies
+from elastrain.llm import near_copies, simhash
 
 
 def sets(text, k=5):
@@ -105,3 +105,21 @@ def test_prefixes_lose_no_pair(spark):
         found = near_copies.similar(near_copies.prefix_pairs(df, similarity), df, similarity)
         want = {(a, b) for (a, s), (b, t) in combinations([r for r in rows if r[1]], 2) if len(s & t) >= similarity * len(s | t)}
         assert want and {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in found.collect()} == want
+
+
+def test_fingerprints_link_near_equal_texts_first(spark, monkeypatch):
+    """What is compared first are the texts that SimHash links; MinHash bands only add to it."""
+    draw = random.Random(14)
+    bases = [[f"w{draw.randrange(5000)}" for _ in range(2000)] for _ in range(6)]
+    rows = [(10 * i + k, " ".join(changed(b, k, draw))) for i, b in enumerate(bases) for k in (0, 1)]
+    prints = {i: simhash.simhash(t.encode()) for i, t in rows}
+    assert all(bin((prints[10 * i] ^ prints[10 * i + 1]) % 2**64).count("1") <= 3 for i in range(6))
+    compared, plain = [], near_copies.similar
+
+    def noted(pairs, sets, similarity):
+        compared.append({(bytes(r.a), bytes(r.b)) for r in pairs.collect()})
+        return plain(pairs, sets, similarity)
+
+    monkeypatch.setattr(near_copies, "similar", noted)
+    assert [i for i, _ in kept(spark, rows)] == [0, 10, 20, 30, 40, 50]
+    assert len(compared[0]) == 6 and not any(compared[1:])
