@@ -59,7 +59,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the SHA-256 of what the ids decode to (that of the text's UTF-8)."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    rows = bpe.decode(bpe.encode(docs, ranks), ranks)
+    rows = bpe.round_trip(docs, ranks)
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -221,14 +221,8 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.int32()))
 
 
-def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, ids, starts (byte offset of each token in the text's UTF-8).
-
-    Null and empty texts have no ids. Rows that repeat are each returned; an empty table gives no rows;
-    columns other than id and text are not read. The rank file is read by the driver and sent along.
-    """
-    with open(ranks_path, "rb") as f:
-        raw = docs.sparkSession.sparkContext.broadcast(f.read())
+def _encoder(raw) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task does to batches of (doc_id, text): doc_id, ids, starts. ``raw`` is the broadcast rank file."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, edges = vocabulary(raw.value)
@@ -248,7 +242,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
                 )
                 done += len(group)
 
-    return arrow_map(documents(docs, id_col, text_col), run, "doc_id bigint, ids array<int>, starts array<int>")
+    return run
 
 
 def _by_tokens(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,10 +257,8 @@ def _by_tokens(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo = hi
 
 
-def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """Rows of ``encode`` (doc_id, ids, starts) with ``decoded``: the bytes of the tokens, laid at their offsets."""
-    with open(ranks_path, "rb") as f:
-        raw = encoded.sparkSession.sparkContext.broadcast(f.read())
+def _decoder(raw) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task does to batches of (doc_id, ids, starts): the same with ``decoded``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, words, edges = vocabulary(raw.value)
@@ -286,6 +278,37 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             decoded = pa.Array.from_buffers(pa.binary(), len(sizes), [None, bounds, pa.py_buffer(out.tobytes())])
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=["doc_id", "ids", "starts", "decoded"])
 
-    return arrow_map(
-        encoded.select("doc_id", "ids", "starts"), run, "doc_id bigint, ids array<int>, starts array<int>, decoded binary"
-    )
+    return run
+
+
+def _sent(df: DataFrame, ranks_path: str):
+    """The rank file, read by the driver and broadcast."""
+    with open(ranks_path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
+_ENCODED = "doc_id bigint, ids array<int>, starts array<int>"
+
+
+def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, ids, starts (byte offset of each token in the text's UTF-8).
+
+    Null and empty texts have no ids. Rows that repeat are each returned; an empty table gives no rows;
+    columns other than id and text are not read. The rank file is read by the driver and sent along.
+    """
+    return arrow_map(documents(docs, id_col, text_col), _encoder(_sent(docs, ranks_path)), _ENCODED)
+
+
+def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """Rows of ``encode`` (doc_id, ids, starts) with ``decoded``: the bytes of the tokens, laid at their offsets."""
+    return arrow_map(encoded.select("doc_id", "ids", "starts"), _decoder(_sent(encoded, ranks_path)), f"{_ENCODED}, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode`` of ``encode``, a batch at a time in the same Python worker.
+
+    Chained as two queries, every task would run two workers, with a vocabulary and waiting batches each.
+    """
+    raw = _sent(docs, ranks_path)
+    encoder, decoder = _encoder(raw), _decoder(raw)
+    return arrow_map(documents(docs, id_col, text_col), lambda parts: decoder(encoder(parts)), f"{_ENCODED}, decoded binary")
