@@ -26,7 +26,7 @@ from elastrain.plans.rounds import worker_rows
 from elastrain.plans.scoring import evaluate
 from elastrain.plans.transforms import SampleTransform
 from elastrain.schema import ExchangeParams, SolverParams
-from elastrain.session import fresh_path, materialise
+from elastrain.session import bounded_batches, fresh_path, materialise
 from elastrain.sources.shards import materialise_shards, read_shards, store_by_worker
 from elastrain.sources.stores import load_weights, save_weights, worker_tag
 
@@ -57,6 +57,7 @@ def trigram_shares(texts: pa.Array) -> pa.Array:
 
 def trigram_samples(spark, sf_dir):
     """documents as (id, data, label, dim): trigrams of the text against the language."""
+    bounded_batches(spark)
     label = F.array_position(F.array(*[F.lit(x) for x in LANGUAGES]), F.col("lang")) - 1
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), trigram_shares("text").alias("data"), label.cast("float").alias("label"),

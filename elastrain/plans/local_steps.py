@@ -22,6 +22,7 @@ from elastrain.operators.weights import CHUNK
 from elastrain.plans.learners import Learner, apply_gradients, mean_step
 from elastrain.plans.transforms import SampleTransform
 from elastrain.schema import SolverParams
+from elastrain.session import bounded_batches
 
 STATE, SAMPLE = 0, 1
 # Layer number of the row that keeps (iteration, loss since the last exchange, cut, due).
@@ -224,6 +225,7 @@ def local_round(samples: DataFrame, state: DataFrame, learner: Learner, solver:
     is, and with a transform its draws; ``state`` has (worker, layer, chunk, values, velocity). Returns rows of
     kind weights, delta, loss, progress and snapshot.
     """
+    bounded_batches(samples.sparkSession)
     together = _state_rows(state, samples.schema["data"].dataType).unionByName(_sample_rows(samples))
     in_order = together.repartitionById(n_workers, F.col("worker")).sortWithinPartitions("worker", "kind", "a", "b")
     return in_order.mapInArrow(_stepper(learner, solver, rule, transform), OUT_DDL)
@@ -236,6 +238,7 @@ def dealt_round(stretches: list[DataFrame], state: DataFrame, lane: F.Column, le
     ``stretches`` come in the order in which they are stepped over. Only the state is shuffled; the union puts a
     worker's state before its stretches, partition by partition, so nothing is sorted either.
     """
+    bounded_batches(state.sparkSession)
     data = stretches[0].schema["data"].dataType
     parts = [_state_rows(state, data).withColumn("lane", lane).repartition(n_workers, "lane")]
     parts += [_sample_rows(part, "lane") for part in stretches]

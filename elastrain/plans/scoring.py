@@ -19,7 +19,7 @@ from elastrain.functions.arrow import as_matrix
 from elastrain.operators.aggregates import accuracy_and_loss, vector_sums
 from elastrain.operators.weights import BLOCK, CHUNK
 from elastrain.plans.learners import Dense, Learner, LinearSoftmax, softmax_errors
-from elastrain.session import materialise
+from elastrain.session import bounded_batches, materialise
 
 SLAB_BYTES = 64 * 1024 * 1024
 Slabs = list[tuple[Dense, list[Broadcast]]]
@@ -78,6 +78,7 @@ def forward(slabs: Slabs, x: np.ndarray) -> np.ndarray:
 def score(df: DataFrame, weights: DataFrame, learner: Learner, limit: int = SLAB_BYTES) -> DataFrame:
     """``df`` (data, ...) with a column ``scores``, one double per class; every row is kept as it is."""
     slabs, width = send_out(weights, learner, limit), learner.n_features
+    bounded_batches(df.sparkSession)
 
     @F.arrow_udf("array<double>")
     def scored(data: pa.Array) -> pa.Array:
@@ -113,6 +114,7 @@ def gradient(df: DataFrame, weights: DataFrame, learner: LinearSoftmax, limit: i
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], type=schema.field(i).type) for i in range(3)], schema=schema)
 
+    bounded_batches(df.sparkSession)
     parts = df.select("data", "label").mapInArrow(partial, "layer int, chunk int, values array<double>")
     return vector_sums(parts, BLOCK)
 
