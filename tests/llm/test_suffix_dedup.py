@@ -75,3 +75,26 @@ def test_rows_without_id_whose_short_hashes_agree(spark):
     docs = spark.createDataFrame([(None, one), (None, other), (1, one)], "doc_id bigint, text string")
     got = sorted((str(r.doc_id), len(r.kept)) for r in remove_repeats(docs).collect())
     assert got == [("1", 0), ("None", 0), ("None", 512)]
+
+
+def test_a_hot_anchor_is_not_split_into_strings(spark, monkeypatch):
+    """Many copies of a passage, each changed in another place: pieces, not strings, are compared, and the result is exact."""
+    draw = random.Random(15)
+    base = [draw.choice("abcdefgh") * draw.randint(1, 3) + str(draw.randrange(1000)) for _ in range(60)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        words[draw.randrange(len(words))] = f"own{k}"
+        texts.append(f"{k} {draw.random()} " + " ".join(words) + f" {draw.random()} {k}")
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", 8)
+    made, plain = [], suffix_dedup._cut
+
+    def counted(stretched, *how):
+        out = plain(stretched, *how)
+        made.append((stretched.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_cut", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert found(df, length=120, gram=30) == brute([(i, t.encode()) for i, t in enumerate(texts)], 120)
+    assert made and sum(n for _, n in made) < 10 * made[0][0]
