@@ -11,7 +11,8 @@ A bucket (a SimHash component, or a MinHash band) that still has more than one g
 outside the largest one. So a large group of copies makes few pairs. What is
 still apart is joined by prefixes of its sets: with shingles in one order, rare ones first, two sets that overlap
 enough share one among the first few of each (a fifth of the larger set, a ninth of the smaller), so texts that have a
-template in common, but not enough of it, never meet, and no link is lost.
+template in common, but not enough of it, never meet, and no link is lost. Under each shingle all are compared with the
+few most usual sets first, which leaves few links to the join of all others, where a pair is one row however much it shares.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,7 +35,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 RADIUS = 3
 BANDS, ROWS = 20, 5
 #: 64-bit words of a parity sketch.
-WORDS = 8
+WORDS = 32
+#: Sets under one shingle that all others of it are compared with, before what is left is joined.
+CENTRES = 4
+#: Sizes times the similarity may come out a hair above a whole number.
+SLACK = 1e-9
 SEED = 42
 SHINGLES_AT_ONCE = 1 << 12
 
@@ -120,35 +125,82 @@ def _sketches(sets: DataFrame) -> DataFrame:
     return write_table(arrow_map(sets.select("node", "found"), run, "node binary, odd array<bigint>").select("node", *words), "parities")
 
 
-def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of (node, root, found) with different roots that can overlap enough.
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows (shingle, node, n, place) by which sets of (node, found) that can overlap enough meet, with their sketches.
 
     In the order of shingles by how many sets have them, a pair of sizes m <= n shares a shingle among the first
-    m - p + 1 and n - q + 1 of its sets, where p and q are the least overlaps that any partner of such a size asks for;
-    and behind the first one they share, both sets must have enough left for the overlap that this pair asks for, and
-    their parity sketches must not differ in more bits than the sets may in shingles. All three bounds are exact.
+    m - p + 1 and n - q + 1 of its sets, where p and q are the least overlaps that any partner of such a size asks for.
+    ``before`` has the shingles of earlier places, ``usual`` tells in how many sets a shingle of this one is on average.
     """
-    slack = 1e-9  # sizes times the similarity may come out a hair above a whole number
-    least = lambda part: F.ceil(F.col("n") * part - slack)
-    rows = sets.select("node", "root", F.size("found").alias("n"), F.explode("found").alias("shingle"))
+    rows = sets.select("node", F.size("found").alias("n"), F.explode("found").alias("shingle"))
     rows = write_table(rows, "shingle-rows")
     common = rows.groupBy("shingle").agg(F.count("*").alias("times"))
-    place = F.row_number().over(W.partitionBy("node").orderBy("times", "shingle"))
-    ranked = rows.join(common, "shingle").withColumn("place", place).where("times > 1").where(F.col("place") <= F.col("n") - least(similarity) + 1)
-    words = [f"odd{i}" for i in range(WORDS)]
-    ranked = write_table(ranked.select("shingle", "node", "root", "n", "place").join(_sketches(sets), "node"), "prefixes")
-    larger = ranked.select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("node", "root", "n", "place", *words)))
-    smaller = ranked.where(F.col("place") <= F.col("n") - least(2 * similarity / (1 + similarity)) + 1)
-    fits = (F.col("n") < F.col("other_n")) | ((F.col("n") == F.col("other_n")) & (F.col("node") < F.col("other_node")))
-    # If this is the first shingle that they share, this many can follow.
+    by_node = W.partitionBy("node")
+    in_order = by_node.orderBy("times", "shingle")
+    ranked = rows.join(common, "shingle").withColumn("place", F.row_number().over(in_order)).withColumn("usual", F.avg("times").over(by_node))
+    ranked = ranked.where("times > 1").where(F.col("place") <= F.col("n") - _least("n", similarity) + 1)
+    earlier = F.collect_list("shingle").over(in_order.rowsBetween(W.unboundedPreceding, -1))
+    ranked = ranked.withColumn("before", earlier).select("shingle", "node", "n", "place", "usual", "before")
+    return write_table(ranked.join(_sketches(sets), "node"), "prefixes")
+
+
+def _least(size: str, part: float) -> Column:
+    return F.ceil(F.col(size) * part - SLACK)
+
+
+def _can_overlap(similarity: float) -> Column:
+    """Whether the sets of a row and of its partner (other_*) can be similar, if this is the first shingle that they share.
+
+    Behind it both must have enough left for the overlap that this pair asks for, and their parity sketches must
+    not differ in more bits than the sets may in shingles. Both bounds are exact.
+    """
     after = F.least(F.col("n") - F.col("place"), F.col("other_n") - F.col("other_place"))
-    enough = after + 1 >= F.ceil((F.col("n") + F.col("other_n")) * (similarity / (1 + similarity)) - slack)
-    differ = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"other_{w}"))) for w in words), F.lit(0))
-    alike = differ <= (F.col("n") + F.col("other_n")) * ((1 - similarity) / (1 + similarity)) + slack
-    met = smaller.join(larger, "shingle").where(fits & enough & alike & (F.col("root") != F.col("other_root")))
+    enough = after + 1 >= F.ceil((F.col("n") + F.col("other_n")) * (similarity / (1 + similarity)) - SLACK)
+    differ = sum((F.bit_count(F.col(f"odd{i}").bitwiseXOR(F.col(f"other_odd{i}"))) for i in range(WORDS)), F.lit(0))
+    return enough & (differ <= (F.col("n") + F.col("other_n")) * ((1 - similarity) / (1 + similarity)) + SLACK)
+
+
+def _partners(rows: DataFrame) -> DataFrame:
+    return rows.select("shingle", *(F.col(c).alias(f"other_{c}") for c in rows.columns if c != "shingle"))
+
+
+def _rooted(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of the prefix rows whose shingle has more than one component, with root."""
+    rows = found.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    return rows.join(mixed.select("shingle"), "shingle", "left_semi")
+
+
+def central_pairs(rooted: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs of the sets that meet under a shingle with the CENTRES most usual of these, each of another component.
+
+    Copies that were changed at different places are farther from each other than from the text that they come from,
+    and whoever is nearest to it has the most usual shingles. So its links leave little to be compared in pairs.
+    """
+    best = rooted.groupBy("shingle", "root").agg(F.max(F.struct("usual", "node")).alias("best"))
+    nth = F.row_number().over(W.partitionBy("shingle").orderBy(F.desc("best")))
+    chosen = best.withColumn("nth", nth).where(F.col("nth") <= CENTRES).select("shingle", F.col("best.node").alias("node"))
+    centres = rooted.drop("before").join(chosen, ["shingle", "node"])
+    met = rooted.drop("before").join(_partners(centres), "shingle").where((F.col("root") != F.col("other_root")) & _can_overlap(similarity))
     return _pairs(met.select("node", "n", F.col("other_node").alias("other"), "other_n"), similarity)
 
 
+def first_meetings(rooted: DataFrame, similarity: float) -> DataFrame:
+    """One row (node, n, other, other_n) for each two sets of different components that can overlap enough: at the first
+    shingle that they share, with the bounds of ``prefixes`` and ``_can_overlap``."""
+    smaller = rooted.where(F.col("place") <= F.col("n") - _least("n", 2 * similarity / (1 + similarity)) + 1)
+    fits = (F.col("n") < F.col("other_n")) | ((F.col("n") == F.col("other_n")) & (F.col("node") < F.col("other_node")))
+    first = ~F.arrays_overlap("before", "other_before")
+    met = smaller.join(_partners(rooted), "shingle").where((F.col("root") != F.col("other_root")) & fits & _can_overlap(similarity) & first)
+    return met.select("node", "n", F.col("other_node").alias("other"), "other_n")
+
+
+def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of (node, root, found) with different roots that can overlap enough."""
+    rooted = _rooted(prefixes(sets, similarity), sets.select("node", "root"))
+    return _pairs(first_meetings(rooted, similarity), similarity)
+
+
 def _by_simhash(signed: DataFrame) -> DataFrame:
     """(node, n, bucket) of all texts, a bucket for each component of linked fingerprints."""
     links = write_table(hamming_links(signed.select("fp"), RADIUS).distinct(), "near-simhash")
@@ -204,8 +256,9 @@ def later_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
         again = placed.join(others, "bucket").where("root != other_root")
         roots = _components(linked(_pairs(again, similarity)), roots)
     placed, _ = _placed(shared, roots)
-    apart = sets.join(placed.select("node", "root").distinct(), "node")
-    labels = _components(linked(prefix_pairs(apart, similarity)), roots)
+    found = prefixes(sets.join(placed.select("node").distinct(), "node", "left_semi"), similarity)
+    roots = _components(linked(central_pairs(_rooted(found, roots), similarity)), roots)
+    labels = _components(linked(_pairs(first_meetings(_rooted(found, roots), similarity), similarity)), roots)
 
     members = labels.union(labels.select(F.col("root").alias("node"), "root").distinct())
     known = rows.select("node", "doc_id").join(nodes, "node", "left_semi").distinct().join(members, "node")

@@ -123,3 +123,31 @@ def test_fingerprints_link_near_equal_texts_first(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "similar", noted)
     assert [i for i, _ in kept(spark, rows)] == [0, 10, 20, 30, 40, 50]
     assert len(compared[0]) == 6 and not any(compared[1:])
+
+
+def test_a_group_of_near_copies_leaves_few_pairs(spark, monkeypatch):
+    """Copies with changes of their own are linked through the most usual of them, not in pairs."""
+    draw = random.Random(15)
+    base = [f"w{draw.randrange(5000)}" for _ in range(150)]
+    rows = [(i, " ".join(changed(base, 1 + i % 5, draw))) for i in range(240)]
+    compared, plain = [], near_copies.similar
+
+    def counted(pairs, sets, similarity):
+        compared.append(pairs.count())
+        return plain(pairs, sets, similarity)
+
+    monkeypatch.setattr(near_copies, "similar", counted)
+    texts = dict(rows)
+    roots = brute_roots(texts, [(a, b) for a, b in combinations(texts, 2) if alike(texts[a], texts[b])])
+    assert {i for i, _ in kept(spark, rows)} == set(roots.values())
+    assert compared[-1] < len(rows) / 4
+
+
+def test_two_sets_meet_once(spark):
+    draw = random.Random(16)
+    base = list(range(100))
+    sets = [(bytes([i]), bytes([i]), sorted({*draw.sample(base, 95), 1000 + i})) for i in range(40)]
+    df = spark.createDataFrame(sets, "node binary, root binary, found array<bigint>")
+    rooted = near_copies._rooted(near_copies.prefixes(df, 0.8), df.select("node", "root"))
+    met = [tuple(sorted((bytes(r.node), bytes(r.other)))) for r in near_copies.first_meetings(rooted, 0.8).collect()]
+    assert sorted(met) == sorted(combinations(sorted(bytes([i]) for i in range(40)), 2))
