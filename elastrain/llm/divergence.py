@@ -1,11 +1,13 @@
 """How far the sources of a language differ in their words, in exact integers.
 
-One CountVectorizer gives the document vectors: every term carries the language of its document, so the
-minimum document frequency holds, and the vocabulary is, per language, yet the corpus is read once to fit and
-once to count, however many languages there are. Sparse vectors are summed by (language, source) as
-(term, count) entries. The entries of a language are cut into blocks of terms; a block holds the sparse rows of
-all sources, and the distance of two of them is taken from their entries alone, since all terms that a source
-lacks have one and the same share in it.
+The corpus is read once, in stretches of documents. Every term carries the language of its document, so the minimum
+document frequency holds, and the vocabulary is, per language, however many languages there are. A stretch lists
+each of its terms a few times instead of at every occurrence: by the binary digits of the number of its documents
+with the term, and of its occurrences in each source. Spark sums the former, CountVectorizer is fitted on the terms
+that enough documents have, and turns the lists of the sources into sparse vectors, which are summed by
+(language, source), weighted by digit, as (term, count) entries. The entries of a language are cut into blocks of
+terms; a block holds the sparse rows of all sources, and the distance of two of them is taken from their entries
+alone, since all terms that a source lacks have one and the same share in it.
 
 CountVectorizer keeps its vocabulary (the terms in at least ``min_df`` documents) on the driver and in every
 executor; this is the one thing here that is not split.
@@ -13,58 +15,147 @@ executor; this is the one thing here that is not split.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from elastrain.functions.arrow import groups_of
-from elastrain.llm.common import arrow_map, whole_text, write_table
+from elastrain.llm.common import arrow_map, column, whole_text, write_table
 
 MIN_DF, TOP, SCALE, SMOOTH = 30, 50, 10**9, 5
 MAX_VOCABULARY = 2**31 - 1
-#: Fixed value: what stands between terms.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A-Z in lower case, every other ASCII byte that no term has a space; bytes of longer characters stay.
+LOWERED = bytes(c if c >= 128 or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
 #: Between language and term; no term holds it.
 MARK = "\0"
 BLOCK_ENTRIES = 200_000
+#: Terms of a stretch and of a row of it; bytes of a text that are cut, and of terms that leave, at once.
+STRETCH, ROW_TERMS, BYTES_AT_ONCE = 4_000_000, 50_000, 1 << 20
+
+
+class Stretch:
+    """Documents of a task in a row: the numbers of their terms by language and source, and by language once a document."""
+
+    def __init__(self) -> None:
+        self.terms: dict[bytes, int] = defaultdict(count().__next__)
+        self.of_source: dict[tuple[str, str], list[np.ndarray]] = defaultdict(list)
+        self.of_lang: dict[str, list[np.ndarray]] = defaultdict(list)
+        self.size = self.bytes = 0
+
+    def full(self, most: int) -> bool:
+        """After ``most`` terms, or sooner if these are long or mostly different ones."""
+        return max(self.size, self.bytes // 8, 8 * len(self.terms)) >= most
+
+    def add(self, text: bytes, lang: str, source: str) -> None:
+        """A document, however long, is in one stretch; its terms are cut out a piece of text at a time."""
+        letters, at, pieces = text.translate(LOWERED), 0, []
+        while at < len(letters):
+            end = letters.find(b" ", at + BYTES_AT_ONCE)
+            end = len(letters) if end < 0 else end
+            words = letters[at:end].split()
+            pieces.append(np.fromiter(map(self.terms.__getitem__, words), np.int32, len(words)))
+            at = end
+        if pieces:
+            numbers = np.sort(np.concatenate(pieces))
+            self.bytes += len(letters)
+            self.of_source[lang, source].append(numbers)
+            self.of_lang[lang].append(numbers[np.flatnonzero(np.diff(numbers, prepend=-1))])
+            self.size += len(numbers)
+
+    def rows(self) -> Iterator[tuple[str, str | None, int, np.ndarray]]:
+        """(lang, source, weight, numbers of terms): how often terms occur in a source, and with no source in how many
+        documents of the language; a row is a binary digit of these counts, and its weight that of the digit.
+        """
+        found = [((lang, None), pieces) for lang, pieces in self.of_lang.items()]
+        for (lang, source), pieces in [*found, *self.of_source.items()]:
+            terms, n = _counted(np.concatenate(pieces), len(self.terms))
+            for digit in range(int(n.max(initial=0)).bit_length()):
+                yield lang, source, 1 << digit, terms[(n >> digit) & 1 == 1]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        words = pa.array(list(self.terms), pa.binary()).cast(pa.string())
+        lengths = np.fromiter(map(len, self.terms), np.int64, len(self.terms))
+        waiting, size = [], 0
+        for lang, source, weight, numbers in self.rows():
+            for at in range(0, len(numbers), ROW_TERMS):
+                waiting.append((lang, source, weight, numbers[at : at + ROW_TERMS]))
+                size += int((lengths[waiting[-1][3]] + len(lang)).sum())
+                if size >= BYTES_AT_ONCE:
+                    yield _batch(waiting, words)
+                    waiting, size = [], 0
+        if waiting:
+            yield _batch(waiting, words)
+
+
+def _batch(rows: list[tuple[str, str | None, int, np.ndarray]], words: pa.Array) -> pa.RecordBatch:
+    langs, sources, weights, numbers = zip(*rows)
+    sizes = [len(n) for n in numbers]
+    lang = pa.array(langs, pa.string()).take(pa.array(np.repeat(np.arange(len(rows)), sizes)))
+    led = pc.binary_join_element_wise(lang, words.take(pa.array(np.concatenate(numbers))), pa.scalar(MARK))
+    terms = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), led)
+    arrays = [pa.array(sources, pa.string()), pa.array(weights, pa.int64()), terms]
+    return pa.RecordBatch.from_arrays(arrays, names=["source", "weight", "terms"])
+
+
+def _counted(numbers: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers (below ``most``) and how often each is there; few numbers are sorted, many are counted in place."""
+    if 16 * len(numbers) < most:
+        return np.unique(numbers, return_counts=True)
+    n = np.bincount(numbers, minlength=most)
+    found = np.flatnonzero(n)
+    return found, n[found]
+
+
+def stretch_terms(docs: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """source, weight and terms (each led by its language and MARK) for stretches of about ``stretch`` terms.
+
+    The corpus is read here, once. See Stretch.rows for what the rows mean.
+    """
 
+    def of_task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current = Stretch()
+        for part in parts:
+            for text, lang, source in zip(*[column(part, name) for name in ("text", "lang", "source")]):
+                current.add(text, lang, source)
+                if current.full(stretch):
+                    yield from current.batches()
+                    current = Stretch()
+        yield from current.batches()
 
-def lowered(text: Column) -> Column:
-    """A-Z in lower case and nothing else; a text of one byte a character has no other letters."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-
-
-def document_terms(docs: DataFrame, distinct: bool = False) -> DataFrame:
-    """lang, source and the terms of every document, each led by its language and MARK."""
-    lang = whole_text(docs, "lang")
-    words = F.array_remove(F.split(lowered(whole_text(docs, "text")), BETWEEN), "")
-    terms = F.transform(F.array_distinct(words) if distinct else words, lambda w: F.concat(lang, F.lit(MARK), w))
-    return docs.select(lang.alias("lang"), whole_text(docs, "source").alias("source"), terms.alias("terms"))
+    text = F.make_valid_utf8(whole_text(docs, "text")).cast("binary").alias("text")
+    rows = docs.select(text, whole_text(docs, "lang").alias("lang"), whole_text(docs, "source").alias("source"))
+    return arrow_map(rows, of_task, "source string, weight bigint, terms array<string>")
 
 
-def source_counts(docs: DataFrame, min_df: int = MIN_DF) -> tuple[DataFrame, DataFrame]:
+def source_counts(docs: DataFrame, min_df: int = MIN_DF, stretch: int = STRETCH) -> tuple[DataFrame, DataFrame]:
     """(lang, source, term_no, n) for the kept terms that occur, and the vocabulary (term_no, lang, term).
 
-    The fit only asks which documents have a term, so it reads each term of a document once.
+    The fit reads the terms that ``min_df`` documents have, once; the transform reads the rows of all stretches.
     """
     spark = docs.sparkSession
-    # Documents of one term that no language has keep the vocabulary from being empty, which CountVectorizer refuses.
-    filler = spark.range(min_df).select(F.array(F.lit("")).alias("terms"))
-    counter = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=MAX_VOCABULARY)
-    model = counter.fit(document_terms(docs, distinct=True).select("terms").unionAll(filler))
+    rows = write_table(stretch_terms(docs, stretch), "stretch-terms")
+    of_docs = rows.where("source IS NULL").select("weight", F.explode("terms").alias("term"))
+    kept = write_table(of_docs.groupBy("term").agg(F.sum("weight").alias("docs")).where(F.col("docs") >= min_df), "kept-terms")
+    # A term that no language has keeps the vocabulary from being empty, which CountVectorizer refuses.
+    filler = spark.range(1).select(F.array(F.lit("")).alias("terms"))
+    counter = CountVectorizer(inputCol="terms", outputCol="vector", vocabSize=MAX_VOCABULARY)
+    model = counter.fit(kept.select(F.array("term").alias("terms")).unionAll(filler))
     words = [(i, *word.rsplit(MARK, 1)) for i, word in enumerate(model.vocabulary) if word]
     vocabulary = write_table(spark.createDataFrame(words, "term_no int, lang string, term string"), "vocabulary")
-    vector = model.transform(document_terms(docs)).select("source", F.unwrap_udt("vector").alias("v"))
+    vector = model.transform(rows.where("source IS NOT NULL")).select("source", "weight", F.unwrap_udt("vector").alias("v"))
     entry = F.explode(F.arrays_zip("v.indices", "v.values")).alias("e")
-    entries = vector.select("source", entry).select("source", F.col("e.indices").alias("term_no"), F.col("e.values").alias("n"))
+    n = (F.col("e.values").cast("bigint") * F.col("weight")).alias("n")
+    entries = vector.select("source", "weight", entry).select("source", F.col("e.indices").alias("term_no"), n)
     # A term has one language, so language need not be part of the key.
-    counts = entries.groupBy("source", "term_no").agg(F.sum(F.col("n").cast("bigint")).alias("n"))
+    counts = entries.groupBy("source", "term_no").agg(F.sum("n").alias("n"))
     counts = write_table(counts, "source-counts")
     return counts.join(vocabulary.select("term_no", "lang"), "term_no").select("lang", "source", "term_no", "n"), vocabulary
 
@@ -113,7 +204,9 @@ def _distances(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(arrays, names=["lang", "a", "b", "value"])
 
 
-def audit(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+def audit(
+    docs: DataFrame, min_df: int = MIN_DF, top: int = TOP, block_entries: int = BLOCK_ENTRIES, stretch: int = STRETCH
+) -> DataFrame:
     """lang, source, part, item, value, rank: how each source differs from the others and from its language.
 
     Part ``pair`` has every other source of the language and the summed difference of shares over all its kept
@@ -122,7 +215,7 @@ def audit(docs: DataFrame, min_df: int = MIN_DF, top: int = TOP, block_entries:
     shares are equal); a language without kept terms has pairs of value 0; an empty table gives no rows.
     Repeated rows count each time; ids and other columns are not read.
     """
-    counts, vocabulary = source_counts(docs, min_df)
+    counts, vocabulary = source_counts(docs, min_df, stretch)
     kept = vocabulary.groupBy("lang").agg(F.count("*").alias("terms"))
     found = docs.select(whole_text(docs, "lang").alias("lang"), whole_text(docs, "source").alias("source")).distinct()
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import Row
 from samples import empty
 
-from elastrain.llm.divergence import _block_distances, audit
+from elastrain.llm.divergence import Stretch, _block_distances, audit, source_counts, stretch_terms
 
 
 def brute(rows, min_df, top):
@@ -69,3 +69,46 @@ def test_source_without_terms_in_a_block():
     block = {"source_no": np.array([2, 5, 9, 5, 9, 9]), "term_no": np.array([-1, -1, -1, 4, 4, 8]), "p": np.array([10, 20, 30, 25, 36, 47])}
     got = {(int(a[i]), int(b[i])): int(v[i]) for a, b, v in _block_distances(block) for i in range(len(a))}
     assert got == {(2, 5): 15 + 10, (2, 9): 26 + 37, (5, 9): 11 + 27}
+
+
+def test_stretches_of_any_length(spark):
+    rows = [*rows_of(60), ("aB" * 700_000 + " x-y " + "\u00e9x " * 400_000, "de", "long"), ("\0\x7f 12", "en", "signs only")]
+    df = spark.createDataFrame(rows, "text string, lang string, source string")
+    for stretch in (1, 300, 10**7):
+        got = sorted((r.lang, r.source, r.part, r.item, r.value, r["rank"]) for r in audit(df, 3, 50, stretch=stretch).collect())
+        assert got == brute(rows, 3, 50)
+
+
+def test_corpus_is_read_once_and_its_terms_are_listed_by_digits(spark, monkeypatch):
+    from pyspark.ml.feature import CountVectorizer
+    from pyspark.sql import functions as F
+
+    rows = [("a b c " * 100 + "z" * i, "en", "s") for i in range(1, 65)]
+    seen, fitted, fit = spark.sparkContext.accumulator(0), [], CountVectorizer.fit
+
+    def counted(parts):
+        for part in parts:
+            seen.add(part.num_rows)
+            yield part
+
+    def watched(self, df, params=None):
+        fitted.append(df.select(F.explode("terms")).count())
+        return fit(self, df, params)
+
+    monkeypatch.setattr(CountVectorizer, "fit", watched)
+    schema = "text string, lang string, source string"
+    docs = spark.createDataFrame(rows, schema).coalesce(1)
+    counts, _ = source_counts(docs.mapInArrow(counted, schema), 30)
+    assert sorted(r.n for r in counts.collect()) == [64 * 100] * 3
+    assert seen.value == 64  # once for the fit and once to count, before
+    assert fitted == [4]  # the terms kept and the filler; every term of every document, before
+    listed = {r.source: r.n for r in stretch_terms(docs).groupBy("source").agg(F.sum(F.size("terms")).alias("n")).collect()}
+    assert listed == {None: 64 + 3, "s": 64 + 3 * 3}  # 64 has one digit set and 6400 three
+
+
+def test_stretch_ends_by_terms_bytes_and_vocabulary():
+    for text in (b"a " * 100, b"a" * 800, b" ".join(b"%c%c" % (97 + i, 97) for i in range(13))):
+        stretch = Stretch()
+        assert not stretch.full(100)
+        stretch.add(text, "en", "s")
+        assert stretch.full(100)
