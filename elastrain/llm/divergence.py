@@ -39,6 +39,8 @@ MARK = "\0"
 BLOCK_ENTRIES = 200_000
 #: Terms of a stretch and of a row of it; bytes of a text that are cut, and of terms that leave, at once.
 STRETCH, ROW_TERMS, BYTES_AT_ONCE = 4_000_000, 50_000, 1 << 20
+#: What a document takes in a stretch beside its terms, in terms.
+DOC_COST = 32
 
 
 class Stretch:
@@ -48,11 +50,11 @@ class Stretch:
         self.terms: dict[bytes, int] = defaultdict(count().__next__)
         self.of_source: dict[tuple[str, str], list[np.ndarray]] = defaultdict(list)
         self.of_lang: dict[str, list[np.ndarray]] = defaultdict(list)
-        self.size = self.bytes = 0
+        self.size = self.bytes = self.docs = 0
 
     def full(self, most: int) -> bool:
-        """After ``most`` terms, or sooner if these are long or mostly different ones."""
-        return max(self.size, self.bytes // 8, 8 * len(self.terms)) >= most
+        """After ``most`` terms, or sooner if these are long, mostly different or of very short documents."""
+        return max(self.size + DOC_COST * self.docs, self.bytes // 8, 8 * len(self.terms)) >= most
 
     def add(self, text: bytes, lang: str, source: str) -> None:
         """A document, however long, is in one stretch; its terms are cut out a piece of text at a time."""
@@ -69,6 +71,7 @@ class Stretch:
             self.of_source[lang, source].append(numbers)
             self.of_lang[lang].append(numbers[np.flatnonzero(np.diff(numbers, prepend=-1))])
             self.size += len(numbers)
+            self.docs += 1
 
     def rows(self) -> Iterator[tuple[str, str | None, int, np.ndarray]]:
         """(lang, source, weight, numbers of terms): how often terms occur in a source, and with no source in how many

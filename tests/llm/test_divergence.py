@@ -106,9 +106,11 @@ def test_corpus_is_read_once_and_its_terms_are_listed_by_digits(spark, monkeypat
     assert listed == {None: 64 + 3, "s": 64 + 3 * 3}  # 64 has one digit set and 6400 three
 
 
-def test_stretch_ends_by_terms_bytes_and_vocabulary():
-    for text in (b"a " * 100, b"a" * 800, b" ".join(b"%c%c" % (97 + i, 97) for i in range(13))):
+def test_stretch_ends_by_terms_bytes_vocabulary_and_documents():
+    vocabulary = b" ".join(b"%c%c" % (97 + i // 26, 97 + i % 26) for i in range(125))
+    for texts in ([b"a " * 1000], [b"a" * 8000], [vocabulary], [b"a"] * 31):
         stretch = Stretch()
-        assert not stretch.full(100)
-        stretch.add(text, "en", "s")
-        assert stretch.full(100)
+        for text in texts:
+            assert not stretch.full(1000)
+            stretch.add(text, "en", "s")
+        assert stretch.full(1000)
