@@ -5,6 +5,7 @@ from itertools import combinations
 import xxhash
 from samples import awkward, empty, prose
 
+from elastrain.llm.common import write_table
 from elastrain.llm.components import smallest_reachable
 from elastrain.llm.simhash import hamming_links, near_duplicates, simhash
 
@@ -60,6 +61,29 @@ def test_components(spark):
     assert smallest_reachable(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_steps_over_few_edges_have_few_tasks(spark):
+    """Tasks, each with files of its own, follow the number of edges, however wide the shuffle is."""
+    sc, held = spark.sparkContext, {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    links = [(i, i + 1) for i in range(40)] + [(5000, i) for i in range(5001, 6001)]
+    edges = write_table(spark.createDataFrame(links, "a bigint, b bigint"), "links")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few-tasks", "components of few edges")
+        roots = smallest_reachable(edges)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(roots.inputFiles()) <= sc.defaultParallelism
+    seen = sc.statusTracker()
+    stages = {s for j in seen.getJobIdsForGroup("few-tasks") for s in seen.getJobInfo(j).stageIds}
+    tasks = [x.numCompletedTasks for x in map(seen.getStageInfo, stages) if x]
+    assert sum(tasks) > 0 and max(tasks) < 100
+    assert {(r.node, r.root) for r in roots.collect()} == {(i, 0) for i in range(1, 41)} | {(i, 5000) for i in range(5001, 6001)}
+
+
 def test_table(spark):
     texts = prose(40)
     long = " ".join(prose(1, seed=5, words=3000, vocabulary=900) * 1)
